@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from orefield.llm.encoding import encode_corpus
+from orefield.llm.leakage import leaked_items
 from orefield.llm.splitting import split_texts
 
 
@@ -16,9 +17,13 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(_table(spark, folder, "documents"))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaked_items(_table(spark, folder, "documents"), _table(spark, folder, "eval_items"))
+
+
 def p8_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_texts(_table(spark, folder, "documents"))
 
 
-QUERIES = {"p6_ids": p6_ids, "p8_pieces": p8_pieces}
+QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p8_pieces": p8_pieces}
 SQL: dict[str, str] = {}
