@@ -48,3 +48,25 @@ def stored(df: DataFrame, *bucket: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per context, as ``--py-files`` would."""
+    import io
+    import zipfile
+    from hashlib import sha256
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if getattr(context, "_orefield_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as file:
+        for path in sorted(root.rglob("*.py")):
+            file.writestr(zipfile.ZipInfo(str(path.relative_to(root.parent))), path.read_text())
+    name = f"orefield-{sha256(packed.getvalue()).hexdigest()[:12]}.zip"
+    target = Path(tempfile.mkdtemp(prefix="orefield-")) / name
+    target.write_bytes(packed.getvalue())
+    context.addPyFile(str(target))
+    context._orefield_shipped = True
