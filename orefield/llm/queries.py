@@ -7,12 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 from orefield.llm.encoding import encode_corpus
 from orefield.llm.leakage import leaked_items
 from orefield.llm.splitting import split_texts
+from orefield.llm.vectors import neighbour_pairs
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbour_pairs(_table(spark, folder, "semantic_entries"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(_table(spark, folder, "documents"))
 
@@ -25,5 +30,5 @@ def p8_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_texts(_table(spark, folder, "documents"))
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p8_pieces": p8_pieces}
+QUERIES = {"p1_found": p1_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_pieces": p8_pieces}
 SQL: dict[str, str] = {}
