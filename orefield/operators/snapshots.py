@@ -9,25 +9,24 @@ PAIRS_BROADCAST_ROWS = 200_000
 
 
 def digest_bytes(value: Column) -> Column:
-    """The 32 bytes of a SHA-256 digest in any spelling (case, blanks around, ``sha256:`` prefix);
-    any other text keeps its own UTF-8 bytes behind a zero byte, so it can't equal a digest."""
+    """The bytes of a SHA-256 digest in any spelling (case, blanks, ``sha256:`` prefix) behind a one; any
+    other text keeps its own UTF-8 bytes behind a zero byte, so it can't equal a digest."""
     plain = F.regexp_replace(F.lower(F.trim(F.regexp_replace(value, r"\s", ""))), r"^sha-?256[:=]", "")
-    return F.when(plain.rlike(r"^[0-9a-f]{64}$"), F.unhex(plain)).otherwise(
+    return F.when(plain.rlike(r"^[0-9a-f]{64}$"), F.unhex(F.concat(F.lit("01"), plain))).otherwise(
         F.concat(F.unhex(F.lit("00")), F.encode(value, "UTF-8"))
     )
 
 
 def _packed(value: Column) -> Column:
-    """Ids that are 64 lower-case hex digits travel as 32 bytes; others behind a zero byte."""
-    return F.when(value.rlike(r"^[0-9a-f]{64}$"), F.unhex(value)).otherwise(
+    """Ids that are 64 lower-case hex digits travel as 32 bytes behind a one; others as they are behind a zero byte."""
+    return F.when(value.rlike(r"^[0-9a-f]{64}$"), F.unhex(F.concat(F.lit("01"), value))).otherwise(
         F.concat(F.unhex(F.lit("00")), F.encode(value, "UTF-8"))
     )
 
 
 def _unpacked(value: Column) -> Column:
-    return F.when(F.octet_length(value) == 32, F.lower(F.hex(value))).otherwise(
-        F.decode(F.substring(value, 2, 2147483647), "UTF-8")
-    )
+    rest = F.substring(value, 2, 2147483647)
+    return F.when(F.substring(value, 1, 1) == F.unhex(F.lit("01")), F.lower(F.hex(rest))).otherwise(F.decode(rest, "UTF-8"))
 
 
 def snapshot_states(
