@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from orefield.llm.encoding import encode_corpus
 from orefield.llm.leakage import leaked_items
 from orefield.llm.splitting import split_texts
+from orefield.llm.syntax import broken_files, broken_rates
 from orefield.llm.vectors import neighbour_pairs
 
 
@@ -18,6 +19,14 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbour_pairs(_table(spark, folder, "semantic_entries"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return broken_files(_table(spark, folder, "source_files")).select("repository", "commit_hash", "file")
+
+
+def p3_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return broken_rates(_table(spark, folder, "source_files"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(_table(spark, folder, "documents"))
 
@@ -30,5 +39,5 @@ def p8_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_texts(_table(spark, folder, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_pieces": p8_pieces}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_rates": p3_rates, "p6_ids": p6_ids, "p7_found": p7_found, "p8_pieces": p8_pieces}
 SQL: dict[str, str] = {}
