@@ -9,7 +9,8 @@ orthogonal error. Centroids and codebooks are fitted on a bounded sample; every
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +21,16 @@ from orefield.session import stored
 
 #: Fitting sample: at most so many vectors (19 MB at 72 dimensions).
 SAMPLE = 40_000
-#: Vectors per cell aimed at, most cells, and cells per region (one task's share of the scan).
-CELL, MOST_CELLS, CELLS_PER_REGION = 160, 4_096, 48
+#: Vectors per cell aimed at, most cells, and cells per region (one group of the scan).
+CELL, MOST_CELLS, CELLS_PER_REGION = 120, 4_096, 8
 #: Cells probed by each vector, and candidates reranked per vector and region.
-PROBES, RERANK = 6, 100
+PROBES, RERANK = 4, 100
 #: Weight of parallel against orthogonal residual error (anisotropic loss); passes of its fit.
 PARALLEL, PASSES = 4.0, 4
 #: Dimensions per four-bit code.
 SUB = 2
+#: Scale of the fixed-point form in which unit vectors travel.
+FIXED = np.float32(32767)
 #: A region holding more vectors than this is cut into blocks; queries then visit each block.
 BLOCK = 20_000
 #: Queries handled at once in a task.
@@ -110,7 +113,6 @@ class VectorIndex:
     region: np.ndarray
     books: np.ndarray
     width: int
-    blocks: dict[int, int] = field(default_factory=dict)
 
     def probes(self, x: np.ndarray) -> np.ndarray:
         """The nearest cells of each vector, nearest first."""
@@ -127,8 +129,7 @@ def fit_index(sample: np.ndarray, total: int) -> VectorIndex:
     sample = np.pad(sample, ((0, 0), (0, pad)))
     cells = int(max(1, min(MOST_CELLS, total // CELL, len(sample) // 4)))
     centres = kmeans(sample, cells, 8)
-    regions = max(1, cells // CELLS_PER_REGION)
-    region = (centres @ kmeans(centres, regions, 8).T).argmax(1)
+    region = np.arange(cells) % max(1, cells // CELLS_PER_REGION)
     few = sample[np.random.default_rng(1).permutation(len(sample))[:10_000]]
     residual = few - centres[(few @ centres.T).argmax(1)]
     return VectorIndex(centres, region, codebooks(few, residual), width)
@@ -202,15 +203,27 @@ def scan(index: VectorIndex, base: np.ndarray, base_key: np.ndarray, base_cell:
     return np.concatenate(found_q), np.concatenate(found_i), np.concatenate(found_s)
 
 
-def _usable_bytes(width: int):
+def _fixed_point(width: int):
+    """Unit vectors as 16-bit fixed point (a product of two errs by about 1e-5) and a digest of the
+    original values; null where a vector isn't usable."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            full = pc.equal(pc.list_value_length(batch.column(1)), width)
-            batch = batch.filter(pc.fill_null(full, False))
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, width)
-            good = np.isfinite(flat).all(1) & (flat != 0).any(1)
-            data = pa.array([v.tobytes() for v in flat[good]], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good, pa.bool_())), data], names=["id", "vector"])
+            column = batch.column(2)
+            full = pc.fill_null(pc.equal(pc.list_value_length(column), width), False)
+            x = column.filter(full).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+            good = np.isfinite(x).all(1) & (x != 0).any(1)
+            place = np.flatnonzero(full.to_numpy(zero_copy_only=False))[good]
+            x = x[good]
+            vector, digest = np.full(len(batch), None, object), np.full(len(batch), None, object)
+            if len(x):
+                unit = x / np.abs(x).max(1, keepdims=True)  # extreme lengths must not overflow
+                unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+                fixed = np.rint(unit * FIXED).astype(np.int16)
+                vector[place] = [v.tobytes() for v in fixed]
+                digest[place] = [md5(v.tobytes()).digest() for v in x.astype(np.float32) + np.float32(0)]
+            arrays = [batch.column(0), batch.column(1), pa.array(vector, pa.binary()), pa.array(digest, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "at", "vector", "digest"])
 
     return run
 
@@ -238,23 +251,20 @@ def usable_points(rows: DataFrame, key: str, vector: str, version: str, width: i
     the choice doesn't depend on the input's order. One shuffle, by ranges of the id, serves the choice
     of the latest row and the numbering.
     """
-    kept = rows.select(F.col(key).alias("id"), F.struct(F.col(version).alias("at"), F.col(vector).alias("vector")).alias("row"))
-    latest = kept.where("id is not null").repartitionByRange("id").groupBy("id").agg(F.max("row.at").alias("at"), F.max("row").alias("row"))
-    points = latest.sortWithinPartitions("id").select("id", "row.vector").mapInArrow(_usable_bytes(width), "id string, vector binary")
-    return points.select(
-        F.monotonically_increasing_id().alias("n"), _packed(F.col("id")).alias("id"), "vector", F.unhex(F.md5("vector")).alias("digest")
-    )
+    kept = rows.select(F.col(key).alias("id"), F.col(version).alias("at"), F.col(vector).cast("array<float>").alias("vector")).where("id is not null")
+    kind = kept.schema["at"].dataType.simpleString()
+    fixed = kept.mapInArrow(_fixed_point(width), f"id string, at {kind}, vector binary, digest binary")
+    latest = fixed.repartitionByRange("id").groupBy("id").agg(F.max(F.struct("at", "vector", "digest")).alias("row"))
+    points = latest.sortWithinPartitions("id").where("row.vector is not null")
+    return points.select(F.monotonically_increasing_id().alias("n"), _packed(F.col("id")).alias("id"), "row.vector", "row.digest")
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    """Unit vectors, padded to whole subspaces."""
+    """Vectors padded to whole subspaces."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    x = np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(len(column), width).astype(np.float64)
-    if len(x):
-        x /= np.abs(x).max(1, keepdims=True)  # extreme lengths must not overflow
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-    return np.pad(x, ((0, 0), (0, -width % SUB))).astype(np.float32)
+    x = np.frombuffer(b"".join(column.to_pylist()), np.int16).reshape(len(column), width).astype(np.float32) / FIXED
+    return np.pad(x, ((0, 0), (0, -width % SUB)))
 
 
 def _checked(df: DataFrame) -> DataFrame:
