@@ -8,6 +8,7 @@ from orefield.llm.encoding import encode_corpus
 from orefield.llm.leakage import leaked_items
 from orefield.llm.splitting import split_texts
 from orefield.llm.syntax import broken_files, broken_rates
+from orefield.llm.truncation import cut_rates, cut_values
 from orefield.llm.vectors import neighbour_pairs
 
 
@@ -27,6 +28,14 @@ def p3_rates(spark: SparkSession, folder: str) -> DataFrame:
     return broken_rates(_table(spark, folder, "source_files"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return cut_values(_table(spark, folder, "reviews")).select("review_id", "field")
+
+
+def p4_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return cut_rates(_table(spark, folder, "reviews"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(_table(spark, folder, "documents"))
 
@@ -39,5 +48,5 @@ def p8_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_texts(_table(spark, folder, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_rates": p3_rates, "p6_ids": p6_ids, "p7_found": p7_found, "p8_pieces": p8_pieces}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_rates": p4_rates, "p6_ids": p6_ids, "p7_found": p7_found, "p8_pieces": p8_pieces}
 SQL: dict[str, str] = {}
