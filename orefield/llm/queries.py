@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from orefield.llm.encoding import encode_corpus
 from orefield.llm.leakage import leaked_items
+from orefield.llm.pairs import broken_pairs
 from orefield.llm.splitting import split_texts
 from orefield.llm.syntax import broken_files, broken_rates
 from orefield.llm.truncation import cut_rates, cut_values
@@ -36,6 +37,10 @@ def p4_rates(spark: SparkSession, folder: str) -> DataFrame:
     return cut_rates(_table(spark, folder, "reviews"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return broken_pairs(_table(spark, folder, "reviews"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(_table(spark, folder, "documents"))
 
@@ -48,5 +53,5 @@ def p8_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_texts(_table(spark, folder, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_rates": p4_rates, "p6_ids": p6_ids, "p7_found": p7_found, "p8_pieces": p8_pieces}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_pieces": p8_pieces}
 SQL: dict[str, str] = {}

@@ -252,30 +252,39 @@ def _values(reviews: DataFrame) -> DataFrame:
     return parsed.select("id", "model", fields).select("id", "model", "v.field", "v.text")
 
 
-def checked_values(reviews: DataFrame) -> DataFrame:
-    """(review_id, model, field, reason) of every value; ``reason`` is null where the value is complete.
+def text_baselines(texts: DataFrame) -> DataFrame:
+    """(kind, key, n): how shapes, words and ends are used in all texts (field, text)."""
 
-    Of repeated reviews the latest loaded_at counts. Null, empty and blank values are complete; a
-    result that is no JSON object has no title and no code. Baselines are counted over all values.
-    """
-    values = _values(reviews).where("text is not null")
+    def rows(total: Counter) -> pa.RecordBatch:
+        kinds, keys, sizes = [k for k, _ in total], [k for _, k in total], list(total.values())
+        return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(keys, pa.string()), pa.array(sizes, pa.int64())], names=["kind", "key", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
         for batch in batches:
-            total += counted(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())))
+            total.update(counted(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))))
             if len(total) > 200_000:
-                yield _rows(total)
+                yield rows(total)
                 total = Counter()
-        yield _rows(total)
+        yield rows(total)
+
+    counts = texts.select("field", "text").mapInArrow(count, "kind string, key string, n bigint")
+    return stored(counts.groupBy("kind", "key").agg(F.sum("n").alias("n")).where("n >= 2"))
+
+
+def checked_values(reviews: DataFrame) -> DataFrame:
+    """(review_id, model, field, reason) of every value; ``reason`` is null where the value is complete.
+
+    Of repeated reviews the latest loaded_at counts. Null, empty and blank values are complete; a
+    result that is no JSON object has no title and no code. Baselines are counted over all values.
+    """
+    values = _values(reviews).where("text is not null")
+    counts = text_baselines(values.where("field != 'suggested_code'"))
+    return held_against(values, counts)
 
-    def _rows(total: Counter) -> pa.RecordBatch:
-        kinds, keys, sizes = [k for k, _ in total], [k for _, k in total], list(total.values())
-        return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(keys, pa.string()), pa.array(sizes, pa.int64())], names=["kind", "key", "n"])
 
-    prose = values.where("field != 'suggested_code'").select("field", "text")
-    counts = prose.mapInArrow(count, "kind string, key string, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n")).where("n >= 2")
-    counts = stored(counts)
+def held_against(values: DataFrame, counts: DataFrame) -> DataFrame:
+    """(review_id, model, field, reason) of values (id, model, field, text), given the baselines."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
