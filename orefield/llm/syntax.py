@@ -712,6 +712,7 @@ class Python(Language):
 
     def check(self, text):
         stack, expect, open_try, decorated = [0], False, {}, False
+        heads: dict[int, str] = {}  # the head of the statement before, at each level
         for indent, line in self.logical_lines(text):
             partner = balanced(line)
             first = line[0][1]
@@ -723,6 +724,7 @@ class Python(Language):
                 raise SyntaxFault("unexpected indent")
             while indent < stack[-1]:
                 gone = stack.pop()
+                heads.pop(gone, None)
                 if open_try.pop(gone, None):
                     raise SyntaxFault("try without except")
             if indent != stack[-1]:
@@ -735,11 +737,14 @@ class Python(Language):
                 open_try[indent] = False
             elif first != "else":
                 open_try.pop(indent, None)
+            if first == "elif" and heads.get(indent) not in ("if", "elif") or first == "else" and heads.get(indent) not in ("if", "elif", "for", "while", "except"):
+                raise SyntaxFault(f"{first} without its statement")
             if decorated and first not in ("def", "class", "async", "@"):
                 raise SyntaxFault("decorator without definition")
             decorated = first == "@"
             self.statement(line, partner)
             head = line[1][1] if first == "async" and len(line) > 1 else first
+            heads[indent] = head
             expect = line[-1][1] == ":" and (head in self.heads or head in ("match", "case"))
             if line[-1][1] == ":" and not expect:
                 raise SyntaxFault("stray ':'")
