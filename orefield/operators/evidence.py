@@ -63,3 +63,17 @@ def term_rarity(files: DataFrame, terms: DataFrame) -> DataFrame:
     """Of each term the files that hold it as a word and its weight, length over frequency."""
     held = files.select("repository", "commit_hash", "file", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit("([a-z0-9]+)"), F.lit(1)))).alias("term"))
     return held.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("files")).withColumn("weight", F.round(F.length("term") / F.col("files"), 9))
+
+
+def bundles(windows: DataFrame, group: list[str], most_parts: int = 6, most_chars: int = 24_000) -> DataFrame:
+    """Packed lines per group: parts, distinct lines, characters, and whether a bound is exceeded."""
+    return windows.groupBy(*group).agg(
+        F.countDistinct("doc_id").alias("parts"), F.count("*").alias("lines"), F.sum(F.length("line_text")).alias("chars")
+    ).withColumn("overflow", ((F.col("parts") > most_parts) | (F.col("chars") > most_chars)).cast("int"))
+
+
+def cited_names(items: DataFrame, records: DataFrame, text: str) -> DataFrame:
+    """Per item the distinct code spans of a text and how many are names of declarations."""
+    spans = items.select("item_id", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit("`([A-Za-z_][A-Za-z0-9_]*)`"), F.lit(1)))).alias("name"))
+    known = records.select("name", F.lit(1).alias("known")).distinct()
+    return spans.join(known, "name", "left").groupBy("item_id").agg(F.count("*").alias("cited"), F.count("known").alias("known"))

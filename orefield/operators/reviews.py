@@ -103,3 +103,19 @@ def weakest_confidence(normalized: DataFrame) -> DataFrame:
     rank = F.when(F.col("confidence") == "low", 0).when(F.col("confidence") == "medium", 1).otherwise(2)
     least = normalized.groupBy("symbol_id").agg(F.min(rank).alias("r"), F.count("*").alias("reviews"))
     return least.select("symbol_id", F.element_at(F.array(*map(F.lit, CONFIDENCES)), F.col("r") + 1).alias("confidence"), "reviews")
+
+
+def claim_freshness(reviews: DataFrame, changes: DataFrame, states: DataFrame) -> DataFrame:
+    """Of each review whether its symbol changed (direct) or another symbol of the same file did (file).
+
+    ``changes`` are (source, key, ...) of a snapshot step, ``states`` give each symbol's file; a symbol
+    id held by several repositories is stale if it is in any of them.
+    """
+    moved = changes.select(F.col("source").alias("repository"), F.col("key").alias("id")).distinct()
+    direct = moved.select("id", F.lit(1).alias("direct")).distinct()
+    placed = states.select("repository", "id", "file").distinct()
+    touched = placed.join(moved, ["repository", "id"], "left_semi").select("repository", "file").distinct()
+    beside = placed.join(touched, ["repository", "file"], "left_semi").select("id", F.lit(1).alias("beside")).distinct()
+    told = reviews.select(F.col("id").alias("review_id"), F.col("symbol_id").alias("id")).join(direct, "id", "left").join(beside, "id", "left")
+    state = F.when(F.col("direct").isNotNull(), "stale").when(F.col("beside").isNotNull(), "file stale").otherwise("fresh")
+    return told.select("review_id", state.alias("freshness"))

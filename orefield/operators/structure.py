@@ -103,3 +103,46 @@ def symbol_windows(files: DataFrame, records: DataFrame) -> DataFrame:
     wanted = records.select(*PLACE, "id", "file", F.explode(F.array(F.struct(F.lit("before").alias("role"), (F.col("sl") - 1).alias("line")), F.struct(F.lit("first").alias("role"), F.col("sl").alias("line")), F.struct(F.lit("after").alias("role"), (F.col("el") + 1).alias("line")))).alias("w"))
     wanted = wanted.select(*PLACE, "id", "file", "w.role", "w.line")
     return wanted.join(lines, [*PLACE, "file", "line"]).groupBy(*PLACE, "id").pivot("role", ["before", "first", "after"]).agg(F.min("text"))
+
+
+def inheritance_edges(files: DataFrame, records: DataFrame) -> DataFrame:
+    """(place, file, line, child, parent, kind, parent_id): classes and what they extend or implement;
+    the parent is resolved where its name is unique in the commit."""
+    header = r"class ([A-Za-z_$][A-Za-z0-9_$]*)(?:<[^>]*>)? extends ([A-Za-z_$][A-Za-z0-9_$.]*)"
+    python = r"^\s*class ([A-Za-z_][A-Za-z0-9_]*)\(([A-Za-z_][A-Za-z0-9_.]*)"
+    implemented = r"(?:class|struct) ([A-Za-z_$][A-Za-z0-9_$]*)[^{]* implements ([A-Za-z_$][A-Za-z0-9_$.]*)"
+    trait = r"^impl(?:<[^>]*>)? ([A-Za-z_][A-Za-z0-9_]*)(?:<[^>]*>)? for ([A-Za-z_][A-Za-z0-9_]*)"
+    kinds = [("extends", header, 1, 2), ("extends", python, 1, 2), ("implements", implemented, 1, 2), ("implements", trait, 2, 1)]
+    found = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_extract("text", p, c).alias("child"), F.regexp_extract("text", p, q).alias("parent")) for k, p, c, q in kinds])
+    edges = numbered_lines(files).where(F.col("text").rlike("class |^impl|struct ")).select(*PLACE, "file", "line", F.explode(found).alias("e")).select(*PLACE, "file", "line", "e.*").where("parent != ''")
+    wide = records.groupBy(*PLACE, F.col("name").alias("parent")).agg(F.count("*").alias("c"), F.min("id").alias("parent_id")).where("c = 1").drop("c")
+    return edges.join(wide, [*PLACE, "parent"], "left")
+
+
+def import_uses(files: DataFrame) -> DataFrame:
+    """Uses of imported names with the latest import before them (as-of on the line within a file)."""
+    scripts = files.where(F.col("language").isin("typescript", "javascript"))
+    pattern = r"""^import \{([^}]*)\} from ["']([^"']+)["']"""
+    lines = numbered_lines(scripts)
+    clause = lines.where(F.col("text").rlike(pattern)).select(*PLACE, "file", "line", F.explode(F.split(F.regexp_extract("text", pattern, 1), ",")).alias("part"), F.regexp_extract("text", pattern, 2).alias("specifier"))
+    bound = clause.select(*PLACE, "file", F.col("line").alias("import_line"), F.regexp_extract("part", r"([A-Za-z_$][A-Za-z0-9_$]*)\s*$", 1).alias("name"), "specifier").where("name != ''")
+    uses = identifiers(scripts).groupBy(*PLACE, "file", "line", "name").agg(F.sum("n").alias("n"))
+    later = uses.join(bound, [*PLACE, "file", "name"]).where("import_line < line")
+    return later.groupBy(*PLACE, "file", "line", "name", "n").agg(F.max(F.struct("import_line", "specifier")).alias("b")).select(*PLACE, "file", "line", "name", "n", "b.import_line", "b.specifier")
+
+
+def guard_scores(files: DataFrame, records: DataFrame, terms: list[str], pattern: str = r"^\s*if \((.+)\) ?\{?:?\s*$") -> DataFrame:
+    """Declarations with guards that share terms with a question: 1 + 2 per shared term, the best guard."""
+    from orefield.functions.text import terms_of
+
+    guards = numbered_lines(files).withColumn("guard", F.regexp_extract("text", pattern, 1)).where("guard != ''").select(*PLACE, "file", "line", "guard")
+    shared = F.size(F.array_intersect(terms_of(F.col("guard")), F.array(*map(F.lit, terms))))
+    scored = owned(guards.withColumn("shared", shared).where("shared > 0").drop("guard"), records).where("owner_id is not null")
+    return scored.groupBy(*PLACE, F.col("owner_id").alias("id")).agg(F.max(F.col("shared") * 2 + 1).alias("score"))
+
+
+def test_framework(path, text):
+    """Framework of a test file by its path and text; null if the path is no test's."""
+    is_test = path.rlike(r"(^|/)(tests?|__tests__|spec)/|[._-](test|spec)\.[a-z]+$|(^|/)test_[^/]*\.py$|_test\.(go|py)$")
+    kind = F.when(text.rlike("from [\"']vitest"), "vitest").when(text.rlike(r"from [\"']mocha|require\([\"']mocha"), "mocha").when(text.rlike(r"@jest|jest\."), "jest").otherwise("unknown")
+    return F.when(is_test, kind)

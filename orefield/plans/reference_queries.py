@@ -8,6 +8,7 @@ from orefield.functions.text import one_space, question_terms
 from orefield.operators import evaluation, evidence, extraction, graph, history, ranking, reviews, snapshots, structure
 from orefield.operators.latest import current_files, current_records, current_reviews, current_states, latest_by
 from orefield.sources import search
+from orefield.plans.training_queries import P2_SQL
 from orefield.sources.tables import table
 
 QUESTION = "Which documentation of the validator snapshot mentions readToken or the commit history of the cursor?"
@@ -303,7 +304,7 @@ def history_token_search(spark: SparkSession, folder: str) -> DataFrame:
 
 # Snapshots and reviews
 
-@query("""WITH c AS (""" + __import__("orefield.plans.training_queries", fromlist=["P2_SQL"]).P2_SQL + """) SELECT repository, to_snapshot, count(*) FILTER (change_type = 'added') AS added, count(*) FILTER (change_type = 'removed') AS removed, count(*) FILTER (change_type = 'changed') AS changed FROM c GROUP BY ALL""")
+@query("WITH c AS (" + P2_SQL + """) SELECT repository, to_snapshot, count(*) FILTER (change_type = 'added') AS added, count(*) FILTER (change_type = 'removed') AS removed, count(*) FILTER (change_type = 'changed') AS changed FROM c GROUP BY ALL""")
 def change_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Additions, removals and changes per repository and snapshot."""
     found = snapshots.snapshot_changes(table(spark, folder, "symbols"))
@@ -453,3 +454,117 @@ def events_hourly(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events")
     counted = events.groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return counted.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
+
+
+# More relations
+
+_GUARD = r"^\s*if \((.+)\) ?\{?:?\s*$"
+_GUARD_TERMS = ["length", "buffer", "done", "empty"]
+
+
+@query(f"""WITH {FILES}, {LINES}, {RECORDS}, g AS (SELECT repository, commit_hash, file, line, regexp_extract(text, '{_GUARD}', 1) AS guard FROM lines),
+ t AS (SELECT *, len(list_filter(list_distinct(string_split(lower(regexp_replace(regexp_replace(guard, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+', ' ', 'g')), ' ')), lambda x: x IN ({', '.join(repr(t) for t in _GUARD_TERMS)}))) AS shared FROM g WHERE guard <> ''),
+ o AS (SELECT t.*, r.id, row_number() OVER (PARTITION BY t.repository, t.commit_hash, t.file, t.line ORDER BY r.sb DESC, r.eb, r.id) AS rn FROM t JOIN records r ON r.repository = t.repository AND r.commit_hash = t.commit_hash AND r.file = t.file AND t.line BETWEEN r.sl AND r.el WHERE shared > 0)
+ SELECT repository, commit_hash, id, max(shared * 2 + 1)::INT AS score FROM o WHERE rn = 1 GROUP BY ALL""")
+def conditional_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Declarations whose guards share terms with a question."""
+    return structure.guard_scores(_files(spark, folder), _records(spark, folder), _GUARD_TERMS)
+
+
+@query(f"""WITH {FILES}, {LINES}, {RECORDS}, e AS (
+ SELECT repository, commit_hash, file, line, 'extends' AS kind, regexp_extract(text, 'class ([A-Za-z_$][A-Za-z0-9_$]*)(?:<[^>]*>)? extends ([A-Za-z_$][A-Za-z0-9_$.]*)', 1) AS child, regexp_extract(text, 'class ([A-Za-z_$][A-Za-z0-9_$]*)(?:<[^>]*>)? extends ([A-Za-z_$][A-Za-z0-9_$.]*)', 2) AS parent FROM lines
+ UNION ALL SELECT repository, commit_hash, file, line, 'extends', regexp_extract(text, '^\\s*class ([A-Za-z_][A-Za-z0-9_]*)\\(([A-Za-z_][A-Za-z0-9_.]*)', 1), regexp_extract(text, '^\\s*class ([A-Za-z_][A-Za-z0-9_]*)\\(([A-Za-z_][A-Za-z0-9_.]*)', 2) FROM lines
+ UNION ALL SELECT repository, commit_hash, file, line, 'implements', regexp_extract(text, '(?:class|struct) ([A-Za-z_$][A-Za-z0-9_$]*)[^{{]* implements ([A-Za-z_$][A-Za-z0-9_$.]*)', 1), regexp_extract(text, '(?:class|struct) ([A-Za-z_$][A-Za-z0-9_$]*)[^{{]* implements ([A-Za-z_$][A-Za-z0-9_$.]*)', 2) FROM lines
+ UNION ALL SELECT repository, commit_hash, file, line, 'implements', regexp_extract(text, '^impl(?:<[^>]*>)? ([A-Za-z_][A-Za-z0-9_]*)(?:<[^>]*>)? for ([A-Za-z_][A-Za-z0-9_]*)', 2), regexp_extract(text, '^impl(?:<[^>]*>)? ([A-Za-z_][A-Za-z0-9_]*)(?:<[^>]*>)? for ([A-Za-z_][A-Za-z0-9_]*)', 1) FROM lines),
+ w AS (SELECT repository, commit_hash, name AS parent, min(id) AS parent_id FROM records GROUP BY ALL HAVING count(*) = 1)
+ SELECT e.repository, e.commit_hash, e.file, e.line, e.kind, e.child, e.parent, w.parent_id FROM e LEFT JOIN w USING (repository, commit_hash, parent) WHERE e.parent <> ''""")
+def inheritance(spark: SparkSession, folder: str) -> DataFrame:
+    return structure.inheritance_edges(_files(spark, folder), _records(spark, folder)).select("repository", "commit_hash", "file", "line", "kind", "child", "parent", "parent_id")
+
+
+@query(f"""WITH {FILES}, {LINES}, sc AS (SELECT * FROM lines WHERE language IN ('typescript', 'javascript')),
+ imp AS (SELECT repository, commit_hash, file, line AS import_line, unnest(string_split(regexp_extract(text, '^import \\{{([^}}]*)\\}} from ["'']([^"'']+)["'']', 1), ',')) AS part, regexp_extract(text, '^import \\{{([^}}]*)\\}} from ["'']([^"'']+)["'']', 2) AS specifier FROM sc WHERE regexp_matches(text, '^import \\{{([^}}]*)\\}} from ["'']([^"'']+)["'']')),
+ b AS (SELECT repository, commit_hash, file, import_line, regexp_extract(part, '([A-Za-z_$][A-Za-z0-9_$]*)\\s*$', 1) AS name, specifier FROM imp),
+ tok AS (SELECT repository, commit_hash, file, line, regexp_replace(unnest(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*\\(?)', 1)), '\\($', '') AS name FROM sc), u AS (SELECT *, count(*) AS n FROM tok GROUP BY ALL),
+ j AS (SELECT u.*, b.import_line, b.specifier, row_number() OVER (PARTITION BY u.repository, u.commit_hash, u.file, u.line, u.name ORDER BY b.import_line DESC, b.specifier DESC) AS rn FROM u JOIN b ON b.repository = u.repository AND b.commit_hash = u.commit_hash AND b.file = u.file AND b.name = u.name AND b.import_line < u.line)
+ SELECT repository, commit_hash, file, line, name, n, import_line, specifier FROM j WHERE rn = 1""")
+def import_uses(spark: SparkSession, folder: str) -> DataFrame:
+    """Uses of imported names with the latest import before them."""
+    return structure.import_uses(_files(spark, folder))
+
+
+@query(f"""WITH {RECORDS}, c AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(answer, '`([A-Za-z_][A-Za-z0-9_]*)`', 1))) AS name FROM eval_items), k AS (SELECT DISTINCT name FROM records)
+ SELECT c.item_id, count(*) AS cited, count(k.name) AS known FROM c LEFT JOIN k USING (name) GROUP BY c.item_id""")
+def answer_citations(spark: SparkSession, folder: str) -> DataFrame:
+    """Code spans of the evaluation answers and how many are declared names."""
+    return evidence.cited_names(table(spark, folder, "eval_items"), _records(spark, folder), "answer")
+
+
+@query(SQL["candidate_packing"].replace(" SELECT doc_id, line, line_text, al", ", p AS (SELECT doc_id, line, line_text, al") + """), g AS (SELECT d.repository, count(DISTINCT p.doc_id) AS parts, count(*) AS lines, sum(length(p.line_text))::BIGINT AS chars FROM p JOIN documents d USING (doc_id) GROUP BY ALL)
+ SELECT *, (parts > 6 OR chars > 24000)::INT AS overflow FROM g""")
+def evidence_bundles(spark: SparkSession, folder: str) -> DataFrame:
+    """Packed lines per repository, with explicit overflow of the bundle's bounds."""
+    docs = table(spark, folder, "documents").where("source = 'source_code'")
+    windows = evidence.packed_windows(docs, ["doc_id", "repository"], "text", _PACK)
+    return evidence.bundles(windows, ["repository"])
+
+
+@query("WITH c AS (" + P2_SQL + f"), {STATES}, {REVIEWS}, m AS (SELECT DISTINCT repository, id FROM c WHERE to_snapshot = {LAST}), pl AS (SELECT DISTINCT repository, id, file FROM st WHERE snapshot_no = {LAST})," + """
+ tf AS (SELECT DISTINCT pl.repository, pl.file FROM pl JOIN m USING (repository, id)), bs AS (SELECT DISTINCT pl.id FROM pl JOIN tf USING (repository, file))
+ SELECT rv.id AS review_id, CASE WHEN rv.symbol_id IN (SELECT id FROM m) THEN 'stale' WHEN rv.symbol_id IN (SELECT id FROM bs) THEN 'file stale' ELSE 'fresh' END AS freshness FROM rv""")
+def claim_freshness(spark: SparkSession, folder: str) -> DataFrame:
+    """Reviews that the last snapshot's changes made stale, directly or through their file."""
+    changes = snapshots.snapshot_changes(table(spark, folder, "symbols")).where(F.col("to_snapshot") == LAST)
+    return reviews.claim_freshness(_reviews(spark, folder), changes, _states(spark, folder).where(F.col("snapshot_no") == LAST))
+
+
+@query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY symbol_id ORDER BY indexed_at DESC) AS rn FROM semantic_entries), a AS (SELECT model, CASE WHEN rn > 1 THEN 'superseded' WHEN embedding IS NULL THEN 'missing' WHEN len(embedding) <> 72 THEN 'other length'
+  WHEN len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) > 0 THEN 'not finite' WHEN len(list_filter(embedding, lambda x: x <> 0)) = 0 THEN 'zero' ELSE 'usable' END AS state FROM e)
+ SELECT model, state, count(*) AS n FROM a GROUP BY ALL""")
+def semantic_index_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of the vector index by model and whether they can be searched."""
+    entries = table(spark, folder, "semantic_entries")
+    newest = entries.groupBy("symbol_id").agg(F.max("indexed_at").alias("newest"))
+    v = F.col("embedding")
+    state = (
+        F.when(F.col("indexed_at") < F.col("newest"), "superseded").when(v.isNull(), "missing").when(F.size(v) != 72, "other length")
+        .when(F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), "not finite").when(~F.exists(v, lambda x: x != 0), "zero").otherwise("usable")
+    )
+    # Of rows repeated with the newest time one counts; the others are superseded.
+    told = entries.join(newest, "symbol_id").withColumn("state", state)
+    twice = told.where("state != 'superseded'").groupBy("symbol_id", "model", "state").agg((F.count("*") - 1).alias("more"))
+    counted = told.groupBy("model", "state").agg(F.count("*").alias("n"))
+    extra = twice.groupBy("model", "state").agg(F.sum("more").alias("more"))
+    moved = counted.join(extra, ["model", "state"], "left").select("model", "state", (F.col("n") - F.coalesce("more", F.lit(0))).alias("n"))
+    back = twice.groupBy("model").agg(F.sum("more").alias("n")).select("model", F.lit("superseded").alias("state"), "n")
+    return moved.unionByName(back).groupBy("model", "state").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+@query(f"""WITH {NORMALIZED} SELECT nr.model, count(*) AS reviews, round(avg(nr.issues), 6) AS mean_issues, median(nr.issues)::DOUBLE AS median_issues, round(avg((nr.verdict = 'finding')::INT), 6) AS finding_rate,
+ round(avg((rv.human_status = 'accepted')::INT) FILTER (rv.human_status IN ('accepted', 'rejected')), 6) AS accepted_rate FROM nr JOIN rv ON rv.id = nr.id GROUP BY ROLLUP (nr.model)""")
+def model_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """Means, medians and conditional rates of each model and of all."""
+    current = _reviews(spark, folder)
+    normalized = reviews.normalized_reviews(current).join(current.select("id", "human_status"), "id")
+    decided = F.when(F.col("human_status").isin("accepted", "rejected"), (F.col("human_status") == "accepted").cast("int"))
+    return evaluation.grouped_and_total(
+        normalized, "model", reviews=F.count("*"), mean_issues=F.round(F.avg("issues"), 6), median_issues=F.median("issues"),
+        finding_rate=F.round(F.avg((F.col("verdict") == "finding").cast("int")), 6), accepted_rate=F.round(F.avg(decided), 6),
+    )
+
+
+@query(f"""WITH {FILES}, {LINES}, {RECORDS}, lx AS (SELECT 'symbol' AS kind, repository || '/' || id AS key, sum(s) AS score FROM (SELECT repository, id, {' + '.join(any_hits(c, TERMS, w) for c, w in (("name", 8), ("signature", 3), ("file", 2)))} AS s FROM records) WHERE s > 0 GROUP BY ALL),
+ dm AS (SELECT 'document' AS kind, doc_id::VARCHAR AS key, ({any_hits('text', TERMS)}) AS score, doc_id FROM documents WHERE source = 'repo_docs'), cm AS (SELECT 'commit' AS kind, doc_id::VARCHAR AS key, score FROM ({SQL['history_token_search']})),
+ r AS (SELECT kind, key, 'lexical' AS source, 1 AS w, row_number() OVER (ORDER BY score DESC, key) AS rank FROM lx UNION ALL SELECT kind, key, 'documentation', 3, rank FROM (SELECT kind, key, row_number() OVER (ORDER BY score DESC, key) AS rank FROM dm WHERE score >= 2) WHERE rank <= 3
+  UNION ALL SELECT kind, key, 'history', 3, row_number() OVER (ORDER BY score DESC, key) FROM cm)
+ SELECT kind, key, round(sum(w::DOUBLE / (60 + rank)), 12) AS score FROM r GROUP BY kind, key ORDER BY score DESC, kind, key LIMIT 100""")
+def hybrid_retrieval(spark: SparkSession, folder: str) -> DataFrame:
+    """The question's signals fused over declarations, documents and commits; the top 100 is the operator's bound."""
+    docs = table(spark, folder, "documents")
+    lexical = lexical_symbols(spark, folder).select(F.lit("symbol").alias("kind"), F.concat_ws("/", "repository", "id").alias("key"), "score").groupBy("kind", "key").agg(F.sum("score").alias("score"))
+    documentation = ranking.document_matches(docs.where("source = 'repo_docs'"), TERMS).select(F.lit("document").alias("kind"), F.col("doc_id").cast("string").alias("key"), "score")
+    commits = history.token_search(history.commits(docs), _SUBJECT_TERMS).select(F.lit("commit").alias("kind"), F.col("doc_id").cast("string").alias("key"), "score")
+    order = [F.desc("score"), F.asc("key")]
+    lists = {"lexical": lexical, "documentation": documentation.orderBy(*order).limit(ranking.TOP_DOCUMENTS), "history": commits}
+    ranked = {n: ranking.with_row_number(df, order) for n, df in lists.items()}
+    return ranking.fused(ranked, ["kind", "key"]).orderBy(F.desc("score"), "kind", "key").limit(ranking.MOST_RESULTS).select("kind", "key", "score")
