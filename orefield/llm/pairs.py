@@ -198,11 +198,18 @@ class Features:
             return float(bool(text) and len(text) > 3 and text in re.sub(r"\W|_", "", source).lower() and len(body) <= 2 and len(text) > 12), looks
         try:
             fields = json.loads(source)
-            texts = [str(v) for v in fields.values()] if isinstance(fields, dict) else [source]
-            known = {tuple(t[i : i + 5]) for x in [source, *texts, "\n".join(f"{k}: {v}" for k, v in fields.items()) if isinstance(fields, dict) else ""] for t in [TOKEN.findall(x)] for i in range(len(t) - 4)}
         except ValueError:
-            t = TOKEN.findall(source)
-            known = {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+            fields = None
+        texts = [str(v) for v in fields.values()] if isinstance(fields, dict) else [source]
+        plain = " ".join([*texts, *fields]) if isinstance(fields, dict) else source
+        distinct = set(body)
+        # Runs can only stand in the input if their tokens do; most answers end here.
+        if len(distinct.intersection(TOKEN.findall(plain))) < 0.6 * len(distinct):
+            return 0.0, looks
+        forms = [source, *texts]
+        if isinstance(fields, dict):
+            forms.append("\n".join(f"{k}: {v}" for k, v in fields.items()))
+        known = {tuple(t[i : i + 5]) for t in map(TOKEN.findall, forms) for i in range(len(t) - 4)}
         runs = len(body) - 4
         return sum(tuple(body[i : i + 5]) in known for i in range(runs)) / runs, looks
 
