@@ -9,9 +9,9 @@ from orefield.session import stored
 
 def reachable(edges: DataFrame, start: DataFrame, key: list[str], most_rounds: int = 1_000) -> DataFrame:
     """Everything reached from ``start`` along ``edges`` (key..., source, target), the start included,
-    with the distance. Safe on cycles: only unseen nodes go on. Each round's frontier and the nodes seen
+    with the distance. Safe on cycles: only unseen nodes go on. The edges, each round's frontier and the nodes seen
     so far are written to the shared folder, which cuts the lineage and survives lost executors."""
-    edges = edges.select(*key, "source", "target").where("source is not null and target is not null").distinct()
+    edges = stored(edges.select(*key, "source", "target").where("source is not null and target is not null").distinct())
     seen = stored(start.select(*key, "node").where("node is not null").distinct().withColumn("distance", F.lit(0)))
     frontier = seen
     for distance in range(1, most_rounds + 1):

@@ -9,6 +9,7 @@ from orefield.operators import evaluation, evidence, extraction, graph, history,
 from orefield.operators.latest import current_files, current_records, current_reviews, current_states, latest_by
 from orefield.sources import search
 from orefield.plans.training_queries import P2_SQL
+from orefield.session import stored
 from orefield.sources.tables import table
 
 QUESTION = "Which documentation of the validator snapshot mentions readToken or the commit history of the cursor?"
@@ -102,6 +103,7 @@ def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
     """Two ranked lists over all documents, fused by reciprocal rank."""
     docs = table(spark, folder, "documents")
     base = docs.select("doc_id", ranking.term_score(TERMS, {"text": 1, "source": 2}).alias("lexical"), ranking.term_score(TERMS, {"path": 1, "repository": 1}).alias("structural"))
+    base = stored(base)  # both lists read the scores; the texts are read once
     lists = {n: ranking.with_row_number(base.where(F.col(n) > 0).select("doc_id", n), [F.desc(n), F.asc("doc_id")]) for n in ("lexical", "structural")}
     sources = F.array_join(F.transform("sources", lambda s: F.concat_ws(":", s["source"], s["rank"])), ",")
     return ranking.fused(lists, ["doc_id"]).select("doc_id", "score", sources.alias("sources"))
