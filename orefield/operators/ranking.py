@@ -47,18 +47,25 @@ def term_hits(text: Column, terms: list[str]) -> Column:
     return reduce(Column.__add__, [contains_term(text, t).cast("int") for t in terms], F.lit(0))
 
 
-def with_row_number(rows: DataFrame, order: list[Column], name: str = "rank", partition: list[str] | None = None) -> DataFrame:
-    """Ranks from 1. Without a partition the rows are sorted by ranges and numbered per range, with
-    the sizes of the ranges before added, so no task holds them all."""
-    if partition:
-        return rows.withColumn(name, F.row_number().over(Window.partitionBy(*partition).orderBy(*order)))
-    placed = stored(rows.orderBy(*order).withColumn("_part", F.spark_partition_id()))
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))  # one row per range
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    numbered = placed.withColumn("_inside", inside).join(F.broadcast(starts), "_part")
-    return numbered.withColumn(name, (F.col("_inside") + F.col("_before")).cast("int")).drop("_part", "_inside", "_before")
+def with_row_number(rows: DataFrame, order: list[Column], name: str = "rank", partition: tuple[str, ...] = ()) -> DataFrame:
+    """Ranks from 1, over all rows or within each ``partition``.
+
+    The rows are sorted by ranges and numbered within a range; the sizes of the ranges before are added.
+    So neither the whole table nor a hot partition is ever in one task.
+    """
+    placed = stored(rows.orderBy(*partition, *order).withColumn("_part", F.spark_partition_id()))
+    group = [F.col(c) for c in partition]
+    sizes = placed.groupBy(*partition, "_part").agg(F.count("*").alias("_n"))  # a row per range and partition
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*partition, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*group, "_part").orderBy(*order))
+    numbered = placed.withColumn("_inside", inside)
+    match = F.lit(True)
+    other = starts.select(*[F.col(c).alias(f"_{c}") for c in (*partition, "_part")], "_before")
+    for c in (*partition, "_part"):
+        match = match & numbered[c].eqNullSafe(other[f"_{c}"])
+    joined = numbered.join(other, match)
+    return joined.withColumn(name, (F.col("_inside") + F.col("_before")).cast("int")).drop("_part", "_inside", "_before", "__part", *[f"_{c}" for c in partition])
 
 
 def fused(lists: dict[str, DataFrame], key: list[str], weights: dict[str, int] | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from orefield.operators.ranking import with_row_number
 from orefield.operators.snapshots import digest_bytes
 
 # States in queue order, most retries, delay of a retry, and the verdicts' scales.
@@ -25,8 +26,7 @@ def queue(states: DataFrame, now_ms: int) -> DataFrame:
         state.isin("pending", "stale") | ((state == "failed") & (F.col("retries") < MOST_RETRIES) & (F.coalesce("retry_after", F.lit(0)) <= now_ms))
     )
     rank = F.when(state == "pending", 0).when(state == "stale", 1).when(state == "reviewed", 2).otherwise(3)
-    order = Window.partitionBy("repository").orderBy(rank, "file", "qualified_name", "id")
-    return eligible.withColumn("position", F.row_number().over(order))
+    return with_row_number(eligible, [rank, F.col("file"), F.col("qualified_name"), F.col("id")], "position", ("repository",))
 
 
 def status_counts(states: DataFrame) -> DataFrame:

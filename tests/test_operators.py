@@ -32,6 +32,17 @@ def test_distributed_row_number_equals_a_sort(spark):
     assert {r.id: r["rank"] for r in got} == want
 
 
+def test_row_numbers_within_a_hot_partition(spark):
+    rng = random.Random(3)
+    data = [(i, rng.choice(["hot", "hot", "a", None]), rng.randrange(9)) for i in range(400)]
+    df = spark.createDataFrame(data, "id int, repo string, score int").repartition(5)
+    got = {r.id: r["rank"] for r in ranking.with_row_number(df, [F.asc("score"), F.asc("id")], partition=("repo",)).collect()}
+    want = {}
+    for repo in ("hot", "a", None):
+        want |= {i: n + 1 for n, (_, i) in enumerate(sorted((s, i) for i, r, s in data if r == repo))}
+    assert got == want
+
+
 def test_fusion_adds_reciprocal_ranks(spark):
     a = spark.createDataFrame([("x", 1), ("Y", 2)], "id string, rank int")
     b = spark.createDataFrame([("Y", 1)], "id string, rank int")
