@@ -77,3 +77,30 @@ def cited_names(items: DataFrame, records: DataFrame, text: str) -> DataFrame:
     spans = items.select("item_id", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit("`([A-Za-z_][A-Za-z0-9_]*)`"), F.lit(1)))).alias("name"))
     known = records.select("name", F.lit(1).alias("known")).distinct()
     return spans.join(known, "name", "left").groupBy("item_id").agg(F.count("*").alias("cited"), F.count("known").alias("known"))
+
+
+def numbered(windows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """References E1, E2, ... of the packed lines of each group, in order."""
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    return windows.withColumn("ref", F.concat(F.lit("E"), place.cast("string")))
+
+
+def checked_selection(selections: DataFrame, references: DataFrame, group: list[str]) -> DataFrame:
+    """Selected references with their exact-quote check: ``valid``, ``unknown reference``, ``quote not found``
+    or ``empty quote``. A selection that repeats one counts once; earlier valid ones are kept by a union."""
+    chosen = selections.select(*group, "ref", "quote").distinct()
+    told = chosen.join(references.select(*group, "ref", "line_text"), [*group, "ref"], "left")
+    state = (
+        F.when(F.col("line_text").isNull(), "unknown reference").when(F.coalesce(F.trim("quote"), F.lit("")) == "", "empty quote")
+        .when(F.contains(one_space(F.col("line_text")), one_space(F.col("quote"))), "valid").otherwise("quote not found")
+    )
+    return told.withColumn("state", state).drop("line_text")
+
+
+def missing_requirements(lines: DataFrame, group: list[str], requirements: dict[str, tuple[str, int]]) -> DataFrame:
+    """Per group and requirement (a pattern and how many distinct lines must match) what was found; one
+    pass over the lines whatever the number of requirements."""
+    counts = [F.count_distinct(F.when(F.col("line_text").rlike(p), F.col("line_text"))).alias(n) for n, (p, _) in requirements.items()]
+    found = lines.groupBy(*group).agg(*counts)
+    pairs = F.array(*[F.struct(F.lit(n).alias("requirement"), F.col(n).alias("found"), F.lit(least).alias("least")) for n, (_, least) in requirements.items()])
+    return found.select(*group, F.explode(pairs).alias("r")).select(*group, "r.*").withColumn("missing", (F.col("found") < F.col("least")).cast("int"))

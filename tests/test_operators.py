@@ -195,3 +195,13 @@ def test_metrics(spark):
     assert rows(ranks.select("query_id", "vec_id", "rank")) == [(0, 1, 1), (0, 3, 2), (20, 2, 1), (20, 3, 2)]
     got = {r.query_label: (r.queries, r.precision, r.mrr) for r in evaluation.retrieval_metrics(ranks).collect()}
     assert got == {1: (1, 1.0, 1.0), 2: (1, 0.5, 1.0), None: (2, 0.75, 1.0)}
+
+
+def test_selection_is_checked_against_exact_quotes(spark):
+    lines = spark.createDataFrame([("q", 1, "a  = b"), ("q", 4, "c()"), ("p", 2, "x")], "question string, line int, line_text string")
+    refs = evidence.numbered(lines, ["question"], ["line"])
+    assert rows(refs.select("question", "line", "ref")) == [("p", 2, "E1"), ("q", 1, "E1"), ("q", 4, "E2")]
+    chosen = spark.createDataFrame([("q", "E1", "a = b"), ("q", "E1", "a = b"), ("q", "E2", "d()"), ("q", "E9", "x"), ("p", "E1", None)], "question string, ref string, quote string")
+    assert rows(evidence.checked_selection(chosen, refs, ["question"]).select("question", "ref", "state")) == [("p", "E1", "empty quote"), ("q", "E1", "valid"), ("q", "E2", "quote not found"), ("q", "E9", "unknown reference")]
+    gaps = evidence.missing_requirements(lines, ["question"], {"call": (r"\w+\(", 1), "assignment": ("=", 2)})
+    assert rows(gaps.select("question", "requirement", "found", "missing")) == [("p", "assignment", 0, 1), ("p", "call", 0, 1), ("q", "assignment", 1, 1), ("q", "call", 1, 0)]
