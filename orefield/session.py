@@ -41,12 +41,15 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def stored(df: DataFrame, *bucket: str) -> DataFrame:
+def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts the lineage and
-    survives the loss of executors. Columnar and compressed, so smaller than checkpoint()."""
+    survives the loss of executors. Columnar and compressed, so smaller than checkpoint(). The files go
+    when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
