@@ -117,9 +117,13 @@ class VectorIndex:
     def probes(self, x: np.ndarray) -> np.ndarray:
         """The nearest cells of each vector, nearest first."""
         n = min(PROBES, len(self.centres))
-        score = x @ self.centres.T
-        top = np.argpartition(-score, n - 1, axis=1)[:, :n]
-        return np.take_along_axis(top, np.argsort(-np.take_along_axis(score, top, 1), axis=1, kind="stable"), 1)
+        found = np.empty((len(x), n), np.int64)
+        for a in range(0, len(x), 2_000):  # bounds the products held at once
+            score = x[a : a + 2_000] @ self.centres.T
+            top = np.argpartition(-score, n - 1, axis=1)[:, :n]
+            order = np.argsort(-np.take_along_axis(score, top, 1), axis=1, kind="stable")
+            found[a : a + 2_000] = np.take_along_axis(top, order, 1)
+        return found
 
 
 def fit_index(sample: np.ndarray, total: int) -> VectorIndex:
@@ -155,7 +159,7 @@ def scan(index: VectorIndex, base: np.ndarray, base_key: np.ndarray, base_cell:
         parts = np.zeros((len(block), len(books) * SUB), np.float32)
         parts[:, : block.shape[1]] = block
         table = np.matmul(parts.reshape(len(block), -1, SUB).transpose(1, 0, 2), books.transpose(0, 2, 1))
-        both = (table[::2][:, :, :, None] + table[1::2][:, :, None, :]).reshape(len(books) // 2, len(block), 256)
+        both = (table[::2][:, :, :, None] + table[1::2][:, :, None, :]).reshape(len(books) // 2, -1)
         own = [(q, int(c)) for q in range(len(block)) for c in query_cells[at + q]]
         who, which = np.array(own, np.int64).reshape(-1, 2).T
         place = np.searchsorted(cells, which)
@@ -174,8 +178,9 @@ def scan(index: VectorIndex, base: np.ndarray, base_key: np.ndarray, base_cell:
             c, q = place[n[0]], who[n]
             a, b = begin[c], end[c]
             sums = np.repeat((block[q] @ index.centres[cells[c]])[:, None], b - a, axis=1)
+            own_table = (q * 256)[:, None]
             for m in range(len(both)):
-                sums += both[m][q[:, None], pair[m, a:b][None]]
+                sums += both[m].take(own_table + pair[m, a:b])
             columns = shift[n][:, None] + np.arange(b - a)[None]
             score[q[:, None], columns] = sums
             row[q[:, None], columns] = np.arange(a, b, dtype=np.int32)[None]
@@ -299,16 +304,18 @@ def _neighbours(rows: DataFrame, key: str, vector: str, version: str, width: int
             if not len(batch):
                 continue
             cells = idx.probes(_matrix(batch.column(1), width))
+            # One row per vector and region with the region's probed cells, nearest first.
             region = idx.region[cells]
-            source, where, home, lists = [], [], [], []
-            for i in range(len(cells)):
-                for r in dict.fromkeys(region[i].tolist()):
-                    source.append(i)
-                    where.append(r)
-                    home.append(int(cells[i, 0]) if r == region[i, 0] else -1)
-                    lists.append(cells[i][region[i] == r].astype(np.int16).tobytes())
+            row = np.repeat(np.arange(len(cells)), cells.shape[1])
+            order = np.lexsort((region.ravel(), row))
+            row, place, cell = row[order], region.ravel()[order], cells.ravel()[order].astype(np.int16)
+            begin = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (place[1:] != place[:-1])))
+            source, where = row[begin], place[begin]
+            home = np.where(where == region[source, 0], cells[source, 0], -1)
+            ends = pa.py_buffer((np.append(begin, len(row)) * 2).astype(np.int32).tobytes())
+            lists = pa.BinaryArray.from_buffers(pa.binary(), len(begin), [None, ends, pa.py_buffer(cell.tobytes())])
             take = pa.array(source)
-            columns = [pa.array(where, pa.int32()), pa.array(home, pa.int32()), pa.array(lists, pa.binary())]
+            columns = [pa.array(where, pa.int32()), pa.array(home, pa.int32()), lists]
             arrays = [batch.column(0).take(take), batch.column(1).take(take), *columns]
             yield pa.RecordBatch.from_arrays(arrays, names=["g", "vector", "region", "home", "cells"])
 
