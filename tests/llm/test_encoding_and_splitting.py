@@ -3,7 +3,6 @@ import random
 
 import numpy as np
 import pytest
-from conftest import rows
 
 from orefield.llm import encoding, splitting
 
