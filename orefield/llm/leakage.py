@@ -2,9 +2,8 @@
 
 Method: distributed positional inverted index. Terms are runs of three words; every document's
 partition keeps the postings (term, document, positions) of the terms that occur in test items.
-Search intersects offset-adjusted lists (document position minus item position), from the rarest
-terms of each stretch of an item, and then reads the complete lists of the surviving pairs for exact
-phrase and proximity matches.
+Search intersects the offset-adjusted lists (document position minus item position) of all terms where the
+document's postings lie, and reads the lists of the surviving pairs for exact phrase and proximity matches.
 """
 
 from __future__ import annotations
@@ -19,23 +18,29 @@ from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from orefield.llm.encoding import text_blocks
 from orefield.session import stored
 
 #: Test items are searched in blocks of so many, so what is broadcast stays bounded.
 ITEMS_PER_BLOCK = 5_000
-#: Of each stretch of so many terms of an item, the rarest few are looked up first.
-STRETCH, RAREST = 8, 4
+#: A passage has 10 matching terms or more (DENSITY of 23); a shift may split them over two bands.
+CANDIDATE = 5
+#: A long text is matched with so many items' fields at a time that so many postings are held.
+POSTINGS_AT_ONCE = 2_000_000
 #: A passage: span in words, and a run may skip so many words and drift so far in offset.
 MIN_WORDS, EDGE_SLACK, GAP, DRIFT = 25, 2, 5, 6
-#: Least share of a run's terms that match, and least information (sum of the terms' capped idf).
-DENSITY, INFORMATION, IDF_CAP = 0.42, 50.0, 7.0
+#: Least share of a run's terms that match.
+DENSITY = 0.42
+#: Shared sentences of at most so many words are no passage by themselves.
+SHORT_WORDS = 12
 #: Offsets are compared in overlapping bands of this width.
 BAND = 32
 
 WORD = re.compile(r"[^\W_]+")
+SENTENCE_END = re.compile(r"[.!?]+[\"')\]]*(?=\s|$)|\n")
 TAG = re.compile(r"</?[a-zA-Z][^<>]{0,120}>")
 UNICODE_ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
 ESCAPE = re.compile(r"\\[nrtbfv0\"'/\\]")
@@ -78,26 +83,71 @@ def words_at(text: str) -> list[int]:
     return (np.searchsorted(starts, [m.start() for m in WORD.finditer(flat)], "right") - 1).tolist()
 
 
+def sentences(text: str) -> list[tuple[int, int, str, int]]:
+    """(first word, end, words, number of blank-separated words) of each sentence."""
+    flat = plain_text(text)
+    words = list(WORD.finditer(flat))
+    at = words_at(text)
+    ends = [m.start() for m in SENTENCE_END.finditer(flat)]
+    group = np.searchsorted(ends, [w.start() for w in words], "right")
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(words)] if words else []
+    return [(a, b, " ".join(w[0] for w in words[a:b]), at[b - 1] - at[a] + 1) for a, b in zip(cuts, cuts[1:])]
+
+
+def shared_sentences(items: DataFrame, fields: list[str]) -> DataFrame:
+    """(sentence, blocks) of the short sentences that stand in several distinct texts of the items, there
+    between other sentences: what a copied passage holds inside keeps a neighbour and isn't shared.
+    ``items`` has a column ``block``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for block, *texts in zip(*(c.to_pylist() for c in batch.columns)):
+                for text in filter(None, texts):
+                    found = sentences(text)
+                    whole = " ".join(x[2] for x in found)
+                    around = [f"^{whole}", *(x[2] for x in found), f"{whole}$"]
+                    rows += [(block, x[2], whole, around[n], around[n + 2]) for n, x in enumerate(found) if x[3] <= SHORT_WORDS]
+            names = ["block", "sentence", "whole", "before", "after"]
+            kinds = [pa.int64(), *[pa.string()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kinds[n]) for n in range(5)], names=names)
+
+    found = items.select("block", *fields).mapInArrow(run, "block long, sentence string, whole string, before string, after string")
+    grouped = found.select("block", "sentence", *[F.xxhash64(c).alias(c) for c in ("whole", "before", "after")]).groupBy("sentence")
+    varied = [(F.min(c) != F.max(c)).alias(c) for c in ("whole", "before", "after")]
+    return grouped.agg(F.collect_set("block").alias("blocks"), *varied).where("whole and before and after").select("sentence", "blocks")
+
+
 class TestTerms:
     """The terms of a block of test items; what the executors need to index training texts."""
 
     __test__ = False
 
-    def __init__(self, items: list[tuple], fields: list[str]) -> None:
+    def __init__(self, items: list[tuple], fields: list[str], shared: set[str] = frozenset()) -> None:
         self.vocabulary: dict[str, int] = {}
         texts = [(row[0], f, row[1 + n] or "") for row in items for n, f in enumerate(fields)]
-        split = [(item, f, words_of(t), words_at(t)) for item, f, t in texts]
-        for _, _, words, _ in split:
+        split = [(item, f, words_of(t), words_at(t), self.own_words(t, shared)) for item, f, t in texts]
+        for _, _, words, _, _ in split:
             for w in words:
                 self.vocabulary.setdefault(w, len(self.vocabulary))
         rows = []
-        for item, field, words, at in split:
+        for n, (_, _, words, at, own) in enumerate(split):
             code = self.codes(np.array([self.vocabulary[w] for w in words], np.int64))
-            rows += [(item, field, i, int(c), at[i], at[i + 2]) for i, c in enumerate(code)]
-        self.table = np.unique(np.array([r[3] for r in rows], np.int64))
-        number = {int(c): n for n, c in enumerate(self.table)}
-        #: (item, field, position, term, first and last blank-separated word of the term)
-        self.postings = [(a, b, i, number[c], p, q) for a, b, i, c, p, q in rows]
+            rows += [(int(c), n, i, any(own[i : i + 3]), at[i], at[i + 2]) for i, c in enumerate(code)]
+        self.table = np.unique(np.array([r[0] for r in rows], np.int64))
+        #: The item of each text (a field of an item).
+        self.items = [item for item, *_ in split]
+        columns = np.array(rows, np.int64).reshape(-1, 6).T
+        key = np.searchsorted(self.table, columns[0]) * max(1, len(split)) + columns[1]
+        order = np.argsort(key, kind="stable")
+        #: Postings in order of (term, text): text, position, whether a word is outside of shared sentences,
+        #: first and last blank-separated word of the term.
+        self.key, self.postings = key[order], columns[1:, order]
+
+    @staticmethod
+    def own_words(text: str, shared: set[str]) -> list[bool]:
+        """For each word whether it is outside of the shared short sentences."""
+        return [not (n <= SHORT_WORDS and s in shared) for a, b, s, n in sentences(text) for _ in range(a, b)]
 
     def codes(self, ids: np.ndarray) -> np.ndarray:
         n = len(self.vocabulary) + 1
@@ -143,10 +193,10 @@ def postings(docs: DataFrame, terms: TestTerms, key: str = "doc_id", text: str =
 
 
 def passage(hits: list) -> bool:
-    """Whether the offset-adjusted hits (i, pos, idf, first, last) hold a passage: a run in both texts
-    with few skipped words, long, dense and informative enough."""
-    chains: list[list] = []  # each: first word, first i, last i, last pos, last word, hits, information
-    for i, pos, idf, first, last in sorted(hits):
+    """Whether the offset-adjusted hits (i, pos, own, first, last) hold a passage: a run in both texts
+    with few skipped words, long and dense enough, and not wholly of shared sentences."""
+    chains: list[list] = []  # each: first word, first i, last i, last pos, last word, hits, own words
+    for i, pos, own, first, last in sorted(hits):
         best = None
         for c in chains:
             step, move = i - c[2], pos - c[3]
@@ -154,63 +204,77 @@ def passage(hits: list) -> bool:
                 if best is None or (abs(move - step), step) < best[0]:
                     best = (abs(move - step), step), c
         if best is None:
-            chains.append([first, i, i, pos, last, 1, idf])
+            chains.append([first, i, i, pos, last, 1, own])
         else:
             c = best[1]
-            c[2], c[3], c[4], c[5], c[6] = i, pos, last, c[5] + 1, c[6] + idf
+            c[2], c[3], c[4], c[5], c[6] = i, pos, last, c[5] + 1, c[6] or own
     return any(
         c[4] - c[0] + 1 >= MIN_WORDS - EDGE_SLACK
         and c[5] >= DENSITY * (c[2] - c[1] + 1)
-        and c[6] >= INFORMATION
+        and c[6]
         for c in chains
     )
 
 
+def _candidates(terms: TestTerms, term: np.ndarray, position: np.ndarray) -> Iterator[tuple[int, list]]:
+    """(text, hits) of the texts of items that share enough terms of one offset with a document."""
+    texts = len(terms.items)
+    step = texts
+    low = np.searchsorted(terms.key, term * texts)
+    total = int((np.searchsorted(terms.key, (term + 1) * texts) - low).sum())
+    if total > POSTINGS_AT_ONCE:
+        step = max(1, texts * POSTINGS_AT_ONCE // total)
+    for begin in range(0, texts, step):
+        low = np.searchsorted(terms.key, term * texts + begin)
+        counts = np.searchsorted(terms.key, term * texts + min(texts, begin + step)) - low
+        owner = np.repeat(np.arange(len(term)), counts)
+        at = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts) + low[owner]
+        text, own = terms.postings[0, at], terms.postings[2, at]
+        fit = np.bincount(text, minlength=texts) >= CANDIDATE
+        fit &= np.bincount(text, own, texts) > 0
+        if not fit.any():
+            continue
+        fit = fit[text]
+        at, owner = at[fit], owner[fit]
+        text, i, own, first, last = terms.postings[:, at]
+        pos = position[owner].astype(np.int64)
+        band = (pos - i) // (BAND // 2) + (1 << 31)
+        near = np.zeros(len(at), bool)
+        for shift in (0, 1):
+            _, group, held = np.unique(text << 33 | (band + shift) // 2, return_inverse=True, return_counts=True)
+            near |= (held >= CANDIDATE)[group]
+        flags = np.zeros(texts, bool)
+        flags[text[near & (own > 0)]] = True
+        if not flags.any():
+            continue
+        chosen = flags[text]
+        order = np.argsort(text[chosen], kind="stable")
+        rows = np.stack([i, pos, own, first, last], 1)[chosen][order]
+        names, starts = np.unique(text[chosen][order], return_index=True)
+        for name, hits in zip(names.tolist(), np.split(rows, starts[1:])):
+            yield name, hits.tolist()
+
+
 def _search(docs: DataFrame, terms: TestTerms, key: str, text: str, item_kind: str) -> DataFrame:
-    spark = docs.sparkSession
     index = stored(postings(docs, terms, key, text))
-    total = max(1, index.count())
-    schema = f"item {item_kind}, field string, i int, term int, first int, last int"
-    tests = spark.createDataFrame(terms.postings, schema)
-    frequency = index.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").count()
-    weighed = tests.join(frequency, "term").withColumn(
-        "idf", F.least(F.lit(IDF_CAP), F.log(F.lit(float(total)) / F.col("count")) + 1.0)
-    )
-    stretch = Window.partitionBy("item", "field", F.floor(F.col("i") / STRETCH)).orderBy("count", "i")
-    # Bounded: at most ITEMS_PER_BLOCK items' terms.
-    tests = stored(weighed.withColumn("rare", F.row_number().over(stretch) <= RAREST))
-
-    def occurrences(rows: DataFrame, *keep: str) -> DataFrame:
-        pairs = F.explode(F.arrays_zip("terms", "positions")).alias("x")
-        return rows.select(*keep, pairs).select(*keep, F.col("x.terms").alias("term"), F.col("x.positions").alias("pos"))
-
-    rare = tests.where("rare").select("term", "item", "field", "i")
-    band = F.floor((F.col("pos") - F.col("i")) / (BAND // 2))
-    near = (
-        occurrences(index, "doc")
-        .join(F.broadcast(rare), "term")
-        .select("doc", "item", "field", "i", F.explode(F.array(band, band + 1)).alias("band"))
-        .groupBy("doc", "item", "field", "band")
-        .agg(F.count("*").alias("n"), F.min("i").alias("low"), F.max("i").alias("high"))
-        .where((F.col("n") >= 3) & (F.col("high") - F.col("low") >= MIN_WORDS // 2))
-        .select("doc", "item", "field")
-        .distinct()
-    )
-    full = tests.select("item", "field", "term", "i", F.struct("i", "idf", "first", "last").alias("t"))
-    hits = (
-        occurrences(index.join(near, "doc"), "doc", "item", "field")
-        .join(F.broadcast(full.drop("i")), ["item", "field", "term"])
-        .groupBy("doc", "item", "field")
-        .agg(F.collect_list(F.struct("t.i", "pos", "t.idf", "t.first", "t.last")).alias("hits"))
-    )
-    kind = index.schema["doc"].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
+    schema = index.select("doc").withColumn("item", F.lit(None).cast(item_kind)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = None
         for batch in batches:
-            keep = [passage([tuple(h.values()) for h in row]) for row in batch.column(3).to_pylist()]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            rows, items = [], []
+            for n in range(batch.num_rows):
+                if len(batch.column(1)[n]) < CANDIDATE:
+                    continue
+                term, position = (batch.column(c)[n].values.to_numpy().astype(np.int64) for c in (1, 2))
+                found = {shared.value.items[name] for name, hits in _candidates(shared.value, term, position) if passage(hits)}
+                rows += [n] * len(found)
+                items += found
+            kind = kind or to_arrow_schema(schema).field("item").type
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(items, kind)], names=["doc", "item"])
 
-    return hits.mapInArrow(run, f"doc {kind}, item {item_kind}")
+    return index.mapInArrow(run, schema)
 
 
 def leaked_items(
@@ -225,16 +289,18 @@ def leaked_items(
 
     A passage is at least 25 consecutive blank-separated words, whatever case, layout, punctuation,
     markup or escaping, with scattered words replaced; a run whose ends were replaced may show 2 words
-    fewer. Short sentences that many documents share carry little information and are none by
-    themselves. Null keys, texts and fields hold nothing; items shorter than a passage can't leak;
+    fewer. A run wholly of short sentences that several items share is none, however many documents
+    hold a passage. Null keys, texts and fields hold nothing; items shorter than a passage can't leak;
     repeated documents of one key give one row. Empty tables give an empty result.
     """
     chosen = items.select(items[item_key].alias("item"), *(items[f] for f in fields)).where("item is not null")
     kind = chosen.schema["item"].dataType.simpleString()
     blocks = -(-chosen.count() // ITEMS_PER_BLOCK)
     number = F.pmod(F.xxhash64("item"), F.lit(max(1, blocks)))
+    common = stored(shared_sentences(chosen.withColumn("block", number), list(fields)))
     parts = []
     for n in range(max(1, blocks)):
         rows = chosen.where(number == n).distinct().collect()  # one block of test items
-        parts.append(_search(docs, TestTerms([tuple(r) for r in rows], list(fields)), key, text, kind))
+        shared = {r[0] for r in common.where(F.array_contains("blocks", F.lit(n).cast("long"))).select("sentence").collect()}
+        parts.append(_search(docs, TestTerms([tuple(r) for r in rows], list(fields), shared), key, text, kind))
     return reduce(DataFrame.union, parts).distinct().toDF(key, item_key)

@@ -68,6 +68,28 @@ def test_blocks_of_items_find_the_same(spark, monkeypatch):
     assert set(rows(leakage.leaked_items(*frames(spark, items, docs)))) == truth
 
 
+def test_frequent_passages_are_found(spark):
+    rng = random.Random(4)
+    items = [(i, prose(rng, 35), prose(rng, 40), []) for i in range(4)]
+    leak = items[0][1].split()
+    scattered = [w if n not in (6, 12, 18) else "zebra" for n, w in enumerate(leak[:25])]
+    docs = [(n, " ".join(leak[:25] if n % 2 else scattered)) for n in range(30)] + [(n, prose(rng, 60)) for n in range(30, 50)]
+    assert set(rows(leaked_items(*frames(spark, items, docs)))) == {(n, 0) for n in range(30)}
+    assert rows(leaked_items(*frames(spark, items, docs[1:2]))) == [(1, 0)]
+
+
+def test_only_runs_wholly_of_shared_sentences_are_discounted(spark):
+    rng = random.Random(5)
+    more = "Line numbers refer to the revision named above and may move."
+    third = "Every reviewer signs the protocol below before the gate opens again."
+    block = f"{SHARED} {more} {third}"  # 33 words
+    items = [(i, prose(rng, 35), f"{prose(rng, 30)}. {third} {prose(rng, 20)}. {SHARED} {prose(rng, 20)}. {more} {prose(rng, 15)}.", []) for i in range(3)]
+    items += [(3, prose(rng, 30), f"{prose(rng, 20)}. {block} {prose(rng, 20)}.", [])]
+    tail = " ".join(items[3][2].split()[40:])
+    docs = [(n, prose(rng, 30) + " zebra. " + block + " Zebra " + prose(rng, 30)) for n in range(20)] + [(20, tail)]
+    assert rows(leaked_items(*frames(spark, items, docs))) == [(20, 3)]
+
+
 def test_plain_text():
     assert words_of("It&amp;#x27;s <b>Re\u200bad</b>\\u0054oken\\nCaf\u00e9 a%20b") == ["it", "s", "read", "token", "cafe", "a", "b"]
     assert plain_text("") == "" and words_at("a-b c") == [0, 0, 1]
