@@ -71,6 +71,17 @@ def snapshot_pairs(rows: DataFrame, source: str = "repository", snapshot: str =
     return known.withColumn("to_snapshot", F.lead("from_snapshot").over(step)).where("to_snapshot is not null")
 
 
+def of_last_snapshot(rows: DataFrame, known: DataFrame, back: int = 0, snapshot: str = "snapshot_no", source: str = "repository") -> DataFrame:
+    """The rows of each source's own last snapshot, or of the one ``back`` places before it. ``known`` are the
+    rows (repository, snapshot_no) that tell the snapshots of a repository."""
+    from pyspark.sql import Window
+
+    step = Window.partitionBy("_source").orderBy(F.desc("_snapshot"))
+    numbers = known.select(F.col("repository").alias("_source"), F.col("snapshot_no").alias("_snapshot")).dropna().distinct()
+    chosen = numbers.withColumn("_back", F.row_number().over(step) - 1).where(F.col("_back") == back)
+    return rows.join(chosen, (rows[source] == chosen["_source"]) & (rows[snapshot] == chosen["_snapshot"])).drop("_source", "_snapshot", "_back")
+
+
 def snapshot_changes(rows: DataFrame, **columns: str) -> DataFrame:
     """Every key added, removed or changed between consecutive snapshots of its source.
 

@@ -16,6 +16,7 @@ QUESTION = "Which documentation of the validator snapshot mentions readToken or
 TERMS = question_terms(QUESTION)
 #: Epoch milliseconds at which the queue is looked at.
 NOW_MS = 1_742_000_000_000
+#: The SQL's last snapshot; the queries take each repository's own.
 LAST = 12
 
 QUERIES: dict = {}
@@ -73,6 +74,11 @@ def _states(spark, folder):
     return current_states(table(spark, folder, "symbols"))
 
 
+def _last_states(spark, folder, back=0):
+    """States of each repository's own last snapshot, or of one before it."""
+    return snapshots.of_last_snapshot(_states(spark, folder), table(spark, folder, "symbols"), back)
+
+
 # Retrieval
 
 @query(f"WITH {RECORDS} SELECT * FROM (SELECT repository, id, " + " + ".join(any_hits(c, TERMS, w) for c, w in (("name", 8), ("signature", 3), ("file", 2))) + " AS score FROM records) WHERE score > 0")
@@ -319,14 +325,14 @@ ACTIVE = "(active IS NULL OR active = 1)"
 @query(f"""WITH {STATES} SELECT repository, id, current_status, row_number() OVER (PARTITION BY repository ORDER BY CASE current_status WHEN 'pending' THEN 0 WHEN 'stale' THEN 1 WHEN 'reviewed' THEN 2 ELSE 3 END, file, qualified_name, id)::INT AS position
  FROM st WHERE snapshot_no = {LAST} AND {ACTIVE} AND (current_status IN ('pending', 'stale') OR (current_status = 'failed' AND retries < 3 AND coalesce(retry_after, 0) <= {NOW_MS}))""")
 def queue_order(spark: SparkSession, folder: str) -> DataFrame:
-    """Eligible symbols of the last snapshot in queue order."""
-    return reviews.queue(_states(spark, folder).where(F.col("snapshot_no") == LAST), NOW_MS).select("repository", "id", "current_status", "position")
+    """Eligible symbols of each repository's last snapshot in queue order."""
+    return reviews.queue(_last_states(spark, folder), NOW_MS).select("repository", "id", "current_status", "position")
 
 
 @query(f"""WITH {STATES}, g AS (SELECT repository, CASE WHEN {ACTIVE} THEN current_status ELSE 'inactive' END AS s FROM st WHERE snapshot_no = {LAST}), d(state) AS (VALUES ('pending'), ('stale'), ('reviewed'), ('failed'), ('inactive'))
  SELECT r.repository, d.state, count(g.s) AS n FROM (SELECT DISTINCT repository FROM g) r CROSS JOIN d LEFT JOIN g ON g.repository = r.repository AND g.s = d.state GROUP BY ALL""")
 def queue_status(spark: SparkSession, folder: str) -> DataFrame:
-    return reviews.status_counts(_states(spark, folder).where(F.col("snapshot_no") == LAST))
+    return reviews.status_counts(_last_states(spark, folder))
 
 
 @query(f"""WITH {STATES}, a AS (SELECT repository, id, {digest('content_hash')} AS h, current_status AS s, retries AS r, {ACTIVE} AS act FROM st WHERE snapshot_no = {LAST - 1}),
@@ -337,15 +343,13 @@ def queue_status(spark: SparkSession, folder: str) -> DataFrame:
  FROM a FULL JOIN b ON a.repository = b.repository AND a.id = b.id""")
 def scan_reconciliation(spark: SparkSession, folder: str) -> DataFrame:
     """State of the queue after the last scan, from the state before it."""
-    states = _states(spark, folder)
-    return reviews.reconciled(states.where(F.col("snapshot_no") == LAST - 1), states.where(F.col("snapshot_no") == LAST))
+    return reviews.reconciled(_last_states(spark, folder, 1), _last_states(spark, folder))
 
 
 @query(f"""WITH {STATES}, {REVIEWS}, f AS (SELECT *, {digest('reviewed_hash')} AS h FROM rv WHERE verdict = 'finding'), s AS (SELECT DISTINCT id, {digest('content_hash')} AS h FROM st WHERE snapshot_no = {LAST})
  SELECT id, symbol_id, severity, CASE WHEN EXISTS (SELECT 1 FROM s WHERE s.id = f.symbol_id AND s.h = f.h) THEN 0 ELSE 1 END AS outdated FROM f WHERE EXISTS (SELECT 1 FROM s WHERE s.id = f.symbol_id)""")
 def finding_outdated(spark: SparkSession, folder: str) -> DataFrame:
-    states = _states(spark, folder).where(F.col("snapshot_no") == LAST)
-    return reviews.findings(_reviews(spark, folder), states).select("id", "symbol_id", "severity", "outdated")
+    return reviews.findings(_reviews(spark, folder), _last_states(spark, folder)).select("id", "symbol_id", "severity", "outdated")
 
 
 @query(f"WITH {REVIEWS} SELECT id, symbol_id, model, count(*) OVER (PARTITION BY symbol_id, model ORDER BY created_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sequence FROM rv")
@@ -381,7 +385,7 @@ def severity_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""WITH {STATES}, {REVIEWS} SELECT s.repository, s.id, s.retries + 1 AS retries, {NOW_MS + 60000}::BIGINT AS retry_after, CASE WHEN EXISTS (SELECT 1 FROM rv WHERE rv.symbol_id = s.id) THEN 'reviewed' ELSE 'failed' END AS current_status
  FROM st s WHERE s.snapshot_no = {LAST} AND s.current_status = 'failed'""")
 def failure_transition(spark: SparkSession, folder: str) -> DataFrame:
-    failed = _states(spark, folder).where((F.col("snapshot_no") == LAST) & (F.col("current_status") == "failed"))
+    failed = _last_states(spark, folder).where(F.col("current_status") == "failed")
     return reviews.after_failure(failed, _reviews(spark, folder), NOW_MS).select("repository", "id", "retries", "retry_after", "current_status")
 
 
@@ -516,8 +520,9 @@ def evidence_bundles(spark: SparkSession, folder: str) -> DataFrame:
  SELECT rv.id AS review_id, CASE WHEN rv.symbol_id IN (SELECT id FROM m) THEN 'stale' WHEN rv.symbol_id IN (SELECT id FROM bs) THEN 'file stale' ELSE 'fresh' END AS freshness FROM rv""")
 def claim_freshness(spark: SparkSession, folder: str) -> DataFrame:
     """Reviews that the last snapshot's changes made stale, directly or through their file."""
-    changes = snapshots.snapshot_changes(table(spark, folder, "symbols")).where(F.col("to_snapshot") == LAST)
-    return reviews.claim_freshness(_reviews(spark, folder), changes, _states(spark, folder).where(F.col("snapshot_no") == LAST))
+    symbols = table(spark, folder, "symbols")
+    changes = snapshots.of_last_snapshot(snapshots.snapshot_changes(symbols), symbols, snapshot="to_snapshot", source="source")
+    return reviews.claim_freshness(_reviews(spark, folder), changes, _last_states(spark, folder))
 
 
 @query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY symbol_id ORDER BY indexed_at DESC) AS rn FROM semantic_entries), a AS (SELECT model, CASE WHEN rn > 1 THEN 'superseded' WHEN embedding IS NULL THEN 'missing' WHEN len(embedding) <> 72 THEN 'other length'

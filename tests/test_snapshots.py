@@ -70,3 +70,26 @@ def test_spellings_of_a_digest(spark, text, same):
 
     got = spark.createDataFrame([("a" * 64, text)], "x string, y string").select((digest_bytes(F.col("x")) == digest_bytes(F.col("y"))).alias("s")).first().s
     assert got == same
+
+
+def test_each_repository_has_its_own_last_snapshot(spark):
+    from orefield.operators.snapshots import of_last_snapshot
+
+    df = spark.createDataFrame([("a", 11, "x"), ("a", 13, "y"), ("b", 10, "x"), ("b", 11, "x"), ("c", 5, "z")], "repository string, snapshot_no int, id string")
+    got = lambda back: rows(of_last_snapshot(df, df, back).select("repository", "snapshot_no"))
+    assert got(0) == [("a", 13), ("b", 11), ("c", 5)] and got(1) == [("a", 11), ("b", 10)]
+
+
+def test_queries_read_repositories_without_the_newest_delivery(spark, tmp_path):
+    import datetime as dt
+
+    from orefield.plans import reference_queries
+
+    day = dt.datetime(2025, 1, 1)
+    data = [(r, n, i, "f", i, "pending", day, day, 0, 0, 1, h) for r, n, i, h in [("late", 10, "s", "1"), ("late", 11, "s", "2"), ("new", 12, "t", "1"), ("new", 13, "t", "1"), ("new", 13, "u", "1")]]
+    names = "repository string, snapshot_no int, id string, file string, qualified_name string, current_status string, updated_at timestamp, loaded_at timestamp, retries int, retry_after long, active int, content_hash string"
+    spark.createDataFrame(data, names).write.parquet(str(tmp_path / "symbols.parquet"))
+    got = lambda name: rows(reference_queries.QUERIES[name](spark, str(tmp_path)))
+    assert got("queue_order") == [("late", "s", "pending", 1), ("new", "t", "pending", 1), ("new", "u", "pending", 2)]
+    assert [r[:2] + r[-1:] for r in got("scan_reconciliation")] == [("late", "s", 1), ("new", "t", 1), ("new", "u", 1)]
+    assert sum(r[2] for r in got("queue_status") if r[0] == "late") == 1
