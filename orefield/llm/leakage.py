@@ -1,9 +1,10 @@
 """Evaluation passages inside training texts.
 
-Method: distributed positional inverted index. Terms are runs of three words; every document's
-partition keeps the postings (term, document, positions) of the terms that occur in test items.
-Search intersects the offset-adjusted lists (document position minus item position) of all terms where the
-document's postings lie, and reads the lists of the surviving pairs for exact phrase and proximity matches.
+Method: distributed positional inverted index. Terms are runs of three words. One pass over the corpus
+emits the postings (term, document, position) of the terms that test items hold; they are stored
+clustered by term, the lists of hot terms split. A search intersects the offset-adjusted lists (document
+position minus item position) of each item's rarest terms; for what survives, the complete lists
+are read and matched as exact phrases with few words replaced, skipped or added.
 """
 
 from __future__ import annotations
@@ -12,32 +13,33 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache, reduce
-from itertools import chain, repeat
+from functools import lru_cache
+from hashlib import blake2b
+from itertools import chain
 from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql import Column, DataFrame, functions as F
 
 from orefield.llm.encoding import text_blocks
 from orefield.session import stored
 
-#: Test items are searched in blocks of so many, so what is broadcast stays bounded.
-ITEMS_PER_BLOCK = 5_000
-#: A passage has 10 matching terms or more (DENSITY of 23); a shift may split them over two bands.
-CANDIDATE = 5
-#: A long text is matched with so many items' fields at a time that so many postings are held.
-POSTINGS_AT_ONCE = 2_000_000
 #: A passage: span in words, and a run may skip so many words and drift so far in offset.
 MIN_WORDS, EDGE_SLACK, GAP, DRIFT = 25, 2, 5, 6
 #: Least share of a run's terms that match.
 DENSITY = 0.42
 #: Shared sentences of at most so many words are no passage by themselves.
 SHORT_WORDS = 12
-#: Offsets are compared in overlapping bands of this width.
-BAND = 32
+#: Hits are counted in windows of twice this width, each overlapping half of the next: of offsets, and of the item's
+#: blank-separated words.
+UNIT, SPAN = 16, 24
+#: The filters of the corpus pass and of the second read are bitmaps of so many bits (8 MB), however many terms there are.
+FILTER_BITS = 26
+#: A table of items' terms or of candidates up to this many rows is broadcast; a longer one is shuffled.
+SMALL = 200_000
+#: A worker forgets the hashes of words beyond this number; they are then computed again.
+KNOWN_WORDS = 1_000_000
 
 WORD = re.compile(r"[^\W_]+")
 SENTENCE_END = re.compile(r"[.!?]+[\"')\]]*(?=\s|$)|\n")
@@ -94,187 +96,247 @@ def sentences(text: str) -> list[tuple[int, int, str, int]]:
     return [(a, b, " ".join(w[0] for w in words[a:b]), at[b - 1] - at[a] + 1) for a, b in zip(cuts, cuts[1:])]
 
 
-def shared_sentences(items: DataFrame, fields: list[str]) -> DataFrame:
-    """(sentence, blocks) of the short sentences that stand in several distinct texts of the items, there
-    between other sentences: what a copied passage holds inside keeps a neighbour and isn't shared.
-    ``items`` has a column ``block``."""
+class WordHashes(dict):
+    """64-bit hashes of words, equal in every process."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > KNOWN_WORDS:
+            self.clear()
+        found = self[word] = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest())
+        return found
+
+
+HASHES = WordHashes()
+
+
+def term_codes(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, position, code) of the runs of three words of the texts, in order."""
+    counts = np.fromiter(map(len, texts), np.int64, len(texts))
+    ids = np.fromiter(map(HASHES.__getitem__, chain.from_iterable(texts)), np.uint64, int(counts.sum()))
+    owner = np.repeat(np.arange(len(texts)), counts)
+    position = np.arange(len(ids)) - (np.cumsum(counts) - counts)[owner]
+    if len(ids) < 3:
+        return owner[:0], position[:0], ids[:0].view(np.int64)
+    odd = np.uint64(0x9E3779B97F4A7C15)
+    code = (ids[:-2] * odd + ids[1:-1]) * odd + ids[2:]
+    code ^= code >> np.uint64(29)
+    code *= odd
+    whole = owner[:-2] == owner[2:]
+    return owner[:-2][whole], position[:-2][whole], code[whole].view(np.int64)
+
+
+def _checked(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if its number of rows is proven small."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
+# The items' side
+
+
+def item_texts(items: DataFrame, item_key: str, fields: list[str]) -> DataFrame:
+    """(text, item, sentence number, words, at, size, sentence, before, after, whole): a row per sentence of
+    each text of an item; ``text`` numbers the texts."""
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(f).alias("value")) for n, f in enumerate(fields)])).alias("t")
+    texts = items.where(F.col(item_key).isNotNull()).select(F.col(item_key).alias("item"), *fields).distinct()
+    texts = texts.select("item", each).where("t.value is not null").select(F.monotonically_increasing_id().alias("text"), "item", F.col("t.value").alias("value"))
+    schema = f"text bigint, item {texts.schema['item'].dataType.simpleString()}, number int, words array<string>, at array<int>, size int, sentence string, before string, after string, whole string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for block, *texts in zip(*(c.to_pylist() for c in batch.columns)):
-                for text in filter(None, texts):
-                    found = sentences(text)
-                    whole = " ".join(x[2] for x in found)
-                    around = [f"^{whole}", *(x[2] for x in found), f"{whole}$"]
-                    rows += [(block, x[2], whole, around[n], around[n + 2]) for n, x in enumerate(found) if x[3] <= SHORT_WORDS]
-            names = ["block", "sentence", "whole", "before", "after"]
-            kinds = [pa.int64(), *[pa.string()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kinds[n]) for n in range(5)], names=names)
-
-    found = items.select("block", *fields).mapInArrow(run, "block long, sentence string, whole string, before string, after string")
-    grouped = found.select("block", "sentence", *[F.xxhash64(c).alias(c) for c in ("whole", "before", "after")]).groupBy("sentence")
+            take, rows = [], []
+            for n, value in enumerate(batch.column(2).to_pylist()):
+                found, at = sentences(value), words_at(value)
+                whole = " ".join(x[2] for x in found)
+                around = [f"^{whole}", *(x[2] for x in found), f"{whole}$"]
+                for k, (a, b, sentence, size) in enumerate(found):
+                    take.append(n)
+                    rows.append((k, sentence.split(" "), at[a:b], size, sentence, around[k], around[k + 2], whole))
+            kinds = [pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.int32(), *[pa.string()] * 4]
+            columns = [pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)]
+            keys = [batch.column(c).take(pa.array(take, pa.int64())) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*keys, *columns], names=[c.split()[0] for c in schema.split(", ")])
+
+    return stored(texts.mapInArrow(run, schema))
+
+
+def shared_sentences(told: DataFrame) -> DataFrame:
+    """The short sentences that stand in several distinct texts of the items, there between other
+    sentences: what a copied passage holds inside keeps a neighbour and isn't shared."""
+    short = told.where(F.col("size") <= SHORT_WORDS).select("sentence", *[F.xxhash64(c).alias(c) for c in ("whole", "before", "after")])
     varied = [(F.min(c) != F.max(c)).alias(c) for c in ("whole", "before", "after")]
-    return grouped.agg(F.collect_set("block").alias("blocks"), *varied).where("whole and before and after").select("sentence", "blocks")
-
-
-class TestTerms:
-    """The terms of a block of test items; what the executors need to index training texts."""
-
-    __test__ = False
-
-    def __init__(self, items: list[tuple], fields: list[str], shared: set[str] = frozenset()) -> None:
-        self.vocabulary: dict[str, int] = {}
-        texts = [(row[0], f, row[1 + n] or "") for row in items for n, f in enumerate(fields)]
-        split = [(item, f, words_of(t), words_at(t), self.own_words(t, shared)) for item, f, t in texts]
-        for _, _, words, _, _ in split:
-            for w in words:
-                self.vocabulary.setdefault(w, len(self.vocabulary))
-        rows = []
-        for n, (_, _, words, at, own) in enumerate(split):
-            code = self.codes(np.array([self.vocabulary[w] for w in words], np.int64))
-            rows += [(int(c), n, i, any(own[i : i + 3]), at[i], at[i + 2]) for i, c in enumerate(code)]
-        self.table = np.unique(np.array([r[0] for r in rows], np.int64))
-        #: The item of each text (a field of an item).
-        self.items = [item for item, *_ in split]
-        columns = np.array(rows, np.int64).reshape(-1, 6).T
-        key = np.searchsorted(self.table, columns[0]) * max(1, len(split)) + columns[1]
-        order = np.argsort(key, kind="stable")
-        #: Postings in order of (term, text): text, position, whether a word is outside of shared sentences,
-        #: first and last blank-separated word of the term.
-        self.key, self.postings = key[order], columns[1:, order]
-
-    @staticmethod
-    def own_words(text: str, shared: set[str]) -> list[bool]:
-        """For each word whether it is outside of the shared short sentences."""
-        return [not (n <= SHORT_WORDS and s in shared) for a, b, s, n in sentences(text) for _ in range(a, b)]
-
-    def codes(self, ids: np.ndarray) -> np.ndarray:
-        n = len(self.vocabulary) + 1
-        return ((ids[:-2] * n) + ids[1:-1]) * n + ids[2:] if len(ids) > 2 else np.zeros(0, np.int64)
-
-    def lookup(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, position, term) of every occurrence of a test term, in order."""
-        split = [words_of(t) for t in texts]
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        flat = chain.from_iterable(split)
-        ids = np.fromiter(map(self.vocabulary.get, flat, repeat(-1)), np.int64, int(counts.sum()))
-        owner = np.repeat(np.arange(len(texts)), counts)
-        known = ids >= 0
-        if len(ids) < 3 or not len(self.table):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.flatnonzero(known[:-2] & known[1:-1] & known[2:] & (owner[:-2] == owner[2:]))
-        n = len(self.vocabulary) + 1
-        code = (ids[at] * n + ids[at + 1]) * n + ids[at + 2]
-        term = np.minimum(np.searchsorted(self.table, code), len(self.table) - 1)
-        hit = self.table[term] == code
-        at, term = at[hit], term[hit]
-        begins = np.cumsum(counts) - counts
-        return owner[at], at - begins[owner[at]], term
-
-
-def postings(docs: DataFrame, terms: TestTerms, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The index: per document the terms it holds and their positions (two arrays in step)."""
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
+    return short.groupBy("sentence").agg(*varied).where("whole and before and after").select("sentence", F.lit(True).alias("shared"))
+
+
+def item_terms(told: DataFrame) -> DataFrame:
+    """(term, text, i, own, before, first, last): postings of the items' texts. ``own``: a word of the term is
+    outside of shared sentences; ``before``: the own terms before it; ``first`` and ``last``: the
+    blank-separated words that it spans."""
+    marked = told.select("text", "number", "words", "at", "sentence").join(shared_sentences(told), "sentence", "left")
+    parts = marked.groupBy("text").agg(F.array_sort(F.collect_list(F.struct("number", "words", "at", F.coalesce("shared", F.lit(False)).alias("shared")))).alias("parts"))
+    joined = parts.select("text", F.flatten("parts.words").alias("words"), F.flatten("parts.at").alias("at"), F.flatten(F.transform("parts", lambda p: F.transform(p["words"], lambda w: ~p["shared"]))).alias("own"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, i, code = term_codes(batch.column(1).to_pylist())
+            at, own = (batch.column(c).to_pylist() for c in (2, 3))
+            held = np.array([any(own[t][k : k + 3]) for t, k in zip(owner.tolist(), i.tolist())], np.int64)
+            before = np.cumsum(held) - held
+            before -= np.repeat(before[i == 0], np.unique(owner, return_counts=True)[1])
+            ends = [np.array([at[t][k + n] for t, k in zip(owner.tolist(), i.tolist())], np.int32) for n in (0, 2)]
+            columns = [pa.array(x) for x in (i.astype(np.int32), held > 0, before.astype(np.int32), *ends)]
+            yield pa.RecordBatch.from_arrays([pa.array(code), batch.column(0).take(pa.array(owner)), *columns], names=["term", "text", "i", "own", "before", "first", "last"])
+
+    return stored(joined.mapInArrow(run, "term bigint, text bigint, i int, own boolean, before int, first int, last int"))
+
+
+def bit_words(values: Column) -> tuple[Column, Column]:
+    """(word, bit) of a value in a bitmap of 2 ** FILTER_BITS bits, in words of 32 bits."""
+    slot = F.shiftrightunsigned(values, 64 - FILTER_BITS)
+    return F.shiftright(slot, 5).cast("int"), (slot % 32).cast("int")
+
+
+def bitmap(values: DataFrame, column: str) -> DataFrame:
+    """(word, bits) of the set bits: at most 2 ** (FILTER_BITS - 5) rows, whatever the number of values."""
+    word, bit = bit_words(F.col(column))
+    return values.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
+# The index
+
+
+def inverted_index(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(term, doc, pos): the postings of all documents, stored clustered by term. One pass over the texts,
+    whatever the number of items; a term that no item holds may pass the filter and finds no partner
+    later. ``rebalance`` cuts the lists of hot terms where a partition outgrows the advised size."""
+    spark = docs.sparkSession
+    held = bitmap(terms, "term").toArrow()
+    bits = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
+    bits[held.column("word").to_numpy()] = held.column("bits").to_numpy().astype(np.uint32)
+    shared = spark.sparkContext.broadcast(bits)
     rows = docs.select(docs[key].alias("doc"), docs[text].alias("text")).where("doc is not null and text is not null")
     kind = rows.schema["doc"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled = shared.value
         for batch in batches:
             for start, block in text_blocks(batch.column(1).to_pylist()):
-                owner, position, term = shared.value.lookup(block)
-                held, first = np.unique(owner, return_index=True)
-                offsets = pa.array(np.append(first, len(owner)).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (term, position)]
-                keys = batch.column(0).take(pa.array(held + start))
-                yield pa.RecordBatch.from_arrays([keys, *lists], names=["doc", "terms", "positions"])
+                owner, position, code = term_codes([words_of(t) for t in block])
+                slot = code.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+                hit = np.flatnonzero(filled[slot >> np.uint64(5)] >> (slot & np.uint64(31)).astype(np.uint32) & np.uint32(1))
+                keys = batch.column(0).take(pa.array(owner[hit] + start))
+                yield pa.RecordBatch.from_arrays([pa.array(code[hit]), keys, pa.array(position[hit].astype(np.int32))], names=["term", "doc", "pos"])
+
+    postings = rows.mapInArrow(run, f"term bigint, doc {kind}, pos int")
+    return stored(postings.hint("rebalance", "term").sortWithinPartitions("term", "doc"))
+
+
+# Search
+
+
+def choose_seeds(first: np.ndarray, last: np.ndarray, own: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether a term is a seed, hits needed beside it) of a text's terms in order.
+
+    In each shortest passage (a window of terms) at least ``asked`` of its own terms match. The most frequent
+    ones are left out while in every window they stay at most half of that; so a passage shows at least
+    ``asked`` minus the left out ones among the seeds.
+    """
+    ends = np.searchsorted(last, first + MIN_WORDS - EDGE_SLACK - 1, "left") + 1  # the window that starts at each term
+    starts = np.flatnonzero(ends <= len(first))
+    ends = ends[starts]
+    asked = np.array([max(1, np.ceil(DENSITY * own[a:b].sum())) for a, b in zip(starts, ends)], np.int64)
+    seed, missing = (count > 0) & own, np.zeros(len(starts), np.int64)
+    for i in np.argsort(-count, kind="stable"):
+        if seed[i]:
+            over = (starts <= i) & (ends > i)
+            if over.any() and (missing[over] < asked[over] // 2).all():
+                seed[i] = False
+                missing[over] += 1
+    need = np.zeros(len(first), np.int64)
+    for i in np.flatnonzero(seed):
+        over = (starts <= i) & (ends > i)
+        # Hits are told apart by their number modulo 64, so more terms than that may hide one another.
+        hidden = -(-max(np.sum((first // SPAN == p) | (first // SPAN == p + 1)) for p in (first[i] // SPAN - 1, first[i] // SPAN)) // 64)
+        need[i] = max(1, -(-(asked - missing)[over].min() // hidden)) if over.any() else 0
+    return seed & (need > 0), need
+
+
+def seeds_of(terms: DataFrame, index: DataFrame) -> DataFrame:
+    """(term, text, i, first, need): the rarest terms of each text that suffice to find every passage."""
+    counts = index.groupBy("term").agg(F.count("*").alias("count"))
+    told = terms.join(counts, "term", "left").groupBy("text").agg(F.array_sort(F.collect_list(F.struct("i", "term", "own", "first", "last", F.coalesce("count", F.lit(0)).alias("count")))).alias("t"))
+    told = told.select("text", *[F.col(f"t.{c}").alias(c) for c in ("i", "term", "own", "first", "last", "count")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                i, term, own, first, last, count = (batch.column(c)[n].values.to_numpy(zero_copy_only=False) for c in range(1, 7))
+                seed, need = choose_seeds(first, last, own.astype(bool), count)
+                text = pa.array(np.repeat(batch.column(0)[n].as_py(), int(seed.sum())), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(term[seed]), text, pa.array(i[seed]), pa.array(first[seed]), pa.array(need[seed].astype(np.int32))], names=["term", "text", "i", "first", "need"])
 
-    return rows.mapInArrow(run, f"doc {kind}, terms array<int>, positions array<int>")
+    return stored(told.mapInArrow(run, "term bigint, text bigint, i int, first int, need int"))
+
+
+def candidates(index: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(doc, text, band, part): where enough seeds of one stretch of a text stand at nearly one offset in a
+    document."""
+    band, part = F.floor((F.col("pos") - F.col("i")) / UNIT).cast("int"), F.floor(F.col("first") / SPAN).cast("int")
+    own = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("i") % 64)
+    hits = index.join(_checked(seeds), "term").select("doc", "text", band.alias("band"), part.alias("part"), own.alias("own"), "need")
+    # One shuffle: the sums of the overlapping windows keep its partitioning.
+    cells = hits.repartition("doc", "text").groupBy("doc", "text", "band", "part").agg(F.bit_or("own").alias("own"), F.min("need").alias("need"))
+    windows = F.explode(F.array(*[F.struct((F.col("band") - b).alias("band"), (F.col("part") - p).alias("part")) for b in (0, 1) for p in (0, 1)])).alias("w")
+    summed = cells.select("doc", "text", windows, "own", "need").groupBy("doc", "text", "w.band", "w.part").agg(F.bit_count(F.bit_or("own")).alias("n"), F.min("need").alias("need"))
+    return summed.where("n >= need").select("doc", "text", "band", "part")
 
 
 def passage(hits: list) -> bool:
-    """Whether the offset-adjusted hits (i, pos, own, first, last) hold a passage: a run in both texts
-    with few skipped words, long and dense enough, and not wholly of shared sentences."""
-    chains: list[list] = []  # each: first word, first i, last i, last pos, last word, hits, own words
-    for i, pos, own, first, last in sorted(hits):
+    """Whether the offset-adjusted hits (i, pos, own, before, first, last) hold a passage: a run in both texts
+    with few skipped words, long enough, and dense enough both in all its terms and in its own, which
+    are those outside of shared sentences."""
+    chains: list[list] = []  # each: first hit, last hit, hits, own hits
+    for hit in sorted(set(hits)):
         best = None
         for c in chains:
-            step, move = i - c[2], pos - c[3]
+            step, move = hit[0] - c[1][0], hit[1] - c[1][1]
             if 0 < step <= GAP + 2 and move > 0 and abs(move - step) <= DRIFT:
                 if best is None or (abs(move - step), step) < best[0]:
                     best = (abs(move - step), step), c
         if best is None:
-            chains.append([first, i, i, pos, last, 1, own])
+            chains.append([hit, hit, 1, int(hit[2])])
         else:
-            c = best[1]
-            c[2], c[3], c[4], c[5], c[6] = i, pos, last, c[5] + 1, c[6] or own
+            best[1][1:] = hit, best[1][2] + 1, best[1][3] + hit[2]
     return any(
-        c[4] - c[0] + 1 >= MIN_WORDS - EDGE_SLACK
-        and c[5] >= DENSITY * (c[2] - c[1] + 1)
-        and c[6]
-        for c in chains
+        b[5] - a[4] + 1 >= MIN_WORDS - EDGE_SLACK and n >= DENSITY * (b[0] - a[0] + 1) and own >= max(1, DENSITY * (b[3] + b[2] - a[3]))
+        for a, b, n, own in chains
     )
 
 
-def _candidates(terms: TestTerms, term: np.ndarray, position: np.ndarray) -> Iterator[tuple[int, list]]:
-    """(text, hits) of the texts of items that share enough terms of one offset with a document."""
-    texts = len(terms.items)
-    step = texts
-    low = np.searchsorted(terms.key, term * texts)
-    total = int((np.searchsorted(terms.key, (term + 1) * texts) - low).sum())
-    if total > POSTINGS_AT_ONCE:
-        step = max(1, texts * POSTINGS_AT_ONCE // total)
-    for begin in range(0, texts, step):
-        low = np.searchsorted(terms.key, term * texts + begin)
-        counts = np.searchsorted(terms.key, term * texts + min(texts, begin + step)) - low
-        owner = np.repeat(np.arange(len(term)), counts)
-        at = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts) + low[owner]
-        text, own = terms.postings[0, at], terms.postings[2, at]
-        fit = np.bincount(text, minlength=texts) >= CANDIDATE
-        fit &= np.bincount(text, own, texts) > 0
-        if not fit.any():
-            continue
-        fit = fit[text]
-        at, owner = at[fit], owner[fit]
-        text, i, own, first, last = terms.postings[:, at]
-        pos = position[owner].astype(np.int64)
-        band = (pos - i) // (BAND // 2) + (1 << 31)
-        near = np.zeros(len(at), bool)
-        for shift in (0, 1):
-            _, group, held = np.unique(text << 33 | (band + shift) // 2, return_inverse=True, return_counts=True)
-            near |= (held >= CANDIDATE)[group]
-        flags = np.zeros(texts, bool)
-        flags[text[near & (own > 0)]] = True
-        if not flags.any():
-            continue
-        chosen = flags[text]
-        order = np.argsort(text[chosen], kind="stable")
-        rows = np.stack([i, pos, own, first, last], 1)[chosen][order]
-        names, starts = np.unique(text[chosen][order], return_index=True)
-        for name, hits in zip(names.tolist(), np.split(rows, starts[1:])):
-            yield name, hits.tolist()
-
-
-def _search(docs: DataFrame, terms: TestTerms, key: str, text: str, item_kind: str) -> DataFrame:
-    index = stored(postings(docs, terms, key, text))
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
-    schema = index.select("doc").withColumn("item", F.lit(None).cast(item_kind)).schema
+def matched(index: DataFrame, terms: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc, text) of the candidates whose complete lists hold a passage.
+
+    The lists of documents without a candidate are left out by a bitmap of the candidates' keys, then the
+    lists are joined by document and term. A group holds the hits of one window: at most its length in the
+    item times its width in offsets, however often a document repeats a passage.
+    """
+    word, bit = bit_words(F.xxhash64("doc"))
+    held = F.broadcast(bitmap(found.select(F.xxhash64("doc").alias("h")), "h"))
+    lists = index.join(held, word == held["word"]).where(F.getbit("bits", bit) == 1).select("term", "doc", "pos")
+    wanted = found.join(_checked(terms), "text").where((F.floor(F.col("first") / SPAN) - F.col("part")).isin(0, 1))
+    band = F.floor((F.col("pos") - F.col("i")) / UNIT).cast("int")
+    hits = lists.join(wanted, ["doc", "term"]).where((band - F.col("band")).isin(0, 1))
+    groups = hits.groupBy("doc", "text", "band", "part").agg(F.collect_list(F.struct("i", "pos", "own", "before", "first", "last")).alias("hits"))
+    schema = groups.select("doc", "text").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = None
         for batch in batches:
-            rows, items = [], []
-            for n in range(batch.num_rows):
-                if len(batch.column(1)[n]) < CANDIDATE:
-                    continue
-                term, position = (batch.column(c)[n].values.to_numpy().astype(np.int64) for c in (1, 2))
-                found = {shared.value.items[name] for name, hits in _candidates(shared.value, term, position) if passage(hits)}
-                rows += [n] * len(found)
-                items += found
-            kind = kind or to_arrow_schema(schema).field("item").type
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(items, kind)], names=["doc", "item"])
+            lists, parts = batch.column(2), batch.column(2).values
+            columns = [parts.field(c).to_pylist() for c in range(6)]
+            ends = lists.offsets.to_pylist()
+            good = [passage(list(zip(*(c[a:b] for c in columns)))) for a, b in zip(ends, ends[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good, pa.bool_())) for c in (0, 1)], names=["doc", "text"])
 
-    return index.mapInArrow(run, schema)
+    return groups.select("doc", "text", "hits").mapInArrow(run, schema).distinct()
 
 
 def leaked_items(
@@ -291,16 +353,14 @@ def leaked_items(
     markup or escaping, with scattered words replaced; a run whose ends were replaced may show 2 words
     fewer. A run wholly of short sentences that several items share is none, however many documents
     hold a passage. Null keys, texts and fields hold nothing; items shorter than a passage can't leak;
-    repeated documents of one key give one row. Empty tables give an empty result.
+    repeated rows of a document or an item count once, and texts under one key are searched as one
+    document. Empty tables give an empty result. The answer to an item doesn't depend on the other
+    documents, and on the other items only by the sentences they share.
     """
-    chosen = items.select(items[item_key].alias("item"), *(items[f] for f in fields)).where("item is not null")
-    kind = chosen.schema["item"].dataType.simpleString()
-    blocks = -(-chosen.count() // ITEMS_PER_BLOCK)
-    number = F.pmod(F.xxhash64("item"), F.lit(max(1, blocks)))
-    common = stored(shared_sentences(chosen.withColumn("block", number), list(fields)))
-    parts = []
-    for n in range(max(1, blocks)):
-        rows = chosen.where(number == n).distinct().collect()  # one block of test items
-        shared = {r[0] for r in common.where(F.array_contains("blocks", F.lit(n).cast("long"))).select("sentence").collect()}
-        parts.append(_search(docs, TestTerms([tuple(r) for r in rows], list(fields), shared), key, text, kind))
-    return reduce(DataFrame.union, parts).distinct().toDF(key, item_key)
+    told = item_texts(items, item_key, list(fields))
+    terms = item_terms(told)
+    index = inverted_index(docs, terms, key, text)
+    found = stored(candidates(index, seeds_of(terms, index)))
+    pairs = matched(index, terms, found)
+    names = told.select("text", "item").distinct()
+    return pairs.join(names, "text").select("doc", "item").distinct().toDF(key, item_key)
