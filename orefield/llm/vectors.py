@@ -1,9 +1,11 @@
 """The k most similar vectors of every vector, within an acceptable loss.
 
-Method: vectors are grouped into cells around centroids; within the cells a query probes, four-bit
-codes are scanned through lookup tables and the best are reranked by their exact products. The
-codebooks minimise a score-aware loss that weighs residual error parallel to the vector more than
-orthogonal error. Centroids and codebooks are fitted on a bounded sample; every vector is indexed.
+Method: vectors are grouped into regions around centroids, as many as the table is long; every vector visits
+the nearest regions. There, in one task, the region is cut into small cells; the four-bit codes of the
+cells nearest to a query are scanned through lookup tables, and all that may be among its best
+are reranked by their exact products. The codebooks minimise a score-aware loss that weighs residual error
+parallel to the vector more than orthogonal error. Regions and codebooks are fitted on bounded
+samples; every vector is indexed.
 """
 
 from __future__ import annotations
@@ -19,20 +21,29 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from orefield.session import stored
 
-#: Fitting sample: at most so many vectors (19 MB at 72 dimensions).
+#: Fitting sample on the driver: at most so many vectors (19 MB at 72 dimensions).
 SAMPLE = 40_000
-#: Vectors per cell aimed at, most cells, and cells per region (one group of the scan).
-CELL, MOST_CELLS, CELLS_PER_REGION = 120, 4_096, 8
-#: Cells probed by each vector, and candidates reranked per vector and region.
-PROBES, RERANK = 4, 100
+#: Vectors per region aimed at. Up to TOP regions are fitted on the driver's sample; a larger table's regions are
+#: fitted below TOP nodes in tasks, on so many sampled vectors each. Their centroids are broadcast, so their
+#: number is bounded (38 MB); a table of more than 537 million vectors has longer regions.
+REGION, TOP, SAMPLED, MOST_REGIONS = 2_048, 256, 32, 262_144
+#: Regions that a vector visits on average (those whose centroid is nearly as near as the nearest's), the most, and
+#: nodes looked into for them.
+VISITS, MOST_VISITS, NODES = 3.5, 12, 8
+#: Vectors per cell, and cells scanned in the first, second, ... region.
+CELL, PROBES = 64, (8, 6, 4, 3, 3, 2, 2, 2, 1, 1, 1, 1)
+#: Candidates reranked per vector and region: at least so many, and all whose quantised score is within so many
+#: standard errors of the k-th best.
+RERANK, ERRORS = 40, 3.0
 #: Weight of parallel against orthogonal residual error (anisotropic loss); passes of its fit.
 PARALLEL, PASSES = 4.0, 4
 #: Dimensions per four-bit code.
 SUB = 2
 #: Scale of the fixed-point form in which unit vectors travel.
 FIXED = np.float32(32767)
-#: A region holding more vectors than this is cut into blocks; queries then visit each block.
-BLOCK = 20_000
+#: A group of the scan holds at most about so many vectors of a region and so many of its visitors; a crowded
+#: region is cut on both sides, and each part of the visitors meets each part of the vectors.
+BLOCK, VISITORS = 8_192, 24_576
 #: Queries handled at once in a task.
 QUERY_BLOCK = 512
 #: A list of copies or of their groups up to this many rows is broadcast; a longer one is shuffled.
@@ -107,77 +118,108 @@ def encode(x: np.ndarray, residual: np.ndarray, books: np.ndarray) -> np.ndarray
 
 @dataclass
 class VectorIndex:
-    """What every task needs: centroids, the region of each cell, and the codebooks."""
+    """What every task needs: the nodes, the regions in order of their node, and the codebooks."""
 
-    centres: np.ndarray
-    region: np.ndarray
+    nodes: np.ndarray
+    regions: np.ndarray
+    begin: np.ndarray  # the first region of each node, and the number of regions
     books: np.ndarray
-    width: int
+    margin: float = 0.0  # how much less near than the nearest a visited region may be
 
-    def probes(self, x: np.ndarray) -> np.ndarray:
-        """The nearest cells of each vector, nearest first."""
-        n = min(PROBES, len(self.centres))
-        found = np.empty((len(x), n), np.int64)
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest regions of each vector among those of its nearest nodes, nearest first, and how much less
+        near they are than the first."""
+        wanted = min(MOST_VISITS, len(self.regions))
+        found, gap = np.empty((len(x), wanted), np.int64), np.empty((len(x), wanted), np.float32)
         for a in range(0, len(x), 2_000):  # bounds the products held at once
-            score = x[a : a + 2_000] @ self.centres.T
-            top = np.argpartition(-score, n - 1, axis=1)[:, :n]
-            order = np.argsort(-np.take_along_axis(score, top, 1), axis=1, kind="stable")
-            found[a : a + 2_000] = np.take_along_axis(top, order, 1)
-        return found
-
-
-def fit_index(sample: np.ndarray, total: int) -> VectorIndex:
-    """Fit on a bounded sample; the number of cells follows the number of all vectors."""
-    width = sample.shape[1]
-    pad = -width % SUB
-    sample = np.pad(sample, ((0, 0), (0, pad)))
-    cells = int(max(1, min(MOST_CELLS, total // CELL, len(sample) // 4)))
-    centres = kmeans(sample, cells, 8)
-    region = np.arange(cells) % max(1, cells // CELLS_PER_REGION)
+            part = x[a : a + 2_000]
+            if len(self.nodes) == len(self.regions):
+                product = part @ self.regions.T
+                best = _first(product, wanted)
+                found[a : a + 2_000], gap[a : a + 2_000] = best, np.take_along_axis(product, best, 1)
+                continue
+            near = _first(part @ self.nodes.T, min(NODES, len(self.nodes)))
+            scores = np.full((len(part), near.shape[1], wanted), -np.inf, np.float32)
+            names = np.zeros(scores.shape, np.int64)
+            for node in np.unique(near):
+                row, place = np.nonzero(near == node)
+                low, high = self.begin[node], self.begin[node + 1]
+                product = part[row] @ self.regions[low:high].T
+                top = _first(product, min(wanted, high - low))
+                scores[row, place, : top.shape[1]] = np.take_along_axis(product, top, 1)
+                names[row, place, : top.shape[1]] = top + low
+            scores, names = scores.reshape(len(part), -1), names.reshape(len(part), -1)
+            best = _first(scores, wanted)
+            found[a : a + 2_000], gap[a : a + 2_000] = np.take_along_axis(names, best, 1), np.take_along_axis(scores, best, 1)
+        return found, gap[:, :1] - gap
+
+    def with_margin(self, sample: np.ndarray) -> "VectorIndex":
+        """With the margin at which a vector of the sample visits VISITS regions on average."""
+        gaps = np.sort(self.nearest(sample[:8_000])[1].ravel())
+        self.margin = float(gaps[min(len(gaps) - 1, int(VISITS * min(len(sample), 8_000)))])
+        return self
+
+
+def _first(score: np.ndarray, n: int) -> np.ndarray:
+    """Columns of the ``n`` largest of each row, largest first."""
+    top = np.argpartition(-score, n - 1, axis=1)[:, :n]
+    return np.take_along_axis(top, np.argsort(-np.take_along_axis(score, top, 1), axis=1, kind="stable"), 1)
+
+
+def fit_books(sample: np.ndarray) -> np.ndarray:
+    """Codebooks of the residuals to centroids of cells, on a bounded sample."""
     few = sample[np.random.default_rng(1).permutation(len(sample))[:10_000]]
-    residual = few - centres[(few @ centres.T).argmax(1)]
-    return VectorIndex(centres, region, codebooks(few, residual), width)
-
-
-def scan(index: VectorIndex, base: np.ndarray, base_key: np.ndarray, base_cell: np.ndarray, query: np.ndarray,
-         query_key: np.ndarray, query_cells: list[np.ndarray], k: int):
-    """(query position, key, exact product) of the best ``k`` of each query within its cells of a region."""
-    order = np.argsort(base_cell, kind="stable")
-    base, base_key, base_cell = base[order], base_key[order], base_cell[order]
-    if not len(base):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    code = encode(base, base - index.centres[base_cell], index.books)
-    books = index.books
+    centres = kmeans(few, max(1, len(few) // CELL), 5)
+    return codebooks(few, few - centres[(few @ centres.T).argmax(1)])
+
+
+def scan(books: np.ndarray, base: np.ndarray, base_key: np.ndarray, query: np.ndarray, query_key: np.ndarray, probes: np.ndarray, k: int):
+    """(query position, key, exact product) of the best ``k`` of each query within the ``probes`` cells of a
+    region that are nearest to it."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    if not len(base) or not len(query):
+        return none
+    count = max(1, len(base) // CELL)
+    some = base[np.random.default_rng(5).permutation(len(base))[: 16 * count]]
+    centres = kmeans(some, count, 4)
+    own = (base @ centres.T).argmax(1)
+    order = np.argsort(own, kind="stable")
+    base, base_key, own = base[order], base_key[order], own[order]
+    residual = base - centres[own]
+    code = encode(base, residual, books)
+    left = residual - books[np.arange(code.shape[1])[None], code].reshape(len(base), -1)
+    error = float(np.sqrt(np.square(left).sum(1).mean() / base.shape[1]))  # of a product, if errors have no direction
     if code.shape[1] % 2:
         code, books = np.pad(code, ((0, 0), (0, 1))), np.concatenate([books, np.zeros_like(books[:1])])
     pair = (code[:, ::2].astype(np.int64) << 4 | code[:, 1::2]).T.copy()  # two four-bit codes a byte
-    cells, begin = np.unique(base_cell, return_index=True)
-    end = np.append(begin[1:], len(base))
-    found_q, found_i, found_s = [], [], []
+    begin = np.searchsorted(own, np.arange(count + 1))
+    found = []
     for at in range(0, len(query), QUERY_BLOCK):
         block = query[at : at + QUERY_BLOCK]
         parts = np.zeros((len(block), len(books) * SUB), np.float32)
         parts[:, : block.shape[1]] = block
         table = np.matmul(parts.reshape(len(block), -1, SUB).transpose(1, 0, 2), books.transpose(0, 2, 1))
         both = (table[::2][:, :, :, None] + table[1::2][:, :, None, :]).reshape(len(books) // 2, -1)
-        own = [(q, int(c)) for q in range(len(block)) for c in query_cells[at + q]]
-        who, which = np.array(own, np.int64).reshape(-1, 2).T
-        place = np.searchsorted(cells, which)
-        held = (place < len(cells)) & (cells[np.minimum(place, len(cells) - 1)] == which)
-        who, which, place = who[held], which[held], place[held]
-        size = (end - begin)[place]
+        product = block @ centres.T
+        most = min(int(probes[at : at + QUERY_BLOCK].max()), count)
+        near = _first(product, most)
+        chosen = np.arange(most)[None] < probes[at : at + QUERY_BLOCK, None]
+        who, place = np.nonzero(chosen)[0], near[chosen]
+        size = (begin[1:] - begin[:-1])[place]
         total = np.bincount(who, size, len(block)).astype(np.int64)
-        if not len(who):
+        width = int(total.max())
+        if not width:
             continue
-        shift = np.cumsum(size) - size  # pairs are in the order of the queries
-        shift -= (np.cumsum(total) - total)[who]
-        score = np.full((len(block), int(total.max())), -np.inf, np.float32)
+        shift = np.cumsum(size) - size - (np.cumsum(total) - total)[who]  # pairs are in the order of the queries
+        score = np.full((len(block), width), -np.inf, np.float32)
         row = np.zeros(score.shape, np.int32)
         by_cell = np.argsort(place, kind="stable")
         for n in np.split(by_cell, np.flatnonzero(np.diff(place[by_cell])) + 1):
             c, q = place[n[0]], who[n]
-            a, b = begin[c], end[c]
-            sums = np.repeat((block[q] @ index.centres[cells[c]])[:, None], b - a, axis=1)
+            a, b = begin[c], begin[c + 1]
+            if a == b:
+                continue
+            sums = np.repeat(product[q, c][:, None], b - a, axis=1)
             own_table = (q * 256)[:, None]
             for m in range(len(both)):
                 sums += both[m].take(own_table + pair[m, a:b])
@@ -185,32 +227,25 @@ def scan(index: VectorIndex, base: np.ndarray, base_key: np.ndarray, base_cell:
             score[q[:, None], columns] = sums
             row[q[:, None], columns] = np.arange(a, b, dtype=np.int32)[None]
         score[base_key[row] == query_key[at : at + len(block)][:, None]] = -np.inf
-        keep = min(RERANK, score.shape[1])
-        top = np.argpartition(-score, keep - 1, axis=1)[:, :keep] if keep < score.shape[1] else np.tile(np.arange(keep), (len(block), 1))
-        valid = np.isfinite(np.take_along_axis(score, top, 1))
-        top = np.take_along_axis(row, top, 1)
-        near = np.matmul(base[top], block[:, :, None])[:, :, 0]
-        near[~valid] = -np.inf
-        few = min(2 * k, keep)
-        best = np.argpartition(-near, few - 1, axis=1)[:, :few]
-        valid, top = np.take_along_axis(valid, best, 1), np.take_along_axis(top, best, 1)
-        exact = np.matmul(base[top].astype(np.float64), block[:, :, None].astype(np.float64))[:, :, 0]
-        exact[~valid] = -np.inf
-        order = np.lexsort((base_key[top], -exact), axis=1)[:, :k]
-        top, exact = np.take_along_axis(top, order, 1), np.take_along_axis(exact, order, 1)
-        q = np.repeat(np.arange(at, at + len(block)), top.shape[1])
-        good = np.isfinite(exact.ravel())
-        found_q.append(q[good])
-        found_i.append(base_key[top.ravel()[good]])
-        found_s.append(exact.ravel()[good])
-    if not found_q:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return np.concatenate(found_q), np.concatenate(found_i), np.concatenate(found_s)
+        keep = min(RERANK, width)
+        ranked = -np.partition(-score, sorted({min(k, width) - 1, keep - 1}), axis=1)[:, :keep]
+        ranked.sort(1)
+        bound = np.minimum(ranked[:, 0], ranked[:, max(0, keep - k)] - ERRORS * error)
+        q, column = np.nonzero((score >= bound[:, None]) & np.isfinite(score))
+        near = row[q, column]
+        exact = np.empty(len(q))
+        for a in range(0, len(q), 100_000):
+            exact[a : a + 100_000] = np.einsum("ij,ij->i", base[near[a : a + 100_000]], block[q[a : a + 100_000]], dtype=np.float64)
+        order = np.lexsort((base_key[near], -exact, q))
+        q, near, exact = q[order], near[order], exact[order]
+        first = np.arange(len(q)) - np.searchsorted(q, q) < k
+        found.append((q[first] + at, base_key[near[first]], exact[first]))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else none
 
 
 def _fixed_point(width: int):
-    """Unit vectors as 16-bit fixed point (a product of two errs by about 1e-5) and a digest of the
-    original values; null where a vector isn't usable."""
+    """Unit vectors as 16-bit fixed point (a product of two errs by about 1e-5) and their digest, so vectors
+    of one direction are copies whatever their lengths; null where a vector isn't usable."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,7 +261,7 @@ def _fixed_point(width: int):
                 unit /= np.linalg.norm(unit, axis=1, keepdims=True)
                 fixed = np.rint(unit * FIXED).astype(np.int16)
                 vector[place] = [v.tobytes() for v in fixed]
-                digest[place] = [md5(v.tobytes()).digest() for v in x.astype(np.float32) + np.float32(0)]
+                digest[place] = [md5(v).digest() for v in vector[place]]
             arrays = [batch.column(0), batch.column(1), pa.array(vector, pa.binary()), pa.array(digest, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=["id", "at", "vector", "digest"])
 
@@ -277,11 +312,52 @@ def _checked(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
 
+def fit_index(points: DataFrame, reps: DataFrame, total: int, width: int) -> VectorIndex | None:
+    """Fitted on bounded samples; the number of regions follows that of all vectors. None if there are none.
+
+    The driver fits the nodes and codebooks; where a table needs more than TOP regions, every node's
+    regions are fitted in a task, on a sample of the node's vectors.
+    """
+    share = min(1.0, 1.2 * SAMPLE / max(total, 1))
+    few = points.select("vector") if total <= SAMPLE else points.select("vector").sample(share, seed=11).limit(SAMPLE)
+    sample = _matrix(few.toArrow().column("vector"), width)
+    if not len(sample):
+        return None
+    books = fit_books(sample)
+    wanted = max(1, min(MOST_REGIONS, total // REGION))
+    nodes = kmeans(sample, min(wanted, TOP, len(sample)), 16)
+    if wanted <= TOP:
+        return VectorIndex(nodes, nodes, np.arange(len(nodes) + 1), books).with_margin(sample)
+    shared = points.sparkSession.sparkContext.broadcast(nodes)
+    every = max(REGION, total // MOST_REGIONS)
+    share = min(1.0, SAMPLED / every)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                node = (_matrix(batch.column(0), width) @ shared.value.T).argmax(1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(node), batch.column(0)], names=["node", "vector"])
+
+    def split(table: pa.Table) -> pa.Table:
+        x = _matrix(table.column("vector"), width)
+        centres = np.rint(kmeans(x, max(1, min(len(x), round(len(x) / share / every))), 16)[:, :width] * FIXED).astype(np.int16)
+        node = np.repeat(table.column("node")[0].as_py(), len(centres))
+        return pa.table({"node": pa.array(node, pa.int32()), "centre": pa.array([c.tobytes() for c in centres], pa.binary())})
+
+    members = reps.select("vector").sample(share, seed=13).mapInArrow(assign, "node int, vector binary")
+    found = members.groupBy("node").applyInArrow(split, "node int, centre binary").toArrow()
+    node = found.column("node").to_numpy()
+    order = np.argsort(node, kind="stable")
+    regions = _matrix(found.column("centre"), width)[order]
+    # A node without a sampled vector has no regions; its vectors go to those of the next nodes.
+    return VectorIndex(nodes, regions, np.searchsorted(node[order], np.arange(len(nodes) + 1)), books).with_margin(sample)
+
+
 def _neighbours(rows: DataFrame, key: str, vector: str, version: str, width: int, k: int) -> tuple[DataFrame, DataFrame]:
     """(n, m, similarity) of the nearest of every point, and (n, id)."""
     spark = rows.sparkSession
     points = stored(usable_points(rows, key, vector, version, width))
-    # Exact copies (equal 128-bit digests of equal vectors) are one point. The window keeps the first
+    # Copies (equal 128-bit digests of equal fixed-point vectors) are one point. The window keeps the first
     # k + 2 numbers of a group in each task before anything is shuffled.
     rank = F.row_number().over(Window.partitionBy("digest").orderBy("n"))
     first = points.select("n", "digest").withColumn("r", rank).where(F.col("r") <= k + 2)
@@ -290,67 +366,53 @@ def _neighbours(rows: DataFrame, key: str, vector: str, version: str, width: int
     copies = points.select("n", "digest").join(_checked(groups.select("digest", "g")), "digest").where("n != g").select("n", "g")
     copies = stored(copies)
     reps = points.select(F.col("n").alias("g"), "vector").join(_checked(copies.select(F.col("n").alias("g"))), "g", "left_anti")
-    total = points.count()
-    sample = points.select("vector").sample(min(1.0, 1.2 * SAMPLE / max(total, 1)), seed=11).limit(SAMPLE)
-    sample = _matrix(sample.toArrow().column("vector"), width)[:, :width] if total > SAMPLE else _matrix(points.select("vector").toArrow().column("vector"), width)[:, :width]
-    if not len(sample):
+    total = points.count() - copies.count()
+    index = fit_index(points, reps, total, width)
+    if index is None:
         return spark.createDataFrame([], "n bigint, m bigint, similarity double"), points.select("n", "id")
-    index = fit_index(sample, total)
     shared = spark.sparkContext.broadcast(index)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idx = shared.value
         for batch in batches:
             if not len(batch):
                 continue
-            cells = idx.probes(_matrix(batch.column(1), width))
-            # One row per vector and region with the region's probed cells, nearest first.
-            region = idx.region[cells]
-            row = np.repeat(np.arange(len(cells)), cells.shape[1])
-            order = np.lexsort((region.ravel(), row))
-            row, place, cell = row[order], region.ravel()[order], cells.ravel()[order].astype(np.int16)
-            begin = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (place[1:] != place[:-1])))
-            source, where = row[begin], place[begin]
-            home = np.where(where == region[source, 0], cells[source, 0], -1)
-            ends = pa.py_buffer((np.append(begin, len(row)) * 2).astype(np.int32).tobytes())
-            lists = pa.BinaryArray.from_buffers(pa.binary(), len(begin), [None, ends, pa.py_buffer(cell.tobytes())])
-            take = pa.array(source)
-            columns = [pa.array(where, pa.int32()), pa.array(home, pa.int32()), lists]
-            arrays = [batch.column(0).take(take), batch.column(1).take(take), *columns]
-            yield pa.RecordBatch.from_arrays(arrays, names=["g", "vector", "region", "home", "cells"])
-
-    visits = reps.mapInArrow(assign, "g bigint, vector binary, region int, home int, cells binary").withColumn("block", F.lit(0))
-    # At most MOST_CELLS / CELLS_PER_REGION regions. A crowded one is cut into blocks; each of its
-    # visitors is searched against every block.
-    if total > BLOCK:
-        count = reps.mapInArrow(assign, "g bigint, vector binary, region int, home int, cells binary")
-        count = count.where("home >= 0").groupBy("region").count().where(F.col("count") > BLOCK)
-        size = {r["region"]: -(-r["count"] // BLOCK) for r in count.collect()}
-        if size:
-            pieces = F.coalesce(F.create_map(*[F.lit(int(x)) for p in size.items() for x in p])[F.col("region")], F.lit(1))
-            mine = F.pmod(F.xxhash64("g"), pieces)
-            visits = visits.drop("block").withColumn("mine", mine).withColumn("block", F.explode(F.sequence(F.lit(0), pieces - 1)))
-            visits = visits.withColumn("home", F.when(F.col("mine") == F.col("block"), F.col("home")).otherwise(-1)).drop("mine")
+            regions, gap = shared.value.nearest(_matrix(batch.column(1), width))
+            row, turn = np.nonzero(gap <= shared.value.margin)
+            take = pa.array(row)
+            columns = [pa.array(regions[row, turn].astype(np.int32)), pa.array(turn.astype(np.int8))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *columns], names=["g", "vector", "region", "turn"])
+
+    # Every vector with the regions it visits; it belongs to the nearest.
+    visits = reps.mapInArrow(assign, "g bigint, vector binary, region int, turn tinyint")
+    sizes = visits.groupBy("region").agg(F.ceil(F.count_if(F.col("turn") == 0) / BLOCK).cast("int").alias("blocks"), F.ceil(F.count("*") / VISITORS).cast("int").alias("parts"))
+    crowded = stored(sizes.where("blocks > 1 or parts > 1"))
+    visits = visits.join(_checked(crowded), "region", "left").withColumns({"blocks": F.greatest(F.coalesce("blocks", F.lit(1)), F.lit(1)), "parts": F.coalesce("parts", F.lit(1))})
+    mine, part = F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("g", F.lit(1)), F.col("parts")).cast("int")
+    asks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), F.col("part").alias("part"), (F.col("home") & (b == F.col("mine"))).alias("base"), F.lit(True).alias("asks")))
+    serves = F.transform(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.col("home") & (p != F.col("part"))), lambda p: F.struct(F.col("mine").alias("block"), p.alias("part"), F.lit(True).alias("base"), F.lit(False).alias("asks")))
+    visits = visits.withColumns({"mine": mine, "part": part, "home": F.col("turn") == 0})
+    visits = visits.select("g", "vector", "region", "turn", F.explode(F.concat(asks, serves)).alias("x")).select("g", "vector", "region", "turn", "x.*")
 
     found = pa.schema([("g", pa.int64()), ("others", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))])
 
     def search(table: pa.Table) -> pa.Table:
+        table = table.sort_by("g")  # the cells don't depend on the order of arrival
         x = _matrix(table.column("vector"), width)
-        n, home = table.column("g").to_numpy(), table.column("home").to_numpy()
-        cells = [np.frombuffer(c, np.int16) for c in table.column("cells").to_pylist()]
-        base = np.flatnonzero(home >= 0)
-        q, other, score = scan(shared.value, x[base], n[base], home[base], x, n, cells, k)
+        n, turn, base, asks = (table.column(c).to_numpy() for c in ("g", "turn", "base", "asks"))
+        base, asks = np.flatnonzero(base), np.flatnonzero(asks)
+        q, other, score = scan(shared.value.books, x[base], n[base], x[asks], n[asks], np.array(PROBES)[turn[asks]], k)
         # Each point lists itself too, once, for the sake of its copies.
-        q, other = np.concatenate([q, base]), np.concatenate([other, n[base]])
-        score = np.concatenate([score, np.ones(len(base))])
+        itself = np.flatnonzero(np.isin(asks, base))
+        q, other = np.concatenate([q, itself]), np.concatenate([other, n[asks[itself]]])
+        score = np.concatenate([score, np.ones(len(itself))])
         order = np.argsort(q, kind="stable")
         q, other, score = q[order], other[order], score[order]
         held, begin = np.unique(q, return_index=True)
         offsets = pa.array(np.append(begin, len(q)).astype(np.int32))
         lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (other, score)]
-        return pa.Table.from_arrays([pa.array(n[held]), *lists], schema=found)
+        return pa.Table.from_arrays([pa.array(n[asks[held]]), *lists], schema=found)
 
-    near = visits.groupBy("region", "block").applyInArrow(search, "g bigint, others array<bigint>, scores array<double>")
+    near = visits.groupBy("region", "block", "part").applyInArrow(search, "g bigint, others array<bigint>, scores array<double>")
     near = near.groupBy("g").agg(F.flatten(F.collect_list(F.arrays_zip("scores", "others"))).alias("x"))
 
     def best(pairs, most: int):
@@ -381,8 +443,8 @@ def similar_vectors(
     """(id, neighbour, similarity): the ``k`` most similar others of every key, by cosine.
 
     Of several rows of a key the latest version counts; it takes part if its vector has ``width``
-    values, all finite and not all zero. Ties go to the smaller id. Exact copies are searched once: a
-    group of equal vectors is one point, and its first k + 1 ids stand for it in all lists, which is
+    values, all finite and not all zero. Ties go to the smaller id. Copies, whatever their lengths, are searched once: a
+    group of equal directions is one point, and its first k + 1 ids stand for it in all lists, which is
     exact. Null ids, null vectors and an empty table give nothing; other columns are ignored.
     """
     pairs, ids = _neighbours(rows, key, vector, version, width, k)

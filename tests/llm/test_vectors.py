@@ -61,11 +61,48 @@ def test_few_rows(spark, n):
     assert vectors.similar_vectors(frame(spark, data)).count() == (2 if n == 2 else 0)
 
 
-def test_crowded_region_is_cut_into_blocks(spark, monkeypatch):
+def clustered(rng, n, centres=60):
+    x = rng.normal(size=(centres, 72))[rng.integers(0, centres, n)] + 0.4 * rng.normal(size=(n, 72))
+    return x.astype(np.float32)
+
+
+def recall(spark, x):
+    ids = [sid(i) for i in range(len(x))]
+    got = set(rows(vectors.neighbour_pairs(frame(spark, [(i, v.tolist(), AT) for i, v in zip(ids, x)]))))
+    want = brute(ids, x.astype(np.float64))
+    return len(got & want) / len(want)
+
+
+def test_regions_fitted_in_tasks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "TOP", 4)
+    monkeypatch.setattr(vectors, "REGION", 100)
+    monkeypatch.setattr(vectors, "SAMPLED", 30)
+    assert recall(spark, clustered(np.random.default_rng(5), 3000)) >= 0.98
+
+
+def test_crowded_region_is_cut_on_both_sides(spark, monkeypatch):
     rng = np.random.default_rng(2)
     x = (np.ones(72) + 0.2 * rng.normal(size=(600, 72))).astype(np.float32)
-    data = [(sid(i), v.tolist(), AT) for i, v in enumerate(x)]
-    whole = set(rows(vectors.neighbour_pairs(frame(spark, data))))
+    assert recall(spark, x) > 0.9
     monkeypatch.setattr(vectors, "BLOCK", 100)
-    cut = set(rows(vectors.neighbour_pairs(frame(spark, data))))
-    assert len(whole & cut) / len(whole) > 0.97  # blocks keep more candidates to rerank
+    monkeypatch.setattr(vectors, "VISITORS", 150)
+    scan, sizes = vectors.scan, []
+
+    def watched(books, base, base_key, query, *rest):
+        sizes.append((len(base), len(query)))
+        return scan(books, base, base_key, query, *rest)
+
+    assert recall(spark, x) > 0.9
+    index = vectors.VectorIndex(np.eye(72, dtype=np.float32)[:1], np.eye(72, dtype=np.float32)[:1], np.arange(2), None)
+    assert index.nearest(x[:5])[0].tolist() == [[0]] * 5
+    q, key, score = watched(vectors.fit_books(x), x[:100], np.arange(100), x[:150], np.arange(150), np.full(150, 8), 5)
+    assert sizes == [(100, 150)] and (np.bincount(q, minlength=150) == 5).all() and (key != q).all()
+
+
+def test_equal_directions_are_ties_whatever_their_lengths(spark):
+    rng = np.random.default_rng(4)
+    one, others = rng.normal(size=72), clustered(rng, 300)
+    data = [(f"t{n:03d}", (one * (2.0 ** (n % 7))).tolist(), AT) for n in range(200)] + [(sid(n), v.tolist(), AT) for n, v in enumerate(others)]
+    got = set(rows(vectors.neighbour_pairs(frame(spark, data))))
+    first = {(f"t{a:03d}", f"t{b:03d}") for a in range(6) for b in range(a + 1, 200) if a < 5 or b < 6}
+    assert {p for p in got if p[0][0] == "t" == p[1][0]} == first
