@@ -426,6 +426,7 @@ def _neighbours(rows: DataFrame, key: str, vector: str, version: str, width: int
     held = _checked(groups.select(F.col("g").alias("o"), "first"))
     spread = spread.join(held, "o", "left").select("g", "s", F.explode(F.coalesce("first", F.array("o"))).alias("o"))
     lists = spread.groupBy("g").agg(F.slice(F.array_sort(F.collect_list(F.struct("s", "o"))), 1, k + 1).alias("x"))
+    lists = stored(lists)  # read twice: for the points and for their copies
     members = lists.select(F.col("g").alias("n"), "x").unionByName(copies.join(lists, "g").select("n", "x"))
     others = F.slice(F.filter("x", lambda e: e["o"] != F.col("n")), 1, k)
     pairs = members.select("n", F.explode(others).alias("x")).select("n", F.col("x.o").alias("m"), (-F.col("x.s")).alias("similarity"))
