@@ -1,8 +1,8 @@
 """Cutting oversized texts into overlapping pieces at natural boundaries.
 
-Method: dynamic programming over boundary positions. The cost of a cut is the penalty of its
+Method: dynamic programming over all boundary positions. The cost of a cut is the penalty of its
 boundary class plus the squared deviation of the piece from the text's even piece size; the maximum
-length and the overlap are hard constraints.
+length, the overlap and a least advance from cut to cut are hard constraints.
 """
 
 from __future__ import annotations
@@ -41,37 +41,58 @@ def word_boundaries(enc: PrefixEncoder, flat: np.ndarray) -> np.ndarray:
     return kind
 
 
+def least_advance(limit: int, overlap: int) -> int:
+    """Every piece but the last goes so many tokens beyond the one before: as many as it repeats, if that
+    leaves room. Positions nearer to one another don't depend on one another."""
+    return max(1, min(overlap, (limit - overlap) // 4))
+
+
 def best_cuts(ends: np.ndarray, kind: np.ndarray, total: int, limit: int, overlap: int) -> list[tuple[int, int]]:
     """(position, kind) of the cuts of least cost; ``ends`` are positions in tokens, the last is ``total``."""
     fresh = limit - overlap
     even = total / max(1, -(-(total - overlap) // fresh))
-    at = np.concatenate([[0], ends]).astype(np.float64)
+    place = np.concatenate([[0], ends])
+    at = place.astype(np.float64)
     penalty = np.concatenate([[0.0], np.array([PENALTY[n] for n in NAMES])[kind]])
     penalty[-1] = 0.0
     # The deviation (size / even - 1) squared, spread out so that a step costs few array operations:
     # the terms of the earlier position alone, of both, and of the later position alone.
     w = IMBALANCE / even
     own, both = w * at * (at / even + 2.0), 2.0 * w / even * at
-    cost = np.full(len(at), np.inf)
-    cost[0], back = 0.0, [0] * len(at)
-    low = np.maximum(np.searchsorted(at, at - fresh), 1).tolist()
-    head = int(np.searchsorted(at, limit, "right"))  # positions before it are within the first piece
-    for j, x in enumerate(at.tolist()):
-        if not j:
-            continue
-        alone = w * x * (x / even - 2.0) + IMBALANCE
-        best, choice = (alone, 0) if j < head else (np.inf, 0)
-        if (a := low[j]) < j:
-            value = cost[a:j] - both[a:j] * x
-            i = int(value.argmin())
-            if (found := float(value[i]) + alone) < best:
-                best, choice = found, a + i
-        cost[j], back[j] = best + penalty[j] + own[j], choice  # own[j] serves the steps that start at j
+    alone = w * at * (at / even - 2.0) + IMBALANCE
+    spent, cost, back = np.full(len(at), np.inf), np.full(len(at), np.inf), np.zeros(len(at), np.int64)
+    advance, last = least_advance(limit, overlap), len(at) - 1
+    low = np.maximum(np.searchsorted(place, place - fresh), 1)
+    high = np.searchsorted(place, place - advance, "right")
+    high[-1] = last
+    first = (place <= limit) & (place >= advance)
+    first[-1] = place[-1] <= limit
+    alone_first = np.where(first, alone, np.inf)
+    # No deviation costs more than this, so an earlier position dearer by more than it is nowhere the best.
+    most = IMBALANCE * max(1.0, (fresh / even - 1.0) ** 2)
+    group = np.searchsorted(place, place + advance).tolist()
+    lows, highs, j = low.tolist(), high.tolist(), 1
+    while j <= last:
+        k = min(group[j], last) if j < last else j + 1  # the last position has its own least advance
+        best, choice = alone_first[j:k], np.zeros(k - j, np.int64)
+        if (a := lows[j]) < (b := highs[k - 1]):
+            rows = np.arange(a, b)
+            if (c := lows[k - 1]) < (d := highs[j]):  # positions that all of j..k may follow
+                rows = rows[spent[a:b] <= spent[c:d].min() + most + 1e-9]
+            value = cost[rows] - both[rows] * at[j:k, None]
+            value[(rows < low[j:k, None]) | (rows >= high[j:k, None])] = np.inf
+            i = value.argmin(1)
+            found = value[np.arange(k - j), i] + alone[j:k]
+            better = found < best
+            best, choice = np.where(better, found, best), np.where(better, rows[i], choice)
+        spent[j:k], back[j:k] = best + penalty[j:k], choice
+        cost[j:k] = spent[j:k] + own[j:k]  # serves the steps that start here
+        j = k
     if not np.isfinite(cost[-1]):
         raise ValueError("no admissible cuts")
-    cuts, j = [], len(at) - 1
+    cuts, j = [], last
     while j:
-        cuts.append((int(at[j]), int(kind[j - 1])))
+        cuts.append((int(place[j]), int(kind[j - 1])))
         j = int(back[j])
     return cuts[::-1]
 
@@ -99,17 +120,13 @@ class TextCutter:
         return first, chars, -1
 
     def positions(self, flat, token_end, char_end, kind, fresh: int):
-        """Boundary positions for the program: line ends and paragraphs; each weaker class where the
-        stronger leave a gap of more than a quarter of a piece."""
-        keep = kind <= 1
+        """All boundary positions for the programme; inside words only where one is longer than half a piece."""
+        keep = kind <= 4
         keep[-1] = True
-        for weaker in (2, 3, 4, 5):
-            edge = np.concatenate([[0], token_end[keep]])
-            wide = np.diff(edge) > fresh // 4
-            if not wide.any():
-                break
-            gap = np.searchsorted(edge[1:], token_end, "left")
-            keep |= wide[np.minimum(gap, len(wide) - 1)] & (kind <= weaker)
+        edge = np.concatenate([[0], token_end[keep]])
+        wide = np.diff(edge) > fresh // 2
+        if wide.any():
+            keep |= wide[np.minimum(np.searchsorted(edge[1:], token_end, "left"), len(wide) - 1)]
         ends, kinds = token_end[keep], kind[keep]
         edge = np.concatenate([[0], ends])
         more: dict[int, int] = {}
@@ -147,7 +164,9 @@ class TextCutter:
             if odd or (cut_kind == 5 and position < total):
                 # An end inside a word may change how the piece alone is split into words.
                 alone = sum(len(enc.merge(w.encode())) for w in enc.split(text[start:end]))
-                if alone > self.limit and limit > self.limit // 2:
+                if alone > self.limit:
+                    if limit <= self.limit // 2:
+                        raise ValueError("a piece by itself has more tokens than the limit")
                     return self.cut(text, flat, limit - 16)
             name = "end" if position == total else NAMES[cut_kind]
             pieces.append((start, end, position - begin, before - begin if n else 0, name))
@@ -169,7 +188,8 @@ def split_texts(
     (tokens shared with the piece before), boundary (where the piece ends) and text. The pieces cover the
     text without loss: each starts at or before the end of the one before. A text up to the limit is one
     piece; a null text is one piece with null text and 0 tokens, an empty one a piece with empty text.
-    An overlap grows by up to 3 tokens where it would begin inside a character. Repeated rows are cut
+    An overlap grows by up to 3 tokens where it would begin inside a character. A piece that can't be kept
+    under the limit raises an error. Repeated rows are cut
     each for itself; other columns are ignored. Narrow: no shuffle.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))

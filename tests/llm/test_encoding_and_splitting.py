@@ -106,3 +106,40 @@ def test_cuts_prefer_paragraphs(spark):
     text = "\n\n".join(sentence * 12 for _ in range(8))
     kinds = [r.boundary for r in splitting.split_texts(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()]
     assert set(kinds[:-1]) == {"paragraph"} and kinds[-1] == "end"
+
+
+def test_cuts_cost_as_little_as_those_of_a_plain_programme():
+    import numpy as np
+
+    from orefield.llm import splitting
+
+    def plain(ends, kind, total, limit, overlap):
+        """Least cost over all positions, one by one."""
+        fresh = limit - overlap
+        even = total / max(1, -(-(total - overlap) // fresh))
+        at, penalty = [0, *ends.tolist()], [0.0, *(list(splitting.PENALTY.values())[k] for k in kind)]
+        penalty[-1], least = 0.0, splitting.least_advance(limit, overlap)
+        cost = [0.0] + [float("inf")] * len(ends)
+        for j in range(1, len(at)):
+            for i in range(j):
+                size = at[j] - at[i]
+                if size <= (fresh if i else limit) and (size >= least or j == len(at) - 1):
+                    cost[j] = min(cost[j], cost[i] + penalty[j] + splitting.IMBALANCE * (size / even - 1) ** 2)
+        return cost[-1]
+
+    def cost(cuts, total, limit, overlap):
+        even, spent, before = total / max(1, -(-(total - overlap) // (limit - overlap))), 0.0, 0
+        for position, kind in cuts:
+            spent += splitting.IMBALANCE * ((position - before) / even - 1) ** 2 + (0.0 if position == total else list(splitting.PENALTY.values())[kind])
+            before = position
+        return spent
+
+    rng = np.random.default_rng(1)
+    for n in range(1000):
+        limit = int(rng.integers(20, 60))
+        overlap = int(rng.integers(0, limit // 3))
+        ends = np.cumsum(rng.integers(1, 4, int(rng.integers(limit, 4 * limit))))
+        kind = rng.choice(5, len(ends), p=(0.03, 0.07, 0.1, 0.1, 0.7))
+        told = ends, kind, int(ends[-1]), limit, overlap
+        if told[2] > limit:
+            assert abs(cost(splitting.best_cuts(*told), *told[2:]) - plain(*told)) < 1e-6
