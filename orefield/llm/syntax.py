@@ -89,6 +89,10 @@ class Language:
             at = m.end()
         return out
 
+    def fragment(self, text: str) -> list[tuple[str, str, bool]]:
+        """Tokens of a piece of code that needn't be a whole file."""
+        return self.tokens(text)
+
     def check(self, text: str) -> None:
         tokens = self.tokens(text)
         self.structure(tokens, balanced(tokens))
@@ -555,6 +559,9 @@ class Php(Language):
                 out.append(("op", ";", False))
         return out
 
+    def fragment(self, text):
+        return self.tokens(text if "<?" in text else "<?php " + text)
+
     def special(self, text, at, tokens):
         if text.startswith("?>", at):
             self.closed = at + 2
@@ -692,6 +699,9 @@ class Python(Language):
             at = m.end()
         return out
 
+    def fragment(self, text):
+        return [t[:3] for t in self.located(text)]
+
     def ends_operand(self, token):
         return super().ends_operand(token) or token[1] == "}"
 
@@ -791,6 +801,12 @@ class Python(Language):
 LANGUAGES = {"typescript": TypeScript(), "javascript": JavaScript(), "python": Python(), "go": Go(), "rust": Rust(), "php": Php()}
 
 
+def usual_name(language: str) -> str:
+    """A language's usual name, whatever its case."""
+    low = language.strip().lower()
+    return ALIASES.get(low, low)
+
+
 def fault(text: str | None, language: str | None) -> str | None:
     """Why the text is no valid source of the language; None if it is, is blank, or can't be judged."""
     checker = LANGUAGES.get(language or "")

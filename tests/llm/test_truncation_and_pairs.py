@@ -2,10 +2,12 @@ import json
 import random
 from datetime import datetime
 
+import numpy as np
 import pytest
 from conftest import rows
 
-from orefield.llm.pairs import broken_pairs, parsed
+from orefield.llm import truncation
+from orefield.llm.pairs import broken_pairs, calibrated, parsed
 from orefield.llm.truncation import code_fault, cut_rates, cut_values, judged, open_marks
 
 AT = datetime(2025, 1, 1)
@@ -61,6 +63,53 @@ def test_code_on_one_line_with_a_comment_is_complete():
     assert judged("title", "readToken") == (None,) * 5
 
 
+def test_whole_code_of_other_languages_is_read_by_its_own_lexer():
+    python, rust = "def read(x):\n    # it's fine\n    return x", "fn get<'a>(x: &'a str) -> &'a str { x }"
+    assert code_fault(python, "Python") is None and code_fault(rust, "rust") is None and code_fault("$a = 'it''", "php")
+    assert code_fault("if x:\n    return (x", "python") and code_fault("fn f(x: u8) {", "rs") and code_fault("puts 'x", "ruby") is None
+    assert judged("suggested_code", python, "python") == (None,) * 5
+
+
+def test_cut_values_by_shuffles_and_by_source(spark, monkeypatch):
+    rng = random.Random(7)
+    data = [review(f"a{n}", " ".join(sentence(rng) for _ in range(3)), model="full") for n in range(200)]
+    data += [review(f"b{n}", f"{sentence(rng)} {sentence(rng)[:-1]}", model="bare") for n in range(200)]
+    data += [review("cut", "Keep the cursor frozen until the batch has renamed every tok", model="full"), review("nul", "The cursor (see", model=None)]
+    whole = sorted((r.review_id, r.field) for r in cut_values(frame(spark, data)).collect())
+    assert whole == [("cut", "summary"), ("nul", "summary")]
+    monkeypatch.setattr(truncation, "BROADCAST_ROWS", 0)
+    assert sorted((r.review_id, r.field) for r in cut_values(frame(spark, data)).collect()) == whole
+
+
+def test_a_few_reviews_suffice_and_unseen_wordings_are_found(spark):
+    prompt, code = prompts(random.Random(1), 5)
+    refusals = [
+        "Nope, not going to look at this one.", "That falls beyond what this reviewer will engage with.", "This is something I have been told to stay away from.", "I would prefer to leave this request unanswered.",
+        "My hands are tied when it comes to code of this sort.", "You'd better find another reviewer for that.", "I am going to sit this one out.", "That kind of help is not what I provide.",
+        "We were told that such files are not for us to comment on.", "It isn't my place to judge this code.",
+    ]
+    foreign = [
+        "Pętla odczytuje wartość przy każdym przejściu, chociaż się nie zmienia.", "Döngü, değer değişmediği halde her geçişte onu yeniden okuyor.", "Slingan läser om värdet vid varje varv trots att det inte ändras.",
+        "Silmukka lukee arvon uudelleen joka kierroksella, vaikka se ei muutu.", "Smyčka čte hodnotu znovu při každém průchodu, i když se nemění.", "Цикл перечитывает значение при каждом проходе, хотя оно не меняется.",
+        "A ciklus minden körben újraolvassa az értéket, pedig az nem változik.", json.dumps({"verdict": "finding", "summary": "Bucla recitește valoarea la fiecare trecere, deși nu se schimbă niciodată."}),
+    ]
+    usable = ["No issues found.", "The loop reads the value again on every pass although it never changes.", '{"verdict": "skip"}', "LGTM", "I cannot see a reason to copy the list here."]
+    texts = {**{f"r{n}": t for n, t in enumerate(refusals)}, **{f"l{n}": t for n, t in enumerate(foreign)}}
+    def table(given):
+        return frame(spark, [review(i, "x", raw=t, prompt=prompt) for i, t in given.items()])
+    got = rows(broken_pairs(table({**texts, "e": " ", "c": code, "t": '{"verdict": "finding", "summary": "The loop re'})))
+    assert {x for x in got if x[0] in ("e", "c", "t")} == {("e", "empty"), ("c", "copy"), ("t", "truncated")}
+    assert sum((f"l{n}", "language") in got for n in range(len(foreign))) == len(foreign)
+    assert sum((f"r{n}", "refusal") in got for n in range(len(refusals))) >= 9
+    assert rows(broken_pairs(table({f"u{n}": t for n, t in enumerate(usable)}))) == []
+
+
+def test_thresholds_lie_inside_a_clean_gap():
+    rng = np.random.default_rng(1)
+    score = np.concatenate([rng.normal(-8, 1, 900), rng.normal(6, 1, 100)])
+    assert -5 < calibrated(score, np.repeat([0.0, 1.0], [900, 100])) < 3
+
+
 def prompts(rng, n):
     a, b = rng.sample(NOUNS, 2)
     code = f"function {a}{n}({a}, {b}) {{\n  const x{n} = {a} ? {b}.{a} : [{n}, {n} + 1];\n  while ({a}.length > {n}) {{\n    {a}.shift();\n  }}\n  return {b}{n};\n}}"
