@@ -776,6 +776,11 @@ class Python(Language):
                 colon |= depth == 0 and text == ":"
             if not colon:
                 raise SyntaxFault("expected ':'")
+        if line[0][0] in ("num", "str") and len(line) > 1 and line[1][1] == "=":
+            raise SyntaxFault("a literal is no target")
+        for i, (kind, text, _) in enumerate(line):
+            if text == "(" and kind == "open" and i and (line[i - 1][0] == "word" and self.ends_operand(line[i - 1]) or line[i - 1][1] in (")", "]")):
+                self.arguments(line, partner, i, head == "def" and i < 4)
         if head == "def" and not (len(line) > 3 and any(t[1] == "(" for t in line)):
             raise SyntaxFault("incomplete def")
         if first == "import" and len(line) < 2 or first == "from" and not any(t[1] == "import" for t in line[:-1]):
@@ -798,6 +803,24 @@ class Python(Language):
                 raise SyntaxFault("premature end")
 
 
+    def arguments(self, line, partner, begin, defines: bool):
+        """A plain argument may not follow a named one, nor a parameter without a default one that has it."""
+        i, named, first, own = begin + 1, False, line[begin + 1], False
+        while i <= partner[begin]:
+            text = line[i][1]
+            if text == "," or i == partner[begin]:
+                if first[1] in ("*", "**"):
+                    named = named and not defines
+                elif named and not own and first[1] not in (",", ")", "/"):
+                    raise SyntaxFault("plain argument after a named one")
+                named |= own
+                first, own = line[i + 1] if i < partner[begin] else None, False
+            elif text == "lambda":
+                return
+            own |= text == "="
+            i = partner[i] + 1 if line[i][0] == "open" else i + 1
+
+
 LANGUAGES = {"typescript": TypeScript(), "javascript": JavaScript(), "python": Python(), "go": Go(), "rust": Rust(), "php": Php()}
 
 
@@ -830,11 +853,11 @@ def language_of(language: Column, file: Column) -> Column:
 
 
 def checked_files(files: DataFrame) -> DataFrame:
-    """(repository, commit_hash, file, language, fault) of the latest content per key.
+    """(repository, commit_hash, file, language, judged, fault) of the latest content per key.
 
     Key: repository, commit_hash, file; of several rows the latest captured_at counts, then the latest
-    loaded_at, then the larger content. ``fault`` is null for valid, empty, blank and null contents and
-    for languages without a lexer. Rows with a null key part are kept under it; other columns are ignored.
+    loaded_at, then the larger content. ``fault`` is null for valid, empty, blank and null contents;
+    files of a language without a lexer aren't judged. Rows with a null key part are kept under it; other columns are ignored.
     """
     key = ["repository", "commit_hash", "file"]
     row = F.struct("captured_at", "loaded_at", "content", "language").alias("row")
@@ -846,7 +869,9 @@ def checked_files(files: DataFrame) -> DataFrame:
             found = [fault(t, l) for t, l in zip(batch.column(4).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.string())], names=[*key, "language", "fault"])
 
-    return latest.mapInArrow(run, "repository string, commit_hash string, file string, language string, fault string")
+    judged = F.col("language").isin(*LANGUAGES).alias("judged")
+    told = latest.mapInArrow(run, "repository string, commit_hash string, file string, language string, fault string")
+    return told.select(*key, "language", F.coalesce(judged, F.lit(False)).alias("judged"), "fault")
 
 
 def broken_files(files: DataFrame) -> DataFrame:
@@ -855,10 +880,11 @@ def broken_files(files: DataFrame) -> DataFrame:
 
 
 def broken_rates(files: DataFrame) -> DataFrame:
-    """Files, broken files and rate per repository and language, per repository (null language) and in all."""
+    """Files, those not judged for want of a lexer, broken files, and their rate among the judged, per repository and
+    language, per repository (null language) and in all. The rate is null where no file is judged."""
     return (
         checked_files(files)
         .rollup("repository", "language")
-        .agg(F.count("*").alias("files"), F.count("fault").alias("broken"), F.grouping_id().alias("level"))
-        .withColumn("rate", F.round(F.col("broken") / F.col("files"), 6))
+        .agg(F.count("*").alias("files"), F.count_if(~F.col("judged")).alias("unjudged"), F.count("fault").alias("broken"), F.grouping_id().alias("level"))
+        .withColumn("rate", F.when(F.col("files") > F.col("unjudged"), F.round(F.col("broken") / (F.col("files") - F.col("unjudged")), 6)))
     )

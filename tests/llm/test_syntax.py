@@ -66,5 +66,24 @@ def test_files_keep_the_latest_capture(spark):
     df = spark.createDataFrame([(*r, "clash") for r in data + data[:1]], "repository string, commit_hash string, file string, language string, content string, captured_at timestamp, loaded_at timestamp, fault string")
     assert rows(broken_files(df).select("repository", "file", "language")) == [("r", "a.py", "python"), (None, "d.ts", "typescript")]
     rates = {(r.repository, r.language, r.level): (r.files, r.broken, r.rate) for r in broken_rates(df).collect()}
-    assert rates["r", "python", 0] == (2, 1, 0.5) and rates[None, None, 3] == (5, 2, 0.4)
+    assert rates["r", "python", 0] == (2, 1, 0.5) and rates[None, None, 3] == (5, 2, 0.5)  # c.txt isn't judged
     assert broken_files(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text,broken", [("1 = x", True), ("f(a=1, b)", True), ("f(b, a=1)", False), ("f(a=1, *b, **c)", False), ("def f(a=1, b): pass", True), ("def f(a=1, *, b): pass", False), ("def f(a, /, b=1): pass", False), ("g(f(a=1), b)", False), ("x = (1, y)", False), ("f(a == 1, b)", False), ("f(key=lambda a, b: a, c=1)", False), ("f(a=1,)", False)])
+def test_python_targets_and_arguments(text, broken):
+    import ast
+
+    assert (fault(text, "python") is not None) == broken
+    if broken:
+        with pytest.raises(SyntaxError):
+            ast.parse(text)
+    else:
+        ast.parse(text)
+
+
+def test_languages_without_a_lexer_are_not_judged(spark):
+    data = [("r", "c", "a.rb", "ruby", "def x"), ("r", "c", "b.py", None, "x = ("), ("r", "c", "c.py", "Python", "x = 1"), ("r", "c", "d", None, "?")]
+    frame = spark.createDataFrame([(*d, datetime(2025, 1, 1), datetime(2025, 1, 1)) for d in data], "repository string, commit_hash string, file string, language string, content string, captured_at timestamp, loaded_at timestamp")
+    found = {(r.repository, r.language, r.level): (r.files, r.unjudged, r.broken, r.rate) for r in broken_rates(frame).collect()}
+    assert found["r", None, 1] == (4, 2, 1, 0.5) and found["r", "ruby", 0] == (1, 1, 0, None) and found["r", "python", 0] == (2, 0, 1, 0.5)
