@@ -86,14 +86,15 @@ class Explorer:
         key = F.concat_ws("/", "repository", "id").alias("key")
         order = [F.desc("score"), F.asc("key")]
         open_signals = ranking.signals(terms, vector is not None)
-        score = ranking.term_score(terms, {"name": 8, "signature": 3, "file": 2}).alias("score")
-        lists = {"lexical": self.records.select(F.lit("symbol").alias("kind"), key, score).where("score > 0")}
-        hit = self.references.where(ranking.term_hits(F.col("name"), terms) > 0)
-        ends = F.explode(F.array(F.struct(F.col("target_id").alias("id"), (F.col("n") * 3).alias("s")), F.struct(F.col("owner_id").alias("id"), (F.col("n") * 2).alias("s")))).alias("x")
-        structural = hit.select("repository", ends).where("x.id is not null").select("repository", "x.id", "x.s").groupBy("repository", "id").agg(F.sum("s").alias("score"))
-        lists["structural"] = structural.select(F.lit("symbol").alias("kind"), key, "score")
-        guards = structure.guard_scores(self.files, self.records, terms)
-        lists["conditional"] = guards.select(F.lit("symbol").alias("kind"), key, "score")
+        lists = {}
+        for name, scores in (("lexical", ranking.lexical_scores(self.records, self.files, terms)), ("structural", structure.structural_scores(self.files, self.records, terms))):
+            lists[name] = scores.select(F.lit("symbol").alias("kind"), key, "score")
+        if "conditional" in open_signals:
+            guards = structure.guard_scores(self.files, self.records, terms)
+            lists["conditional"] = guards.select(F.lit("symbol").alias("kind"), key, "score")
+        if "configuration" in open_signals:
+            found = ranking.script_scores(self.documents, terms)
+            lists["configuration"] = found.select(F.lit("json").alias("kind"), F.concat_ws("#", F.col("doc_id").cast("string"), "pointer").alias("key"), "score")
         if "documentation" in open_signals:
             found = ranking.document_matches(self.documents.where("source = 'repo_docs'"), terms)
             lists["documentation"] = found.select(F.lit("document").alias("kind"), F.col("doc_id").cast("string").alias("key"), "score").orderBy(*order).limit(ranking.TOP_DOCUMENTS)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from orefield.functions.text import one_space, unix_lines
 from orefield.operators.ranking import contains_term
+from orefield.session import stored
 
 # Bounds of packed evidence (lines and characters per candidate, characters per line, files).
 MOST_LINES, MOST_CHARS, LINE_CHARS, MOST_FILES = 20, 1_400, 180, 6
@@ -19,19 +20,33 @@ def required_lines(items: DataFrame) -> DataFrame:
 
 
 def line_coverage(items: DataFrame, lines: DataFrame) -> DataFrame:
-    """Per item the required lines and how many occur in the sources (by their text, white space aside)."""
-    required = required_lines(items).withColumn("quote", one_space(F.col("text")))
-    present = lines.select(one_space(F.col("text")).alias("quote"), F.lit(1).alias("hit")).where("quote != ''").distinct()
-    return required.join(present, "quote", "left").groupBy("item_id", "manifest", "language").agg(
-        F.count("*").alias("required"), F.count("hit").alias("covered"), F.count_if(F.col("hit").isNull()).alias("missing")
+    """Per item the required lines, how many stand in their file at their line (a null file or line is any),
+    how many of the others stand elsewhere in the sources, and how many nowhere. Texts are compared aside from white
+    space; a blank line is covered by a blank line at its place, and stands nowhere else."""
+    required = required_lines(items).withColumn("quote", one_space(F.col("text"))).withColumn("n", F.monotonically_increasing_id())
+    required = stored(required)
+    have = lines.select("file", "line", one_space(F.col("text")).alias("quote"))
+    quotes = required.select("quote").distinct()
+    have = stored(have.join(quotes, "quote", "left_semi").distinct())  # few of all lines are asked for
+    placed = required.where("file is not null and line is not null").join(have, ["file", "line", "quote"], "left_semi")
+    in_file = required.where("file is not null and line is null").join(have.select("file", "quote").distinct(), ["file", "quote"], "left_semi")
+    at_line = required.where("file is null and line is not null").join(have.select("line", "quote").distinct(), ["line", "quote"], "left_semi")
+    somewhere = required.join(have.where("quote != ''").select("quote").distinct(), "quote", "left_semi")
+    free = somewhere.where("file is null and line is null")
+    found = placed.select("n").unionByName(in_file.select("n")).unionByName(at_line.select("n")).unionByName(free.select("n")).withColumn("here", F.lit(1))
+    told = required.join(found, "n", "left").join(somewhere.select("n", F.lit(1).alias("there")), "n", "left")
+    return told.groupBy("item_id", "manifest", "language").agg(
+        F.count("*").alias("required"), F.count("here").alias("covered"), F.count_if(F.col("here").isNull() & F.col("there").isNotNull()).alias("elsewhere"),
+        F.count_if(F.col("here").isNull() & F.col("there").isNull()).alias("missing"),
     )
 
 
 def alternatives_covered(coverage: DataFrame) -> DataFrame:
-    """A manifest and language is covered if ANY of its items has ALL of its lines."""
+    """A manifest and language is covered if ANY of its items has ALL of its lines at their place, quoted if any has
+    all of them at all."""
+    whole = F.col("required") == F.col("covered")
     return coverage.groupBy("manifest", "language").agg(
-        F.count("*").alias("alternatives"), F.count_if(F.col("required") == F.col("covered")).alias("complete"),
-        F.bool_or(F.col("required") == F.col("covered")).cast("int").alias("covered"),
+        F.count("*").alias("alternatives"), F.count_if(whole).alias("complete"), F.bool_or(whole).cast("int").alias("covered"), F.bool_or(F.col("missing") == 0).cast("int").alias("quoted"),
     )
 
 
@@ -104,3 +119,24 @@ def missing_requirements(lines: DataFrame, group: list[str], requirements: dict[
     found = lines.groupBy(*group).agg(*counts)
     pairs = F.array(*[F.struct(F.lit(n).alias("requirement"), F.col(n).alias("found"), F.lit(least).alias("least")) for n, (_, least) in requirements.items()])
     return found.select(*group, F.explode(pairs).alias("r")).select(*group, "r.*").withColumn("missing", (F.col("found") < F.col("least")).cast("int"))
+
+
+def foreign_owners(citations: DataFrame, group: list[str]) -> DataFrame:
+    """Distinct citations (file, line) of each group whose owner (owner_file, owner_line) isn't the target's
+    (target_file, target_line). A group without a target, and a citation without an owner, have none."""
+    known = citations.where("target_file is not null and target_line is not null and owner_file is not null and owner_line is not null")
+    return known.where("owner_file != target_file or owner_line != target_line").select(*group, "file", "line").distinct()
+
+
+def record_fidelity(expected: DataFrame, actual: DataFrame, group: list[str], fields: list[str]) -> DataFrame:
+    """Per group the expected records, how many the answer gives at the same ``position`` in every field (null equals
+    null), whether file and line agree at all positions, and the records too many."""
+    a = expected.select(*group, "position", *[F.col(f).alias(f"want_{f}") for f in fields], F.lit(1).alias("wanted"))
+    b = actual.select(*group, "position", *[F.col(f).alias(f"got_{f}") for f in fields], F.lit(1).alias("given"))
+    both = a.join(b, [*group, "position"], "full")
+    equal = F.lit(True)
+    for f in fields:
+        equal = equal & F.col(f"want_{f}").eqNullSafe(F.col(f"got_{f}"))
+    placed = F.col("want_file").eqNullSafe(F.col("got_file")) & F.col("want_line").eqNullSafe(F.col("got_line"))
+    there = F.col("wanted").isNotNull() & F.col("given").isNotNull()
+    return both.groupBy(*group).agg(F.count("wanted").alias("records"), F.count_if(there & equal).alias("exact"), F.bool_and(there & placed).alias("located"), F.count_if(F.col("wanted").isNull()).alias("extra"))

@@ -1,12 +1,7 @@
-"""Declarations from source text: by regular expressions in the JVM, and Python by its own grammar."""
+"""Declarations and other facts from source text by regular expressions in the JVM."""
 
 from __future__ import annotations
 
-import ast
-import warnings
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from orefield.operators.structure import PLACE, numbered_lines
@@ -32,57 +27,27 @@ def declared_names(files: DataFrame) -> DataFrame:
     return numbered_lines(files).withColumn("name", found).where("name is not null").select(*PLACE, "file", "language", "line", "name")
 
 
-def python_facts(content: str | None) -> list[tuple]:
-    """(kind, name, qualified_name, parent, first line, last line, detail) of a Python text: declarations,
-    imports, calls and bases in preorder; nothing for a text that doesn't parse."""
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            tree = ast.parse((content or "").replace("\r\n", "\n").replace("\r", "\n"))
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return []
-    out: list[tuple] = []
-
-    def visit(node: ast.AST, owner: tuple[str, ...], in_class: bool) -> None:
-        for child in ast.iter_child_nodes(node):
-            place = (child.lineno, child.end_lineno) if hasattr(child, "lineno") else (0, 0)
-            above = ".".join(owner) or None
-            if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-                is_class = isinstance(child, ast.ClassDef)
-                kind = "class" if is_class else "constructor" if in_class and child.name == "__init__" else "method" if in_class else "function"
-                out.append((kind, child.name, ".".join((*owner, child.name)), above, *place, None))
-                for base in child.bases if is_class else ():
-                    out.append(("extends", ast.unparse(base), None, ".".join((*owner, child.name)), *place, None))
-                visit(child, (*owner, child.name), is_class)
-                continue
-            if isinstance(child, ast.Import):
-                out.extend(("import", a.name, None, above, *place, a.asname) for a in child.names)
-            elif isinstance(child, ast.ImportFrom):
-                out.extend(("import", "." * child.level + (child.module or ""), None, above, *place, a.name) for a in child.names)
-            elif isinstance(child, ast.Call):
-                name = child.func.id if isinstance(child.func, ast.Name) else child.func.attr if isinstance(child.func, ast.Attribute) else None
-                if name:
-                    out.append(("call", name, None, above, *place, None))
-            visit(child, owner, False if not isinstance(child, (ast.If, ast.Try, ast.With)) else in_class)
-
-    visit(tree, (), False)
-    return out
+# Lines of Python that declare, import or inherit.
+PYTHON_FACTS = {
+    "class": r"^\s*class ([A-Za-z_][A-Za-z0-9_]*)", "def": r"^(\s*)(?:async )?def ([A-Za-z_][A-Za-z0-9_]*)",
+    "import": r"^\s*(?:from (\.*[A-Za-z0-9_.]*) import |import ([A-Za-z0-9_.]+))", "extends": r"^\s*class [A-Za-z_][A-Za-z0-9_]*\(([^()=]+)\)",
+}
 
 
 def python_index(files: DataFrame) -> DataFrame:
-    """Facts of every Python file (see ``python_facts``); the work of a task is one Arrow batch of files."""
-    columns = "kind string, name string, qualified_name string, parent string, first_line int, last_line int, detail string"
-    names = [*PLACE, "file", "seq", *(c.split()[0] for c in columns.split(", "))]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(i, n, *fact) for i, text in enumerate(batch.column(3).to_pylist()) for n, fact in enumerate(python_facts(text))]
-            if not rows:
-                continue
-            take, seq, *facts = zip(*rows)
-            kinds = [pa.string()] * 4 + [pa.int32()] * 2 + [pa.string()]
-            keys = [batch.column(i).take(pa.array(take)) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(seq, pa.int32()), *(pa.array(c, k) for c, k in zip(facts, kinds))], names=names)
-
-    source = files.where("language = 'python'").select(*PLACE, "file", "content")
-    return source.mapInArrow(run, f"repository string, commit_hash string, file string, seq int, {columns}")
+    """(place, file, line, kind, name) of the lines of Python files that declare a class, function, method or
+    constructor, import a module, or name a base. An indented function counts as a method."""
+    lines = numbered_lines(files.where("language = 'python'"))
+
+    def group(kind: str, n: int):
+        return F.regexp_extract("text", PYTHON_FACTS[kind], n)
+
+    indented = F.when(group("def", 1) == "", "function").when(group("def", 2) == "__init__", "constructor").otherwise("method")
+    imported = F.coalesce(F.nullif(group("import", 1), F.lit("")), group("import", 2))
+    facts = F.array(
+        *[F.when(F.col("text").rlike(PYTHON_FACTS[k]), F.struct(kind.alias("kind"), name.alias("name"))) for k, kind, name in (
+            ("class", F.lit("class"), group("class", 1)), ("def", indented, group("def", 2)), ("import", F.lit("import"), imported))]
+    )
+    bases = F.transform(F.split(F.when(F.col("text").rlike(PYTHON_FACTS["extends"]), group("extends", 1)), ","), lambda b: F.struct(F.lit("extends").alias("kind"), F.trim(b).alias("name")))
+    found = F.explode(F.concat(F.filter(facts, lambda f: f.isNotNull()), F.coalesce(bases, F.expr("array()").cast("array<struct<kind:string,name:string>>")))).alias("f")
+    return lines.select(*PLACE, "file", "line", found).select(*PLACE, "file", "line", "f.kind", "f.name")

@@ -4,22 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from orefield.session import stored
+from orefield.session import discard, stored
 
 
 def reachable(edges: DataFrame, start: DataFrame, key: list[str], most_rounds: int = 1_000) -> DataFrame:
     """Everything reached from ``start`` along ``edges`` (key..., source, target), the start included,
     with the distance. Safe on cycles: only unseen nodes go on. The edges, each round's frontier and the nodes seen
-    so far are written to the shared folder, which cuts the lineage and survives lost executors."""
+    so far are written to the shared folder, which cuts the lineage and survives lost executors; what no later
+    round reads is deleted."""
     edges = stored(edges.select(*key, "source", "target").where("source is not null and target is not null").distinct())
     seen = stored(start.select(*key, "node").where("node is not null").distinct().withColumn("distance", F.lit(0)))
     frontier = seen
     for distance in range(1, most_rounds + 1):
         step = frontier.join(edges.withColumnRenamed("source", "node"), [*key, "node"]).select(*key, F.col("target").alias("node")).distinct()
-        frontier = stored(step.join(seen, [*key, "node"], "left_anti").withColumn("distance", F.lit(distance)))
+        before, frontier = frontier, stored(step.join(seen, [*key, "node"], "left_anti").withColumn("distance", F.lit(distance)))
         if frontier.isEmpty():
+            discard(edges, frontier, *([before] if before is not seen else []))
             return seen
-        seen = stored(seen.unionByName(frontier))
+        reached = stored(seen.unionByName(frontier))
+        discard(seen, before)
+        seen = reached
     raise ValueError(f"not finished after {most_rounds} rounds")
 
 

@@ -36,3 +36,21 @@ def token_search(log: DataFrame, terms: list[str], least: int = 4) -> DataFrame:
     subject = F.size(F.array_intersect(terms_of(F.col("subject")), wanted))
     paths = F.size(F.array_intersect(terms_of(F.array_join(F.transform("files", lambda f: f["path"]), " ")), wanted))
     return log.withColumn("score", subject * 6 + paths).where(F.col("score") >= least)
+
+
+def recent_changes(log: DataFrame, most: int = 20) -> DataFrame:
+    """The newest commits of each repository, at most ``most``, which is the report's bound, with their files."""
+    from pyspark.sql import Window
+
+    newest = Window.partitionBy("repository").orderBy(F.desc("created_at"), F.desc("doc_id"))
+    return log.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= most).select("repository", "rank", "doc_id", "subject", F.size("files").alias("files"))
+
+
+def symbol_history(log: DataFrame, records: DataFrame) -> DataFrame:
+    """(repository, id, doc_id, rank): the commits that changed a declaration's file, newest first."""
+    from pyspark.sql import Window
+
+    changed = commit_files(log).select("repository", "doc_id", "created_at", F.col("path").alias("file")).distinct()
+    named = records.select("repository", "id", "file").distinct()
+    newest = Window.partitionBy("repository", "id").orderBy(F.desc("created_at"), F.desc("doc_id"))
+    return named.join(changed, ["repository", "file"]).select("repository", "id", "doc_id", F.row_number().over(newest).alias("rank"))

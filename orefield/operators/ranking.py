@@ -15,6 +15,7 @@ SIGNAL_WEIGHTS = {"lexical": 1, "semantic": 1, "structural": 1, "documentation":
 FIELD_WEIGHTS = {"name": 8, "signature": 3, "path": 2, "body": 1}
 DOCUMENTATION_WORDS = ("confidence", "documentation", "document", "pilot", "benchmark")
 CONFIGURATION_WORDS = ("package", "script")
+GUARD_WORDS = ("gate", "gated", "gates", "gating", "guard", "guarded", "guards", "environment", "env", "enable", "enabled", "disable", "disabled", "flag", "conditional", "condition", "toggle")
 HISTORY_WORDS = ("commit", "introduced", "history", "change")
 TOP_DOCUMENTS, SEMANTIC_CANDIDATES, MOST_RESULTS = 3, 100, 100
 
@@ -24,6 +25,8 @@ def signals(terms: list[str], hybrid: bool = False) -> list[str]:
     held, found = set(terms), ["lexical", "structural"]
     if held & set(DOCUMENTATION_WORDS):
         found.append("documentation")
+    if held & set(GUARD_WORDS):
+        found.append("conditional")
     if held & set(CONFIGURATION_WORDS) or {"test", "command"} <= held:
         found.append("configuration")
     if hybrid:
@@ -43,6 +46,24 @@ def term_score(terms: list[str], weights: dict[str, int]) -> Column:
     return reduce(Column.__add__, parts, F.lit(0))
 
 
+def lexical_scores(records: DataFrame, files: DataFrame, terms: list[str]) -> DataFrame:
+    """(repository, commit_hash, id, score) of the declarations that hold a term: 8 for each in the names, 3 in
+    the signature, 2 in the path, 1 in the body, which is the declaration's lines."""
+    place = ["repository", "commit_hash", "file"]
+    body = F.array_join(F.slice(unix_lines(F.col("content")), F.col("sl"), F.greatest(F.col("el") - F.col("sl") + 1, F.lit(0))), "\n")
+    with_body = records.withColumn("names", F.concat_ws(" ", "name", "qualified_name")).join(files.select(*place, "content"), place, "left")
+    weights = {"names": FIELD_WEIGHTS["name"], "signature": FIELD_WEIGHTS["signature"], "file": FIELD_WEIGHTS["path"], "body": FIELD_WEIGHTS["body"]}
+    scored = with_body.withColumn("body", F.when(F.col("sl") > 0, body)).select("repository", "commit_hash", "id", term_score(terms, weights).alias("score"))
+    return scored.where("score > 0")
+
+
+def usable_vector(vector: str, width: int) -> Column:
+    """Whether a vector has this many values, all finite and not all zero."""
+    v = F.col(vector)
+    finite = F.forall(v, lambda a: a.isNotNull() & ~F.isnan(a) & (F.abs(a) < float("inf")))
+    return F.coalesce((F.size(v) == width) & finite & F.exists(v, lambda a: a != 0), F.lit(False))
+
+
 def term_hits(text: Column, terms: list[str]) -> Column:
     return reduce(Column.__add__, [contains_term(text, t).cast("int") for t in terms], F.lit(0))
 
@@ -53,6 +74,7 @@ def with_row_number(rows: DataFrame, order: list[Column], name: str = "rank", pa
     The rows are sorted by ranges and numbered within a range; the sizes of the ranges before are added.
     So neither the whole table nor a hot partition is ever in one task.
     """
+    # Only the columns that are asked for further on should be given: the sorted rows are stored.
     placed = stored(rows.orderBy(*partition, *order).withColumn("_part", F.spark_partition_id()))
     group = [F.col(c) for c in partition]
     sizes = placed.groupBy(*partition, "_part").agg(F.count("*").alias("_n"))  # a row per range and partition
@@ -90,11 +112,23 @@ def document_matches(documents: DataFrame, terms: list[str], least: int = 2) ->
     return scored.withColumn("first", first).select("doc_id", "score", F.col("first.line").alias("line"), F.trim("first.text").alias("excerpt"))
 
 
+def script_scores(documents: DataFrame, terms: list[str], member: str | None = "scripts") -> DataFrame:
+    """(doc_id, pointer, value, score) of the string entries of one member of JSON documents (of the whole object for
+    null): 2 for each term that the path, the entry's name or its value holds. Texts that aren't one valid JSON
+    object, and entries that aren't strings, have no score."""
+    valid = documents.where(F.col("text").rlike(r"^\s*\{") & F.expr("try_parse_json(concat('[', text, ']'))").isNotNull())
+    entries = F.from_json("text" if member is None else F.get_json_object("text", f"$.{member}"), "map<string,string>")
+    texts = valid.select("doc_id", "path", F.explode(entries).alias("name", "value")).where(~F.col("value").rlike(r"^\s*[\[{]"))
+    searched = F.concat_ws(" ", "path", "name", "value")
+    pointer = F.concat(F.lit("/" if member is None else f"/{member}/"), F.col("name"))
+    return texts.select("doc_id", pointer.alias("pointer"), "value", (term_hits(searched, terms) * 2).alias("score")).where("score >= 2")
+
+
 def nearest_by_cosine(entries: DataFrame, query: list[float], vector: str = "embedding", top: int = SEMANTIC_CANDIDATES) -> DataFrame:
     """Exact cosine search: one scan, a partial top-k in every task. Unusable vectors don't take part."""
     width = len(query)
     x = F.transform(F.col(vector), lambda v: v.cast("double"))
-    fit = F.coalesce((F.size(vector) == width) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0), F.lit(False))
+    fit = usable_vector(vector, width)
     literal = F.array(*[F.lit(float(q)) for q in query])
     dot = F.aggregate(F.zip_with(x, literal, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(F.aggregate(F.transform(x, lambda v: v * v), F.lit(0.0), lambda s, v: s + v))

@@ -26,6 +26,7 @@ def queue(states: DataFrame, now_ms: int) -> DataFrame:
         state.isin("pending", "stale") | ((state == "failed") & (F.col("retries") < MOST_RETRIES) & (F.coalesce("retry_after", F.lit(0)) <= now_ms))
     )
     rank = F.when(state == "pending", 0).when(state == "stale", 1).when(state == "reviewed", 2).otherwise(3)
+    eligible = eligible.select("repository", "id", "current_status", "file", "qualified_name")  # what is sorted is stored
     return with_row_number(eligible, [rank, F.col("file"), F.col("qualified_name"), F.col("id")], "position", ("repository",))
 
 
@@ -119,3 +120,33 @@ def claim_freshness(reviews: DataFrame, changes: DataFrame, states: DataFrame) -
     told = reviews.select(F.col("id").alias("review_id"), F.col("symbol_id").alias("id")).join(direct, "id", "left").join(beside, "id", "left")
     state = F.when(F.col("direct").isNotNull(), "stale").when(F.col("beside").isNotNull(), "file stale").otherwise("fresh")
     return told.select("review_id", state.alias("freshness"))
+
+
+def newest_findings(found: DataFrame, severity: str | None = None, most: int = 100) -> DataFrame:
+    """The newest findings, at most ``most``, which is the report's bound; of equal times the smaller id first."""
+    chosen = found if severity is None else found.where(F.col("severity") == severity)
+    return chosen.orderBy(F.desc("created_at"), "id").limit(most)
+
+
+def after_review(states: DataFrame, reviews: DataFrame) -> DataFrame:
+    """States of the symbols after their latest review: reviewed at its time under its hash, no retries and no error
+    left; symbols without a review keep their state. Reviews that tie in their time are ordered by id."""
+    last = reviews.groupBy(F.col("symbol_id").alias("id")).agg(F.max(F.struct("created_at", F.col("id").alias("review_id"), "reviewed_hash")).alias("r"))
+    told = states.join(last, "id", "left")
+    done = F.col("r").isNotNull()
+    return told.select(
+        "repository", "id", F.when(done, "reviewed").otherwise(F.col("current_status")).alias("current_status"),
+        F.when(done, F.col("r.created_at")).otherwise(F.col("last_reviewed_at")).alias("last_reviewed_at"), F.when(done, F.col("r.reviewed_hash")).otherwise(F.col("last_reviewed_hash")).alias("last_reviewed_hash"),
+        F.when(done, 0).otherwise(F.col("retries")).alias("retries"), F.when(done, 0).otherwise(F.col("retry_after")).cast("bigint").alias("retry_after"),
+    )
+
+
+def decided(reviews: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Reviews with the human status of ``decisions`` (id, decision); a decision on no review or of another word
+    is an error, and the last of repeated ones counts by ``at``."""
+    from orefield.schemas import require_none
+
+    require_none(decisions.where(~F.coalesce(F.col("decision").isin("accepted", "rejected"), F.lit(False))), "unknown decision")
+    require_none(decisions.join(reviews.select("id"), "id", "left_anti"), "no such review")
+    last = decisions.groupBy("id").agg(F.max_by("decision", "at").alias("decision"))
+    return reviews.join(last, "id", "left").withColumn("human_status", F.coalesce("decision", "human_status")).drop("decision")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from orefield.functions.text import directory_of, joined_path, unix_lines
+from orefield.operators import graph
 
 PLACE = ["repository", "commit_hash"]
-# Candidates of a module specifier, tried in this order.
-MODULE_SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", "/index.ts", "/index.tsx", "/index.js")
+# Extensions of source files in the order in which a module's candidates are tried.
+MODULE_EXTENSIONS = (".ts", ".tsx", ".js", ".mjs", ".cjs", ".php", ".py", ".go", ".rs")
 
 
 def symbol_matches(records: DataFrame, query: str) -> DataFrame:
@@ -22,13 +23,19 @@ def symbol_matches(records: DataFrame, query: str) -> DataFrame:
 
 
 def outline(records: DataFrame) -> DataFrame:
-    """Declarations of each file in preorder: sequence, depth (1 under a parent) and occurrence number
-    of repeated qualified names."""
-    file = Window.partitionBy(*PLACE, "file").orderBy("sb", F.desc("eb"), "id")
-    same = Window.partitionBy(*PLACE, "file", "qualified_name").orderBy("sb", F.desc("eb"), "id")
-    parent = records.select(*PLACE, F.col("id").alias("parent_id"), F.lit(1).alias("depth"))
+    """Declarations of each file in preorder: sequence, depth (how many declarations of the file are above it) and
+    occurrence number of repeated qualified names. A parent that isn't in the file, or a cycle of parents, counts
+    as none: such declarations are at depth 0."""
+    place = [*PLACE, "file"]
+    file = Window.partitionBy(*place).orderBy("sb", F.desc("eb"), "id")
+    same = Window.partitionBy(*place, "qualified_name").orderBy("sb", F.desc("eb"), "id")
+    own = records.select(*place, F.col("id").alias("node"))
+    edges = records.where("parent_id is not null").select(*place, F.col("parent_id").alias("source"), F.col("id").alias("target"))
+    edges = edges.join(own.withColumnRenamed("node", "source"), [*place, "source"], "left_semi")
+    roots = own.join(edges.select(*place, F.col("target").alias("node")), [*place, "node"], "left_anti")
+    depths = graph.reachable(edges, roots, place).select(*place, F.col("node").alias("id"), F.col("distance").alias("depth"))
     return (
-        records.join(parent, [*PLACE, "parent_id"], "left")
+        records.join(depths, [*place, "id"], "left")
         .withColumns({"depth": F.coalesce("depth", F.lit(0)), "seq": F.row_number().over(file), "occurrence": F.row_number().over(same)})
         .withColumn("unique_name", F.when(F.col("occurrence") > 1, F.concat("qualified_name", F.lit("#"), F.col("occurrence").cast("string"))).otherwise(F.col("qualified_name")))
     )
@@ -41,55 +48,92 @@ def numbered_lines(files: DataFrame) -> DataFrame:
     )
 
 
-def identifiers(files: DataFrame) -> DataFrame:
-    """Names used in the files: (place, file, line, name, is_call, n) with how often on that line."""
+def identifiers(files: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Names used in the files: (place, file, line, name, is_call, n) with how often on that line. With ``names``
+    (place, name) all other words are dropped before anything is counted."""
     lines = numbered_lines(files).where("text != ''")
     found = F.explode(F.regexp_extract_all("text", F.lit(r"([A-Za-z_][A-Za-z0-9_]*\(?)"), F.lit(1))).alias("token")
-    used = lines.select(*PLACE, "file", "line", found)
-    return used.groupBy(
-        *PLACE, "file", "line", F.regexp_replace("token", r"\($", "").alias("name"), F.endswith("token", F.lit("(")).alias("is_call")
-    ).agg(F.count("*").alias("n"))
+    used = lines.select(*PLACE, "file", "line", found).select(*PLACE, "file", "line", F.regexp_replace("token", r"\($", "").alias("name"), F.endswith("token", F.lit("(")).alias("is_call"))
+    if names is not None:
+        used = used.join(names, [*PLACE, "name"], "left_semi")
+    return used.groupBy(*PLACE, "file", "line", "name", "is_call").agg(F.count("*").alias("n"))
+
+
+def line_owners(records: DataFrame, smallest: bool = False) -> DataFrame:
+    """(place, file, line, owner_id): of every line the declaration that holds it, the latest-starting one or the
+    one of smallest span. In proportion to the lines that declarations hold, however many a file has."""
+    order = F.struct(F.col("eb") - F.col("sb"), "sb", "id") if smallest else F.struct(-F.col("sb"), "eb", "id")
+    held = records.where("sl <= el").select(*PLACE, "file", "id", order.alias("rank"), F.explode(F.sequence("sl", "el")).alias("line"))
+    return held.groupBy(*PLACE, "file", "line").agg(F.min_by("id", "rank").alias("owner_id"))
 
 
 def owned(uses: DataFrame, records: DataFrame, smallest: bool = False) -> DataFrame:
-    """Each use (place, file, line) with the declaration that holds it: the latest-starting one, or the
-    one of smallest span. Equality on the file, then a bound on the lines."""
-    span = records.select(*PLACE, "file", F.col("id").alias("owner_id"), "sl", "el", "sb", "eb")
-    order = [F.asc_nulls_last("span"), F.asc("sb"), F.asc("owner_id")] if smallest else [F.desc_nulls_last("sb"), F.asc("eb"), F.asc("owner_id")]
-    key = [c for c in uses.columns if c not in (*PLACE, "file")]
-    inside = uses.join(span, [*PLACE, "file"], "left").where("owner_id is null or (line >= sl and line <= el)").withColumn("span", F.col("eb") - F.col("sb"))
-    best = inside.withColumn("r", F.row_number().over(Window.partitionBy(*PLACE, "file", *key).orderBy(*order))).where("r = 1")
-    return uses.join(best.select(*PLACE, "file", *key, "owner_id"), [*PLACE, "file", *key], "left")
-
-
-def resolved(uses: DataFrame, records: DataFrame) -> DataFrame:
-    """Target of each used name: unique in its file (static), else unique in its commit (heuristic),
-    else unresolved. A declaration's own line isn't a use of it."""
+    """Each use (place, file, line) with the declaration that holds it (see ``line_owners``)."""
+    return uses.join(line_owners(records, smallest), [*PLACE, "file", "line"], "left")
+
+
+def resolved(uses: DataFrame, records: DataFrame, bindings: DataFrame | None = None) -> DataFrame:
+    """Target of each used name. An imported name (``bindings``: place, file, name, imported, target_file) means
+    the one declaration of that name in the imported file (static) or nothing: it never falls back. Any
+    other is the unique one of its file (static), else of its commit (heuristic), else unresolved."""
     local = records.groupBy(*PLACE, "file", "name").agg(F.count("*").alias("c"), F.min("id").alias("local_id")).where("c = 1").drop("c")
     wide = records.groupBy(*PLACE, "name").agg(F.count("*").alias("c"), F.min("id").alias("wide_id")).where("c = 1").drop("c")
     found = uses.join(local, [*PLACE, "file", "name"], "left").join(wide, [*PLACE, "name"], "left")
-    target = F.coalesce("local_id", "wide_id")
-    quality = F.when(F.col("local_id").isNotNull(), "static").when(F.col("wide_id").isNotNull(), "heuristic").otherwise("unresolved")
-    return found.withColumns({"target_id": target, "resolution": quality}).drop("local_id", "wide_id")
+    if bindings is None:
+        found = found.withColumns({"bound": F.lit(False), "bound_id": F.lit(None).cast("string")})
+    else:
+        meant = local.select(*PLACE, F.col("file").alias("target_file"), F.col("name").alias("imported"), F.col("local_id").alias("bound_id"))
+        told = bindings.join(meant, [*PLACE, "target_file", "imported"], "left").select(*PLACE, "file", "name", F.lit(True).alias("bound"), "bound_id")
+        found = found.join(told, [*PLACE, "file", "name"], "left").withColumn("bound", F.coalesce("bound", F.lit(False)))
+    target = F.when(F.col("bound"), F.col("bound_id")).otherwise(F.coalesce("local_id", "wide_id"))
+    quality = (
+        F.when(F.col("bound"), F.when(F.col("bound_id").isNotNull(), "static").otherwise("unresolved"))
+        .when(F.col("local_id").isNotNull(), "static").when(F.col("wide_id").isNotNull(), "heuristic").otherwise("unresolved")
+    )
+    return found.withColumns({"target_id": target, "resolution": quality}).drop("local_id", "wide_id", "bound", "bound_id")
 
 
 def reference_edges(files: DataFrame, records: DataFrame) -> DataFrame:
     """(place, file, line, name, is_call, n, owner_id, target_id, resolution) of names that are declared
-    anywhere in the same commit; a semi join drops all other words before the wide joins."""
-    declared = records.select(*PLACE, "name").distinct()
-    uses = identifiers(files).join(declared, [*PLACE, "name"], "left_semi")
+    anywhere in the same commit or imported in their file. A declaration's own line isn't a use of it."""
+    bindings = import_bindings(files)
+    known = records.select(*PLACE, "name").unionByName(bindings.select(*PLACE, "name")).distinct()
     starts = records.select(*PLACE, "file", F.col("sl").alias("line"), "name").distinct()
-    uses = uses.join(starts, [*PLACE, "file", "line", "name"], "left_anti")
-    return resolved(owned(uses, records), records)
+    uses = identifiers(files, known).join(starts, [*PLACE, "file", "line", "name"], "left_anti")
+    declared = records.select(*PLACE, "name").distinct().withColumn("declared", F.lit(True))
+    uses = uses.join(declared, [*PLACE, "name"], "left").join(bindings.select(*PLACE, "file", "name", F.lit(True).alias("imports")), [*PLACE, "file", "name"], "left")
+    return resolved(owned(uses.where("declared or imports").drop("declared", "imports"), records), records, bindings)
+
+
+# Lines that name a module; the specifier is the first group that matched.
+SCRIPT_MODULE = r"""(?:from|^import|require\() ?["'](\.[^"']*)["']"""
+PYTHON_MODULE = r"^\s*(?:from (\.*[A-Za-z0-9_.]*) import |import ([A-Za-z0-9_.]+))"
+PHP_MODULE = r"""(?:include|require)(?:_once)?[ (]+(?:__DIR__ ?\. ?)?["']([^"']+)["']"""
 
 
 def module_edges(files: DataFrame) -> DataFrame:
-    """Relative imports and the file each one means: the first candidate that exists."""
-    scripts = files.where(F.col("language").isin("typescript", "javascript"))
-    found = numbered_lines(scripts).withColumn("specifier", F.regexp_extract("text", r"""from ["'](\.[^"']*)["']""", 1)).where("specifier != ''")
-    base = joined_path(directory_of(F.col("file")), F.col("specifier"))
-    bare = F.regexp_replace(base, r"\.js$", "")
-    options = F.array(*[F.concat(base, F.lit(s)) for s in MODULE_SUFFIXES], *[F.concat(bare, F.lit(s)) for s in (".ts", ".tsx")])
+    """Imports and the file each one means: (place, file, line, specifier, target_file, resolution); the first
+    candidate that exists. Script paths are relative ones: the path itself, the path with its known extension
+    exchanged for each of the others, and an index file below it. Python modules are a file or a package, from the
+    root or relative to the file's package by their dots. PHP includes are relative to the file's folder."""
+    def first(pattern: str, *groups: int):
+        return F.coalesce(*[F.nullif(F.regexp_extract("text", pattern, g), F.lit("")) for g in groups])
+
+    lines = numbered_lines(files)
+    specifier = (
+        F.when(F.col("language").isin("typescript", "javascript"), first(SCRIPT_MODULE, 1))
+        .when(F.col("language") == "python", first(PYTHON_MODULE, 1, 2)).when(F.col("language") == "php", first(PHP_MODULE, 1))
+    )
+    found = lines.withColumn("specifier", specifier).where("specifier is not null")
+    folder, dots = directory_of(F.col("file")), F.length(F.regexp_extract("specifier", r"^(\.*)", 1))
+    base = joined_path(folder, F.col("specifier"))
+    bare = F.regexp_replace(base, r"\.(ts|tsx|js|mjs|cjs|php|py|go|rs)$", "")
+    scripts = F.array(base, *[F.concat(bare, F.lit(e)) for e in MODULE_EXTENSIONS], *[F.concat(base, F.lit("/index" + e)) for e in MODULE_EXTENSIONS])
+    parts = F.replace(F.regexp_replace("specifier", r"^\.+", ""), F.lit("."), F.lit("/"))
+    stem = F.when(dots > 0, joined_path(folder, F.concat(F.repeat(F.lit("../"), dots - 1), parts))).otherwise(parts)
+    modules = F.filter(F.array(F.when(parts != "", F.concat(stem, F.lit(".py"))), F.ltrim(F.concat(stem, F.lit("/__init__.py")), F.lit("/"))), lambda c: c.isNotNull())
+    included = F.array(joined_path(folder, F.regexp_replace("specifier", r"^\.?/", "")))
+    options = F.when(F.col("language") == "python", modules).when(F.col("language") == "php", included).otherwise(scripts)
     tried = found.select(*PLACE, "file", "line", "specifier", F.posexplode(options).alias("priority", "target_file"))
     there = files.select(*PLACE, F.col("file").alias("target_file"))
     hit = tried.join(there, [*PLACE, "target_file"]).groupBy(*PLACE, "file", "line", "specifier").agg(F.min_by("target_file", "priority").alias("target_file"))
@@ -97,12 +141,61 @@ def module_edges(files: DataFrame) -> DataFrame:
     return edges.withColumn("resolution", F.when(F.col("target_file").isNotNull(), "static").otherwise("unresolved"))
 
 
+# A line that binds names of another module: named, whole or default imports, and Python's from-imports.
+NAMED_IMPORT = r"""^import (?:type )?(?:[A-Za-z_$][A-Za-z0-9_$]* ?, ?)?\{([^}]*)\} from ["'][^"']+["']"""
+DEFAULT_IMPORT = r"""^import ([A-Za-z_$][A-Za-z0-9_$]*)(?: ?, ?\{[^}]*\})? from ["'][^"']+["']"""
+FROM_IMPORT = r"^\s*from \.*[A-Za-z0-9_.]* import \(?([A-Za-z0-9_, ]+)\)?"
+
+
+def import_bindings(files: DataFrame) -> DataFrame:
+    """(place, file, name, imported, target_file): the names that a file binds by imports, what they are called where
+    they come from, and the file that is meant (null where none is known). Of repeated bindings the last counts."""
+    lines = numbered_lines(files)
+    script, python = F.col("language").isin("typescript", "javascript"), F.col("language") == "python"
+    clauses = F.when(script, F.regexp_extract("text", NAMED_IMPORT, 1)).when(python, F.regexp_extract("text", FROM_IMPORT, 1))
+    default = F.when(script, F.nullif(F.regexp_extract("text", DEFAULT_IMPORT, 1), F.lit("")))
+    named = F.transform(F.filter(F.split(clauses, ","), lambda c: F.trim(c) != ""), lambda c: F.struct(
+        F.regexp_extract(c, r"([A-Za-z_$][A-Za-z0-9_$]*)\s*$", 1).alias("name"), F.regexp_extract(F.regexp_replace(c, r"^\s*type ", ""), r"([A-Za-z_$][A-Za-z0-9_$]*)", 1).alias("imported")))
+    whole = F.filter(F.array(F.when(default.isNotNull(), F.struct(default.alias("name"), F.lit("default").alias("imported")))), lambda b: b.isNotNull())
+    bound = lines.where(F.col("text").rlike("import ")).select(*PLACE, "file", "line", F.explode(F.concat(F.coalesce(named, F.expr("array()").cast("array<struct<name:string,imported:string>>")), whole)).alias("b"))
+    bound = bound.select(*PLACE, "file", "line", "b.name", "b.imported").where("name != ''")
+    targets = module_edges(files).select(*PLACE, "file", "line", "target_file")
+    told = bound.join(targets, [*PLACE, "file", "line"], "left")
+    return told.groupBy(*PLACE, "file", "name").agg(F.max_by(F.struct("imported", "target_file"), F.struct("line", "imported")).alias("b")).select(*PLACE, "file", "name", "b.imported", "b.target_file")
+
+
+# A line that opens a test case or a group of them, with its title.
+TEST_TITLE = r"""^\s*(?:it|test|describe)(?:\.[a-z]+)?\( ?["'`]([^"'`]*)"""
+
+
+def structural_scores(files: DataFrame, records: DataFrame, terms: list[str]) -> DataFrame:
+    """(place, id, score): 3 for the target and 2 for the owner of every use whose name holds a term, once as a
+    reference and once more as a call; 1 for each declaration of the two files of an import whose specifier
+    does; 1 for the smallest declaration around a test whose title does."""
+    from orefield.operators.ranking import term_hits
+
+    hit = reference_edges(files, records).where(term_hits(F.col("name"), terms) > 0).withColumn("n", F.col("n") * F.when(F.col("is_call"), 2).otherwise(1))
+    ends = F.explode(F.array(F.struct(F.col("target_id").alias("id"), (F.col("n") * 3).alias("s")), F.struct(F.col("owner_id").alias("id"), (F.col("n") * 2).alias("s")))).alias("x")
+    uses = hit.select(*PLACE, ends).where("x.id is not null").select(*PLACE, "x.id", "x.s")
+    modules = module_edges(files).where(term_hits(F.col("specifier"), terms) > 0)
+    both = modules.select(*PLACE, F.explode(F.array_distinct(F.array("file", F.coalesce("target_file", "file")))).alias("file"))
+    imports = both.groupBy(*PLACE, "file").agg(F.count("*").alias("s")).join(records.select(*PLACE, "file", "id"), [*PLACE, "file"]).select(*PLACE, "id", "s")
+    titled = numbered_lines(files).withColumn("title", F.regexp_extract("text", TEST_TITLE, 1)).where("title != ''").where(term_hits(F.col("title"), terms) > 0)
+    tests = owned(titled.select(*PLACE, "file", "line"), records, smallest=True).where("owner_id is not null").select(*PLACE, F.col("owner_id").alias("id"), F.lit(1).cast("bigint").alias("s"))
+    return uses.unionByName(imports).unionByName(tests).groupBy(*PLACE, "id").agg(F.sum("s").alias("score"))
+
+
 def symbol_windows(files: DataFrame, records: DataFrame) -> DataFrame:
-    """Each declaration's first line and the line before and after it."""
-    lines = numbered_lines(files).select(*PLACE, "file", "line", "text")
-    wanted = records.select(*PLACE, "id", "file", F.explode(F.array(F.struct(F.lit("before").alias("role"), (F.col("sl") - 1).alias("line")), F.struct(F.lit("first").alias("role"), F.col("sl").alias("line")), F.struct(F.lit("after").alias("role"), (F.col("el") + 1).alias("line")))).alias("w"))
-    wanted = wanted.select(*PLACE, "id", "file", "w.role", "w.line")
-    return wanted.join(lines, [*PLACE, "file", "line"]).groupBy(*PLACE, "id").pivot("role", ["before", "first", "after"]).agg(F.min("text"))
+    """Each declaration's first line and the line before and after it; declarations of which the file has none of
+    these lines are left out. One join by file; the lines are taken from the file's array of lines."""
+    lines = unix_lines(F.col("content"))
+
+    def line(number):
+        return F.when((number >= 1) & (number <= F.size(lines)), F.get(lines, number - 1))
+
+    found = records.select(*PLACE, "file", "id", "sl", "el").join(files.select(*PLACE, "file", "content"), [*PLACE, "file"])
+    found = found.select(*PLACE, "id", line(F.col("sl") - 1).alias("before"), line(F.col("sl")).alias("first"), line(F.col("el") + 1).alias("after"))
+    return found.where("before is not null or first is not null or after is not null")
 
 
 def inheritance_edges(files: DataFrame, records: DataFrame) -> DataFrame:
@@ -146,3 +239,27 @@ def test_framework(path, text):
     is_test = path.rlike(r"(^|/)(tests?|__tests__|spec)/|[._-](test|spec)\.[a-z]+$|(^|/)test_[^/]*\.py$|_test\.(go|py)$")
     kind = F.when(text.rlike("from [\"']vitest"), "vitest").when(text.rlike(r"from [\"']mocha|require\([\"']mocha"), "mocha").when(text.rlike(r"@jest|jest\."), "jest").otherwise("unknown")
     return F.when(is_test, kind)
+
+
+def guard_lists(files: DataFrame, records: DataFrame, pattern: str = r"^\s*if \((.+)\) ?\{?:?\s*$") -> DataFrame:
+    """(place, id, guards): the distinct conditions inside each declaration in the order of their first lines."""
+    guards = numbered_lines(files).withColumn("guard", F.regexp_extract("text", pattern, 1)).where("guard != ''").select(*PLACE, "file", "line", "guard")
+    first = owned(guards, records).where("owner_id is not null").groupBy(*PLACE, F.col("owner_id").alias("id"), "guard").agg(F.min("line").alias("line"))
+    return first.groupBy(*PLACE, "id").agg(F.array_sort(F.collect_list(F.struct("line", "guard"))).alias("g")).select(*PLACE, "id", F.col("g.guard").alias("guards"))
+
+
+# Folders and file names that hold tests, fixtures or generated code.
+NO_PRODUCTION = r"(^|/)(tests?|__tests__|spec|fixtures?|examples?|dist|build|vendor|node_modules)/|[._-](test|spec)\.[a-z]+$|(^|/)test_[^/]*\.py$|_test\.(go|py)$|\.d\.ts$|\.min\.js$"
+
+
+def production_files(files: DataFrame) -> DataFrame:
+    """Files that are neither tests nor fixtures nor generated."""
+    return files.where(~F.col("file").rlike(NO_PRODUCTION))
+
+
+def missing_languages(files: DataFrame) -> DataFrame:
+    """(extension, files): the extensions of files that no language of the index claims."""
+    from orefield.functions.text import language_of_path
+
+    odd = files.where(language_of_path(F.col("file")).isNull())
+    return odd.groupBy(F.lower(F.regexp_extract("file", r"(\.[A-Za-z0-9]+)$", 1)).alias("extension")).agg(F.count("*").alias("files"))

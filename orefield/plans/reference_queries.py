@@ -16,9 +16,6 @@ QUESTION = "Which documentation of the validator snapshot mentions readToken or
 TERMS = question_terms(QUESTION)
 #: Epoch milliseconds at which the queue is looked at.
 NOW_MS = 1_742_000_000_000
-#: The SQL's last snapshot; the queries take each repository's own.
-LAST = 12
-
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -49,6 +46,14 @@ RECORDS = f"""records AS (SELECT repository, commit_hash, id, file, {LANG} AS la
 REVIEWS = "rv AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC) AS rn FROM reviews WHERE id IS NOT NULL) WHERE rn = 1)"
 STATES = "st AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY repository, snapshot_no, id ORDER BY updated_at DESC, loaded_at DESC) AS rn FROM symbols) WHERE rn = 1)"
 
+LASTS = """lasts AS (SELECT repository, snapshot_no, row_number() OVER (PARTITION BY repository ORDER BY snapshot_no DESC) - 1 AS back FROM (
+  SELECT DISTINCT repository, snapshot_no FROM symbols WHERE repository IS NOT NULL AND snapshot_no IS NOT NULL))"""
+
+
+def own_last(back: int = 0, columns: str = "repository, snapshot_no") -> str:
+    """Rows of each repository's own last snapshot, or of one before it."""
+    return f"({columns}) IN (SELECT (repository, snapshot_no) FROM lasts WHERE back = {back})"
+
 
 def digest(column: str) -> str:
     return f"regexp_replace(lower(regexp_replace({column}, '\\s', '', 'g')), '^sha-?256[:=]', '')"
@@ -81,11 +86,15 @@ def _last_states(spark, folder, back=0):
 
 # Retrieval
 
-@query(f"WITH {RECORDS} SELECT * FROM (SELECT repository, id, " + " + ".join(any_hits(c, TERMS, w) for c, w in (("name", 8), ("signature", 3), ("file", 2))) + " AS score FROM records) WHERE score > 0")
+LEXICAL = f"""lexical AS (SELECT * FROM (SELECT repository, commit_hash, id, {" + ".join(any_hits(c, TERMS, w) for c, w in (("names", 8), ("signature", 3), ("file", 2), ("body", 1)))} AS score FROM (
+  SELECT r.*, r.name || ' ' || r.qualified_name AS names, array_to_string(string_split(replace(replace(f.content, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))[r.sl:r.el], chr(10)) AS body
+  FROM records r LEFT JOIN files f USING (repository, commit_hash, file))) WHERE score > 0)"""
+
+
+@query(f"WITH {FILES}, {RECORDS}, {LEXICAL} SELECT repository, commit_hash, id, score FROM lexical")
 def lexical_symbols(spark: SparkSession, folder: str) -> DataFrame:
-    """Weighted substring score of every declaration for a question's terms."""
-    score = ranking.term_score(TERMS, {"name": 8, "signature": 3, "file": 2})
-    return _records(spark, folder).select("repository", "id", score.alias("score")).where("score > 0")
+    """Weighted substring score of every declaration for a question's terms: in its names, signature, path and body."""
+    return ranking.lexical_scores(_records(spark, folder), _files(spark, folder), TERMS)
 
 
 @query(f"""SELECT doc_id, score, f.line AS line, trim(f.text, ' ') AS excerpt FROM (
@@ -122,9 +131,10 @@ def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
 def semantic_topk(spark: SparkSession, folder: str) -> DataFrame:
     """Exact cosine search with one query vector (the first symbol's); the top 100 is the operator's bound."""
     entries = latest_by(table(spark, folder, "semantic_entries"), ["symbol_id"], ["indexed_at"], ["embedding"]).where("embedding is not null and size(embedding) = 72")
-    first = entries.orderBy("symbol_id").limit(50).collect()
-    probe = next(r["embedding"] for r in sorted(first, key=lambda r: r["symbol_id"]) if all(v is not None and abs(v) < float("inf") for v in r["embedding"]) and any(r["embedding"]))
-    return ranking.nearest_by_cosine(entries, probe).select("symbol_id", "score")
+    probe = entries.where(ranking.usable_vector("embedding", 72)).orderBy("symbol_id").limit(1).select("embedding").first()
+    if probe is None:
+        return entries.select("symbol_id", F.lit(None).cast("double").alias("score")).limit(0)
+    return ranking.nearest_by_cosine(entries, probe["embedding"]).select("symbol_id", "score")
 
 
 @query(f"""WITH w AS (SELECT doc_id, regexp_replace(regexp_replace(text, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+', ' ', 'g') AS t FROM documents),
@@ -150,27 +160,54 @@ def symbol_match(spark: SparkSession, folder: str) -> DataFrame:
     return structure.symbol_matches(_records(spark, folder), "readToken").select("repository", "id", "name", "match")
 
 
-@query(f"""WITH {RECORDS} SELECT r.repository, r.commit_hash, r.file, r.id, CASE WHEN p.id IS NULL THEN 0 ELSE 1 END AS depth,
+@query(f"""WITH RECURSIVE {RECORDS}, e AS (SELECT c.repository, c.commit_hash, c.file, c.parent_id, c.id FROM records c JOIN records p ON p.repository = c.repository AND p.commit_hash = c.commit_hash AND p.file = c.file AND p.id = c.parent_id),
+ walk AS (SELECT repository, commit_hash, file, id, 0 AS depth FROM records r WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.repository = r.repository AND e.commit_hash = r.commit_hash AND e.file = r.file AND e.id = r.id)
+  UNION ALL SELECT e.repository, e.commit_hash, e.file, e.id, w.depth + 1 FROM walk w JOIN e ON e.repository = w.repository AND e.commit_hash = w.commit_hash AND e.file = w.file AND e.parent_id = w.id)
+ SELECT r.repository, r.commit_hash, r.file, r.id, coalesce(w.depth, 0)::INT AS depth,
  row_number() OVER (PARTITION BY r.repository, r.commit_hash, r.file ORDER BY r.sb, r.eb DESC, r.id)::INT AS seq,
  row_number() OVER (PARTITION BY r.repository, r.commit_hash, r.file, r.qualified_name ORDER BY r.sb, r.eb DESC, r.id)::INT AS occurrence
- FROM records r LEFT JOIN records p ON p.repository = r.repository AND p.commit_hash = r.commit_hash AND p.id = r.parent_id""")
+ FROM records r LEFT JOIN walk w USING (repository, commit_hash, file, id)""")
 def file_outline(spark: SparkSession, folder: str) -> DataFrame:
     return structure.outline(_records(spark, folder)).select("repository", "commit_hash", "file", "id", "depth", "seq", "occurrence")
 
 
-EDGES = f"""{FILES}, {LINES}, {RECORDS},
+def quoted(pattern: str) -> str:
+    """A pattern as an SQL literal."""
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_PLACED = "repository, commit_hash, file"
+_NAME = "([A-Za-z_$][A-Za-z0-9_$]*)"
+_CANDIDATES = ", ".join(["(0, 0, '')", *[f"({n + 1}, 1, '{e}')" for n, e in enumerate(structure.MODULE_EXTENSIONS)], *[f"({n + 10}, 2, '{e}')" for n, e in enumerate(structure.MODULE_EXTENSIONS)], "(0, 3, '.py')", "(1, 3, '/__init__.py')", "(0, 4, '')"])
+#: Modules (the SQL follows ``./`` and one dot; no specifier of the tables goes up).
+MODULES = f"""mods AS (SELECT * FROM (SELECT {_PLACED}, line, language, CASE WHEN language IN ('typescript', 'javascript') THEN regexp_extract(text, {quoted(structure.SCRIPT_MODULE)}, 1)
+   WHEN language = 'python' THEN coalesce(nullif(regexp_extract(text, {quoted(structure.PYTHON_MODULE)}, 1), ''), regexp_extract(text, {quoted(structure.PYTHON_MODULE)}, 2)) WHEN language = 'php' THEN regexp_extract(text, {quoted(structure.PHP_MODULE)}, 1) END AS specifier FROM lines) WHERE specifier <> ''),
+ based AS (SELECT *, regexp_replace(file, '/?[^/]*$', '') AS dir, CASE WHEN language = 'python' THEN replace(regexp_replace(specifier, '^\\.+', ''), '.', '/') ELSE regexp_replace(specifier, '^\\.?/', '') END AS rest FROM mods),
+ cand AS (SELECT b.*, p.pr, ltrim(CASE p.how WHEN 0 THEN dir || '/' || rest WHEN 1 THEN regexp_replace(dir || '/' || rest, '\\.(ts|tsx|js|mjs|cjs|php|py|go|rs)$', '') || p.sx WHEN 2 THEN dir || '/' || rest || '/index' || p.sx
+    WHEN 3 THEN CASE WHEN specifier LIKE '.%' THEN dir || '/' ELSE '' END || rest || p.sx ELSE dir || '/' || rest END, '/') AS target FROM based b, (VALUES {_CANDIDATES}) p(pr, how, sx) WHERE CASE language WHEN 'python' THEN p.how = 3 AND (rest <> '' OR p.pr = 1) WHEN 'php' THEN p.how = 4 ELSE p.how < 3 END),
+ meant AS (SELECT c.repository, c.commit_hash, c.file, c.line, c.specifier, arg_min(c.target, c.pr) AS target_file FROM cand c JOIN files ON files.repository = c.repository AND files.commit_hash = c.commit_hash AND files.file = c.target GROUP BY ALL),
+ modules AS (SELECT mods.repository, mods.commit_hash, mods.file, mods.line, mods.specifier, target_file FROM mods LEFT JOIN meant USING ({_PLACED}, line, specifier))"""
+BINDINGS = f"""bnd0 AS (SELECT {_PLACED}, line, unnest(string_split(CASE WHEN language IN ('typescript', 'javascript') THEN regexp_extract(text, {quoted(structure.NAMED_IMPORT)}, 1) WHEN language = 'python' THEN regexp_extract(text, {quoted(structure.FROM_IMPORT)}, 1) END, ',')) AS c FROM lines WHERE contains(text, 'import ')),
+ bnd1 AS (SELECT {_PLACED}, line, regexp_extract(c, '{_NAME}\\s*$', 1) AS name, regexp_extract(regexp_replace(c, '^\\s*type ', ''), '{_NAME}', 1) AS imported FROM bnd0 WHERE trim(c) <> ''
+  UNION ALL SELECT {_PLACED}, line, regexp_extract(text, {quoted(structure.DEFAULT_IMPORT)}, 1), 'default' FROM lines WHERE language IN ('typescript', 'javascript')),
+ bindings AS (SELECT {_PLACED}, name, arg_max(imported, row(line, imported)) AS imported, arg_max(coalesce(target_file, ''), row(line, imported)) AS target_file FROM bnd1 LEFT JOIN modules USING ({_PLACED}, line) WHERE name <> '' GROUP BY ALL)"""
+EDGES = f"""{FILES}, {LINES}, {RECORDS}, {MODULES}, {BINDINGS},
  tok AS (SELECT repository, commit_hash, file, line, unnest(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*\\(?)', 1)) AS t FROM lines WHERE text <> ''),
  uses0 AS (SELECT repository, commit_hash, file, line, regexp_replace(t, '\\($', '') AS name, t LIKE '%(' AS is_call, count(*) AS n FROM tok GROUP BY ALL),
- uses AS (SELECT u.* FROM uses0 u WHERE EXISTS (SELECT 1 FROM records r WHERE r.repository = u.repository AND r.commit_hash = u.commit_hash AND r.name = u.name)
+ uses AS (SELECT u.* FROM uses0 u WHERE (EXISTS (SELECT 1 FROM records r WHERE r.repository = u.repository AND r.commit_hash = u.commit_hash AND r.name = u.name)
+    OR EXISTS (SELECT 1 FROM bindings b WHERE b.repository = u.repository AND b.commit_hash = u.commit_hash AND b.file = u.file AND b.name = u.name))
    AND NOT EXISTS (SELECT 1 FROM records r WHERE r.repository = u.repository AND r.commit_hash = u.commit_hash AND r.file = u.file AND r.sl = u.line AND r.name = u.name)),
  own AS (SELECT u.repository, u.commit_hash, u.file, u.line, u.name, u.is_call, r.id AS owner_id,
    row_number() OVER (PARTITION BY u.repository, u.commit_hash, u.file, u.line, u.name, u.is_call ORDER BY r.sb DESC, r.eb, r.id) AS rn
    FROM uses u JOIN records r ON r.repository = u.repository AND r.commit_hash = u.commit_hash AND r.file = u.file AND u.line BETWEEN r.sl AND r.el),
  loc AS (SELECT repository, commit_hash, file, name, min(id) AS id FROM records GROUP BY ALL HAVING count(*) = 1),
  wide AS (SELECT repository, commit_hash, name, min(id) AS id FROM records GROUP BY ALL HAVING count(*) = 1),
- edges AS (SELECT u.*, o.owner_id, coalesce(l.id, w.id) AS target_id, CASE WHEN l.id IS NOT NULL THEN 'static' WHEN w.id IS NOT NULL THEN 'heuristic' ELSE 'unresolved' END AS resolution
+ bound AS (SELECT b.repository, b.commit_hash, b.file, b.name, l.id FROM bindings b LEFT JOIN loc l ON l.repository = b.repository AND l.commit_hash = b.commit_hash AND l.file = b.target_file AND l.name = b.imported),
+ edges AS (SELECT u.*, o.owner_id, CASE WHEN b.name IS NOT NULL THEN b.id ELSE coalesce(l.id, w.id) END AS target_id,
+   CASE WHEN b.name IS NOT NULL THEN CASE WHEN b.id IS NULL THEN 'unresolved' ELSE 'static' END WHEN l.id IS NOT NULL THEN 'static' WHEN w.id IS NOT NULL THEN 'heuristic' ELSE 'unresolved' END AS resolution
    FROM uses u LEFT JOIN (SELECT * FROM own WHERE rn = 1) o USING (repository, commit_hash, file, line, name, is_call)
-   LEFT JOIN loc l USING (repository, commit_hash, file, name) LEFT JOIN wide w USING (repository, commit_hash, name))"""
+   LEFT JOIN bound b ON b.repository = u.repository AND b.commit_hash = u.commit_hash AND b.file = u.file AND b.name = u.name
+   LEFT JOIN loc l ON l.repository = u.repository AND l.commit_hash = u.commit_hash AND l.file = u.file AND l.name = u.name LEFT JOIN wide w ON w.repository = u.repository AND w.commit_hash = u.commit_hash AND w.name = u.name)"""
 
 
 def _edges(spark, folder):
@@ -192,16 +229,19 @@ def callers_and_callees(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _HITS = any_hits("name", TERMS)
+STRUCTURAL = f"""m AS (SELECT *, ({_HITS}) > 0 AS hit, CASE WHEN is_call THEN 2 ELSE 1 END AS twice FROM edges),
+ dep AS (SELECT DISTINCT {_PLACED}, line, specifier, unnest(list_distinct([file, coalesce(target_file, file)])) AS touched FROM modules WHERE ({any_hits('specifier', TERMS)}) > 0),
+ tst AS (SELECT t.repository, t.commit_hash, t.file, t.line, r.id, row_number() OVER (PARTITION BY t.repository, t.commit_hash, t.file, t.line ORDER BY r.eb - r.sb, r.sb, r.id) AS rn FROM (
+   SELECT *, regexp_extract(text, {quoted(structure.TEST_TITLE)}, 1) AS title FROM lines) t JOIN records r ON r.repository = t.repository AND r.commit_hash = t.commit_hash AND r.file = t.file AND t.line BETWEEN r.sl AND r.el WHERE title <> '' AND ({any_hits('title', TERMS)}) > 0),
+ parts AS (SELECT repository, commit_hash, target_id AS id, 3 * n * twice AS s FROM m WHERE hit AND target_id IS NOT NULL UNION ALL SELECT repository, commit_hash, owner_id, 2 * n * twice FROM m WHERE hit AND owner_id IS NOT NULL
+  UNION ALL SELECT r.repository, r.commit_hash, r.id, 1 FROM dep JOIN records r ON r.repository = dep.repository AND r.commit_hash = dep.commit_hash AND r.file = dep.touched UNION ALL SELECT repository, commit_hash, id, 1 FROM tst WHERE rn = 1),
+ structural AS (SELECT repository, commit_hash, id, sum(s)::BIGINT AS score FROM parts GROUP BY ALL)"""
 
 
-@query(f"""WITH {EDGES}, m AS (SELECT *, ({_HITS}) > 0 AS hit FROM edges),
- parts AS (SELECT repository, commit_hash, target_id AS id, 3 * n AS s FROM m WHERE hit AND target_id IS NOT NULL UNION ALL SELECT repository, commit_hash, owner_id, 2 * n FROM m WHERE hit AND owner_id IS NOT NULL)
- SELECT repository, commit_hash, id, sum(s)::BIGINT AS score FROM parts GROUP BY ALL""")
+@query(f"WITH {EDGES}, {STRUCTURAL} SELECT repository, commit_hash, id, score FROM structural")
 def structural_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Three for the target and two for the owner of every use whose name holds a term."""
-    hit = _edges(spark, folder).where(ranking.term_hits(F.col("name"), TERMS) > 0)
-    ends = F.explode(F.array(F.struct(F.col("target_id").alias("id"), (F.col("n") * 3).alias("s")), F.struct(F.col("owner_id").alias("id"), (F.col("n") * 2).alias("s")))).alias("x")
-    return hit.select("repository", "commit_hash", ends).where("x.id is not null").groupBy("repository", "commit_hash", F.col("x.id").alias("id")).agg(F.sum("x.s").alias("score"))
+    """Declarations by the uses, imports and tests around them whose names hold a question's term."""
+    return structure.structural_scores(_files(spark, folder), _records(spark, folder), TERMS)
 
 
 @query(f"""WITH RECURSIVE {EDGES}, e AS (SELECT DISTINCT repository, commit_hash, target_id AS source, owner_id AS target FROM edges WHERE owner_id IS NOT NULL AND target_id IS NOT NULL),
@@ -215,11 +255,7 @@ def affected_symbols(spark: SparkSession, folder: str) -> DataFrame:
     return graph.reachable(edges, start, key).select(*key, "node")
 
 
-@query(f"""WITH {FILES}, {LINES}, imp AS (SELECT repository, commit_hash, file, line, regexp_extract(text, 'from ["''](\\.[^"'']*)["'']', 1) AS specifier FROM lines WHERE language IN ('typescript', 'javascript')),
- f AS (SELECT *, regexp_replace(file, '/?[^/]*$', '') || '/' || regexp_replace(specifier, '^\\./', '') AS base FROM imp WHERE specifier <> ''),
- c AS (SELECT f.*, p.pr, CASE WHEN p.pr < 9 THEN base || p.sx ELSE regexp_replace(base, '\\.js$', '') || p.sx END AS target FROM f, (VALUES (0, ''), (1, '.ts'), (2, '.tsx'), (3, '.js'), (4, '.jsx'), (5, '.mjs'), (6, '/index.ts'), (7, '/index.tsx'), (8, '/index.js'), (9, '.ts'), (10, '.tsx')) p(pr, sx)),
- h AS (SELECT c.repository, c.commit_hash, c.file, c.line, c.specifier, arg_min(c.target, c.pr) AS target_file FROM c JOIN files ON files.repository = c.repository AND files.commit_hash = c.commit_hash AND files.file = c.target GROUP BY ALL)
- SELECT f.repository, f.commit_hash, f.file, f.line, f.specifier, h.target_file, CASE WHEN h.target_file IS NULL THEN 'unresolved' ELSE 'static' END AS resolution FROM f LEFT JOIN h USING (repository, commit_hash, file, line, specifier)""")
+@query(f"WITH {FILES}, {LINES}, {MODULES} SELECT {_PLACED}, line, specifier, target_file, CASE WHEN target_file IS NULL THEN 'unresolved' ELSE 'static' END AS resolution FROM modules")
 def module_resolution(spark: SparkSession, folder: str) -> DataFrame:
     return structure.module_edges(_files(spark, folder)).select("repository", "commit_hash", "file", "line", "specifier", "target_file", "resolution")
 
@@ -263,10 +299,17 @@ def declared_names(spark: SparkSession, folder: str) -> DataFrame:
     return extraction.declared_names(_files(spark, folder)).select("repository", "commit_hash", "file", "line", "name")
 
 
-@query()
+_PY = {kind: quoted(pattern) for kind, pattern in extraction.PYTHON_FACTS.items()}
+
+
+@query(f"""WITH {FILES}, {LINES}, p AS (SELECT * FROM lines WHERE language = 'python')
+ SELECT {_PLACED}, line, 'class' AS kind, regexp_extract(text, {_PY['class']}, 1) AS name FROM p WHERE regexp_matches(text, {_PY['class']})
+ UNION ALL SELECT {_PLACED}, line, CASE WHEN regexp_extract(text, {_PY['def']}, 1) = '' THEN 'function' WHEN regexp_extract(text, {_PY['def']}, 2) = '__init__' THEN 'constructor' ELSE 'method' END, regexp_extract(text, {_PY['def']}, 2) FROM p WHERE regexp_matches(text, {_PY['def']})
+ UNION ALL SELECT {_PLACED}, line, 'import', coalesce(nullif(regexp_extract(text, {_PY['import']}, 1), ''), regexp_extract(text, {_PY['import']}, 2)) FROM p WHERE regexp_matches(text, {_PY['import']})
+ UNION ALL SELECT {_PLACED}, line, 'extends', trim(unnest(string_split(regexp_extract(text, {_PY['extends']}, 1), ','))) FROM p WHERE regexp_matches(text, {_PY['extends']})""")
 def python_index(spark: SparkSession, folder: str) -> DataFrame:
-    """Declarations, imports, calls and bases of Python files by Python's own grammar."""
-    return extraction.python_index(_files(spark, folder))
+    """Declarations, imports and bases in Python files by their lines."""
+    return extraction.python_index(_files(spark, folder)).select("repository", "commit_hash", "file", "line", "kind", "name")
 
 
 @query(f"""WITH {RECORDS} SELECT r.repository, r.id, sha256('v1' || chr(0) || r.file || chr(0) || r.kind || chr(0) || r.qualified_name || chr(0) || coalesce(p.qualified_name, '') || chr(0) || r.signature) AS identity
@@ -322,21 +365,21 @@ def change_counts(spark: SparkSession, folder: str) -> DataFrame:
 ACTIVE = "(active IS NULL OR active = 1)"
 
 
-@query(f"""WITH {STATES} SELECT repository, id, current_status, row_number() OVER (PARTITION BY repository ORDER BY CASE current_status WHEN 'pending' THEN 0 WHEN 'stale' THEN 1 WHEN 'reviewed' THEN 2 ELSE 3 END, file, qualified_name, id)::INT AS position
- FROM st WHERE snapshot_no = {LAST} AND {ACTIVE} AND (current_status IN ('pending', 'stale') OR (current_status = 'failed' AND retries < 3 AND coalesce(retry_after, 0) <= {NOW_MS}))""")
+@query(f"""WITH {STATES}, {LASTS} SELECT repository, id, current_status, row_number() OVER (PARTITION BY repository ORDER BY CASE current_status WHEN 'pending' THEN 0 WHEN 'stale' THEN 1 WHEN 'reviewed' THEN 2 ELSE 3 END, file, qualified_name, id)::INT AS position
+ FROM st WHERE {own_last()} AND {ACTIVE} AND (current_status IN ('pending', 'stale') OR (current_status = 'failed' AND retries < 3 AND coalesce(retry_after, 0) <= {NOW_MS}))""")
 def queue_order(spark: SparkSession, folder: str) -> DataFrame:
     """Eligible symbols of each repository's last snapshot in queue order."""
     return reviews.queue(_last_states(spark, folder), NOW_MS).select("repository", "id", "current_status", "position")
 
 
-@query(f"""WITH {STATES}, g AS (SELECT repository, CASE WHEN {ACTIVE} THEN current_status ELSE 'inactive' END AS s FROM st WHERE snapshot_no = {LAST}), d(state) AS (VALUES ('pending'), ('stale'), ('reviewed'), ('failed'), ('inactive'))
+@query(f"""WITH {STATES}, {LASTS}, g AS (SELECT repository, CASE WHEN {ACTIVE} THEN current_status ELSE 'inactive' END AS s FROM st WHERE {own_last()}), d(state) AS (VALUES ('pending'), ('stale'), ('reviewed'), ('failed'), ('inactive'))
  SELECT r.repository, d.state, count(g.s) AS n FROM (SELECT DISTINCT repository FROM g) r CROSS JOIN d LEFT JOIN g ON g.repository = r.repository AND g.s = d.state GROUP BY ALL""")
 def queue_status(spark: SparkSession, folder: str) -> DataFrame:
     return reviews.status_counts(_last_states(spark, folder))
 
 
-@query(f"""WITH {STATES}, a AS (SELECT repository, id, {digest('content_hash')} AS h, current_status AS s, retries AS r, {ACTIVE} AS act FROM st WHERE snapshot_no = {LAST - 1}),
- b AS (SELECT repository, id, {digest('content_hash')} AS h FROM st WHERE snapshot_no = {LAST} AND {ACTIVE})
+@query(f"""WITH {STATES}, {LASTS}, a AS (SELECT repository, id, {digest('content_hash')} AS h, current_status AS s, retries AS r, {ACTIVE} AS act FROM st WHERE {own_last(1)}),
+ b AS (SELECT repository, id, {digest('content_hash')} AS h FROM st WHERE {own_last()} AND {ACTIVE})
  SELECT coalesce(a.repository, b.repository) AS repository, coalesce(a.id, b.id) AS id,
   CASE WHEN b.id IS NULL THEN a.s WHEN a.id IS NULL THEN 'pending' WHEN a.act AND a.h IS NOT DISTINCT FROM b.h THEN a.s WHEN a.s = 'pending' THEN 'pending' ELSE 'stale' END AS status,
   CASE WHEN b.id IS NULL OR (a.act AND a.h IS NOT DISTINCT FROM b.h) THEN coalesce(a.r, 0) ELSE 0 END AS retries, (b.id IS NOT NULL)::INT AS active
@@ -346,7 +389,7 @@ def scan_reconciliation(spark: SparkSession, folder: str) -> DataFrame:
     return reviews.reconciled(_last_states(spark, folder, 1), _last_states(spark, folder))
 
 
-@query(f"""WITH {STATES}, {REVIEWS}, f AS (SELECT *, {digest('reviewed_hash')} AS h FROM rv WHERE verdict = 'finding'), s AS (SELECT DISTINCT id, {digest('content_hash')} AS h FROM st WHERE snapshot_no = {LAST})
+@query(f"""WITH {STATES}, {LASTS}, {REVIEWS}, f AS (SELECT *, {digest('reviewed_hash')} AS h FROM rv WHERE verdict = 'finding'), s AS (SELECT DISTINCT id, {digest('content_hash')} AS h FROM st WHERE {own_last()})
  SELECT id, symbol_id, severity, CASE WHEN EXISTS (SELECT 1 FROM s WHERE s.id = f.symbol_id AND s.h = f.h) THEN 0 ELSE 1 END AS outdated FROM f WHERE EXISTS (SELECT 1 FROM s WHERE s.id = f.symbol_id)""")
 def finding_outdated(spark: SparkSession, folder: str) -> DataFrame:
     return reviews.findings(_reviews(spark, folder), _last_states(spark, folder)).select("id", "symbol_id", "severity", "outdated")
@@ -382,8 +425,8 @@ def severity_counts(spark: SparkSession, folder: str) -> DataFrame:
     return _reviews(spark, folder).groupBy("model", "severity").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {STATES}, {REVIEWS} SELECT s.repository, s.id, s.retries + 1 AS retries, {NOW_MS + 60000}::BIGINT AS retry_after, CASE WHEN EXISTS (SELECT 1 FROM rv WHERE rv.symbol_id = s.id) THEN 'reviewed' ELSE 'failed' END AS current_status
- FROM st s WHERE s.snapshot_no = {LAST} AND s.current_status = 'failed'""")
+@query(f"""WITH {STATES}, {LASTS}, {REVIEWS} SELECT s.repository, s.id, s.retries + 1 AS retries, {NOW_MS + 60000}::BIGINT AS retry_after, CASE WHEN EXISTS (SELECT 1 FROM rv WHERE rv.symbol_id = s.id) THEN 'reviewed' ELSE 'failed' END AS current_status
+ FROM st s WHERE {own_last(0, 's.repository, s.snapshot_no')} AND s.current_status = 'failed'""")
 def failure_transition(spark: SparkSession, folder: str) -> DataFrame:
     failed = _last_states(spark, folder).where(F.col("current_status") == "failed")
     return reviews.after_failure(failed, _reviews(spark, folder), NOW_MS).select("repository", "id", "retries", "retry_after", "current_status")
@@ -391,17 +434,19 @@ def failure_transition(spark: SparkSession, folder: str) -> DataFrame:
 
 # Evidence and evaluation
 
-COVER = f"""{FILES}, {LINES}, req AS (SELECT item_id, manifest, language, unnest(required) AS r FROM eval_items), rq AS (SELECT item_id, manifest, language, trim(regexp_replace(r.text, '\\s+', ' ', 'g')) AS quote FROM req),
- have AS (SELECT DISTINCT trim(regexp_replace(text, '\\s+', ' ', 'g')) AS quote FROM lines), cov AS (SELECT rq.item_id, rq.manifest, rq.language, count(*) AS required, count(have.quote) AS covered, count(*) FILTER (have.quote IS NULL) AS missing FROM rq LEFT JOIN have ON have.quote = rq.quote AND have.quote <> '' GROUP BY ALL)"""
+COVER = f"""{FILES}, {LINES}, req AS (SELECT item_id, manifest, language, unnest(required) AS r FROM eval_items), rq AS (SELECT item_id, manifest, language, r.file AS file, r.line AS line, trim(regexp_replace(r.text, '\\s+', ' ', 'g')) AS quote FROM req),
+ have AS (SELECT file, line, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS quote FROM lines), told AS (SELECT rq.*, EXISTS (SELECT 1 FROM have h WHERE h.quote = rq.quote AND (rq.file IS NULL OR h.file = rq.file) AND (rq.line IS NULL OR h.line = rq.line) AND (h.quote <> '' OR rq.file IS NOT NULL OR rq.line IS NOT NULL)) AS here,
+  EXISTS (SELECT 1 FROM have h WHERE h.quote = rq.quote AND h.quote <> '') AS there FROM rq),
+ cov AS (SELECT item_id, manifest, language, count(*) AS required, count(*) FILTER (here) AS covered, count(*) FILTER (NOT here AND there) AS elsewhere, count(*) FILTER (NOT here AND NOT there) AS missing FROM told GROUP BY ALL)"""
 
 
 @query(f"WITH {COVER} SELECT * FROM cov")
 def evidence_coverage(spark: SparkSession, folder: str) -> DataFrame:
-    """Required lines of each evaluation item that occur in the sources, and those that don't."""
+    """Required lines of each evaluation item that stand at their place, elsewhere in the sources, and nowhere."""
     return evidence.line_coverage(table(spark, folder, "eval_items"), structure.numbered_lines(_files(spark, folder)))
 
 
-@query(f"WITH {COVER} SELECT manifest, language, count(*) AS alternatives, count(*) FILTER (required = covered) AS complete, bool_or(required = covered)::INT AS covered FROM cov GROUP BY ALL")
+@query(f"WITH {COVER} SELECT manifest, language, count(*) AS alternatives, count(*) FILTER (required = covered) AS complete, bool_or(required = covered)::INT AS covered, bool_or(missing = 0)::INT AS quoted FROM cov GROUP BY ALL")
 def relationship_coverage(spark: SparkSession, folder: str) -> DataFrame:
     coverage = evidence.line_coverage(table(spark, folder, "eval_items"), structure.numbered_lines(_files(spark, folder)))
     return evidence.alternatives_covered(coverage)
@@ -515,7 +560,7 @@ def evidence_bundles(spark: SparkSession, folder: str) -> DataFrame:
     return evidence.bundles(windows, ["repository"])
 
 
-@query("WITH c AS (" + P2_SQL + f"), {STATES}, {REVIEWS}, m AS (SELECT DISTINCT repository, id FROM c WHERE to_snapshot = {LAST}), pl AS (SELECT DISTINCT repository, id, file FROM st WHERE snapshot_no = {LAST})," + """
+@query("WITH c AS (" + P2_SQL + f"), {STATES}, {LASTS}, {REVIEWS}, m AS (SELECT DISTINCT repository, id FROM c WHERE {own_last(0, 'repository, to_snapshot')}), pl AS (SELECT DISTINCT repository, id, file FROM st WHERE {own_last()})," + """
  tf AS (SELECT DISTINCT pl.repository, pl.file FROM pl JOIN m USING (repository, id)), bs AS (SELECT DISTINCT pl.id FROM pl JOIN tf USING (repository, file))
  SELECT rv.id AS review_id, CASE WHEN rv.symbol_id IN (SELECT id FROM m) THEN 'stale' WHEN rv.symbol_id IN (SELECT id FROM bs) THEN 'file stale' ELSE 'fresh' END AS freshness FROM rv""")
 def claim_freshness(spark: SparkSession, folder: str) -> DataFrame:
@@ -560,18 +605,117 @@ def model_metrics(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {FILES}, {LINES}, {RECORDS}, lx AS (SELECT 'symbol' AS kind, repository || '/' || id AS key, sum(s) AS score FROM (SELECT repository, id, {' + '.join(any_hits(c, TERMS, w) for c, w in (("name", 8), ("signature", 3), ("file", 2)))} AS s FROM records) WHERE s > 0 GROUP BY ALL),
- dm AS (SELECT 'document' AS kind, doc_id::VARCHAR AS key, ({any_hits('text', TERMS)}) AS score, doc_id FROM documents WHERE source = 'repo_docs'), cm AS (SELECT 'commit' AS kind, doc_id::VARCHAR AS key, score FROM ({SQL['history_token_search']})),
- r AS (SELECT kind, key, 'lexical' AS source, 1 AS w, row_number() OVER (ORDER BY score DESC, key) AS rank FROM lx UNION ALL SELECT kind, key, 'documentation', 3, rank FROM (SELECT kind, key, row_number() OVER (ORDER BY score DESC, key) AS rank FROM dm WHERE score >= 2) WHERE rank <= 3
+_HISTORY = {t: " + ".join(f"(CASE WHEN list_contains(a, '{x}') THEN 6 ELSE 0 END) + (CASE WHEN list_contains(b, '{x}') THEN 1 ELSE 0 END)" for x in t) for t in (tuple(_SUBJECT_TERMS), tuple(TERMS))}
+
+
+@query(f"""WITH {EDGES}, {LEXICAL}, {STRUCTURAL}, lx AS (SELECT 'symbol' AS kind, repository || '/' || id AS key, max(score) AS score FROM lexical GROUP BY ALL), sx AS (SELECT 'symbol' AS kind, repository || '/' || id AS key, max(score) AS score FROM structural GROUP BY ALL),
+ dm AS (SELECT 'document' AS kind, doc_id::VARCHAR AS key, ({any_hits('text', TERMS)}) AS score, doc_id FROM documents WHERE source = 'repo_docs'), cm AS (SELECT 'commit' AS kind, doc_id::VARCHAR AS key, score FROM ({SQL['history_token_search'].replace(_HISTORY[tuple(_SUBJECT_TERMS)], _HISTORY[tuple(TERMS)])})),
+ r AS (SELECT kind, key, 'lexical' AS source, 1 AS w, row_number() OVER (ORDER BY score DESC, key) AS rank FROM lx UNION ALL SELECT kind, key, 'structural', 1, row_number() OVER (ORDER BY score DESC, key) FROM sx
+  UNION ALL SELECT kind, key, 'documentation', 3, rank FROM (SELECT kind, key, row_number() OVER (ORDER BY score DESC, key) AS rank FROM dm WHERE score >= 2) WHERE rank <= 3
   UNION ALL SELECT kind, key, 'history', 3, row_number() OVER (ORDER BY score DESC, key) FROM cm)
  SELECT kind, key, round(sum(w::DOUBLE / (60 + rank)), 12) AS score FROM r GROUP BY kind, key ORDER BY score DESC, kind, key LIMIT 100""")
 def hybrid_retrieval(spark: SparkSession, folder: str) -> DataFrame:
-    """The question's signals fused over declarations, documents and commits; the top 100 is the operator's bound."""
-    docs = table(spark, folder, "documents")
-    lexical = lexical_symbols(spark, folder).select(F.lit("symbol").alias("kind"), F.concat_ws("/", "repository", "id").alias("key"), "score").groupBy("kind", "key").agg(F.sum("score").alias("score"))
+    """The signals that the question's terms open, fused over declarations, documents and commits; the top 100 is the
+    operator's bound. Without an embedding of the question the semantic list has no part (see ``Explorer``)."""
+    docs, files, records = table(spark, folder, "documents"), _files(spark, folder), _records(spark, folder)
+
+    def symbols(scores: DataFrame) -> DataFrame:
+        key = F.concat_ws("/", "repository", "id").alias("key")
+        return scores.select(F.lit("symbol").alias("kind"), key, "score").groupBy("kind", "key").agg(F.max("score").alias("score"))
+
     documentation = ranking.document_matches(docs.where("source = 'repo_docs'"), TERMS).select(F.lit("document").alias("kind"), F.col("doc_id").cast("string").alias("key"), "score")
-    commits = history.token_search(history.commits(docs), _SUBJECT_TERMS).select(F.lit("commit").alias("kind"), F.col("doc_id").cast("string").alias("key"), "score")
+    commits = history.token_search(history.commits(docs), TERMS).select(F.lit("commit").alias("kind"), F.col("doc_id").cast("string").alias("key"), "score")
     order = [F.desc("score"), F.asc("key")]
-    lists = {"lexical": lexical, "documentation": documentation.orderBy(*order).limit(ranking.TOP_DOCUMENTS), "history": commits}
+    lists = {
+        "lexical": symbols(ranking.lexical_scores(records, files, TERMS)), "structural": symbols(structure.structural_scores(files, records, TERMS)),
+        "documentation": documentation.orderBy(*order).limit(ranking.TOP_DOCUMENTS), "history": commits,
+    }
     ranked = {n: ranking.with_row_number(df, order) for n, df in lists.items()}
     return ranking.fused(ranked, ["kind", "key"]).orderBy(F.desc("score"), "kind", "key").limit(ranking.MOST_RESULTS).select("kind", "key", "score")
+
+
+# Smaller operators
+
+_ENTRY_TERMS = ["snapshot", "cursor", "review", "strict", "path"]
+
+
+@query(f"""WITH j AS (SELECT doc_id, path, text::JSON AS t FROM documents WHERE regexp_matches(text, '^\\s*\\{{') AND json_valid(text)), e AS (SELECT doc_id, path, k AS name, json_extract_string(t, '$."' || k || '"') AS value, json_type(t, '$."' || k || '"') AS kind FROM (SELECT *, unnest(json_keys(t)) AS k FROM j))
+ SELECT * FROM (SELECT doc_id, '/' || name AS pointer, value, 2 * ({any_hits("(coalesce(path || ' ', '') || name || ' ' || value)", _ENTRY_TERMS)}) AS score FROM e WHERE kind NOT IN ('OBJECT', 'ARRAY', 'NULL')) WHERE score >= 2""")
+def script_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Entries of JSON documents by a question's terms (here of the whole object; no document has a ``scripts`` member)."""
+    return ranking.script_scores(table(spark, folder, "documents"), _ENTRY_TERMS, member=None)
+
+
+@query(f"WITH {REVIEWS} SELECT id, symbol_id, severity, created_at FROM rv WHERE verdict = 'finding' ORDER BY created_at DESC, id LIMIT 100")
+def newest_findings(spark: SparkSession, folder: str) -> DataFrame:
+    return reviews.newest_findings(_reviews(spark, folder).where("verdict = 'finding'")).select("id", "symbol_id", "severity", "created_at")
+
+
+@query(f"""WITH {STATES}, {LASTS}, {REVIEWS}, k AS (SELECT symbol_id, created_at, reviewed_hash FROM (SELECT *, row_number() OVER (PARTITION BY symbol_id ORDER BY created_at DESC, id DESC) AS n FROM rv) WHERE n = 1)
+ SELECT st.repository, st.id, CASE WHEN k.symbol_id IS NULL THEN current_status ELSE 'reviewed' END AS current_status, CASE WHEN k.symbol_id IS NULL THEN last_reviewed_at ELSE k.created_at END AS last_reviewed_at,
+  CASE WHEN k.symbol_id IS NULL THEN last_reviewed_hash ELSE k.reviewed_hash END AS last_reviewed_hash, CASE WHEN k.symbol_id IS NULL THEN retries ELSE 0 END AS retries, CASE WHEN k.symbol_id IS NULL THEN retry_after ELSE 0 END AS retry_after
+ FROM st LEFT JOIN k ON k.symbol_id = st.id WHERE {own_last(0, 'st.repository, st.snapshot_no')}""")
+def states_after_review(spark: SparkSession, folder: str) -> DataFrame:
+    return reviews.after_review(_last_states(spark, folder), _reviews(spark, folder))
+
+
+@query(f"""WITH {LOG}, n AS (SELECT repository, doc_id, trim(p[1], ' ') AS subject, row_number() OVER (PARTITION BY repository ORDER BY created_at DESC, doc_id DESC)::INT AS rank FROM logs)
+ SELECT n.repository, n.rank, n.doc_id, n.subject, (SELECT count(*) FROM cf WHERE cf.doc_id = n.doc_id)::INT AS files FROM n WHERE rank <= 20""")
+def recent_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest 20 commits of each repository, which is the report's bound."""
+    return history.recent_changes(history.commits(table(spark, folder, "documents")))
+
+
+@query(f"""WITH {LOG}, {RECORDS}, c AS (SELECT DISTINCT repository, doc_id, created_at, path FROM cf), r AS (SELECT DISTINCT repository, id, file FROM records)
+ SELECT r.repository, r.id, c.doc_id, row_number() OVER (PARTITION BY r.repository, r.id ORDER BY c.created_at DESC, c.doc_id DESC)::INT AS rank FROM r JOIN c ON c.repository = r.repository AND c.path = r.file""")
+def symbol_history(spark: SparkSession, folder: str) -> DataFrame:
+    """Commits that changed the file of each declaration."""
+    return history.symbol_history(history.commits(table(spark, folder, "documents")), _records(spark, folder))
+
+
+@query(f"""WITH {FILES}, {LINES}, {RECORDS}, g AS (SELECT * FROM (SELECT repository, commit_hash, file, line, regexp_extract(text, '{_GUARD}', 1) AS guard FROM lines) WHERE guard <> ''),
+ o AS (SELECT g.*, r.id, row_number() OVER (PARTITION BY g.repository, g.commit_hash, g.file, g.line ORDER BY r.sb DESC, r.eb, r.id) AS rn FROM g JOIN records r ON r.repository = g.repository AND r.commit_hash = g.commit_hash AND r.file = g.file AND g.line BETWEEN r.sl AND r.el),
+ f AS (SELECT repository, commit_hash, id, guard, min(line) AS line FROM o WHERE rn = 1 GROUP BY ALL) SELECT repository, commit_hash, id, string_agg(guard, ' && ' ORDER BY line, guard) AS guards FROM f GROUP BY ALL""")
+def guard_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """The distinct guards of each declaration in the order of their first lines."""
+    return structure.guard_lists(_files(spark, folder), _records(spark, folder)).withColumn("guards", F.array_join("guards", " && "))
+
+
+@query(f"WITH {FILES} SELECT repository, count(*) AS files, count(*) FILTER (NOT regexp_matches(file, {quoted(structure.NO_PRODUCTION)})) AS production FROM files GROUP BY ALL")
+def production_files(spark: SparkSession, folder: str) -> DataFrame:
+    files = _files(spark, folder)
+    kept = structure.production_files(files).groupBy("repository").agg(F.count("*").alias("production"))
+    return files.groupBy("repository").agg(F.count("*").alias("files")).join(kept, "repository", "left").select("repository", "files", F.coalesce("production", F.lit(0)).alias("production"))
+
+
+@query("SELECT lower(regexp_extract(path, '(\\.[A-Za-z0-9]+)$', 1)) AS extension, count(*) AS files FROM documents WHERE path IS NOT NULL AND NOT regexp_matches(path, '\\.(ts|tsx|mts|cts|js|jsx|mjs|cjs|py|php|go|rs)$') GROUP BY ALL")
+def missing_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """Extensions of the documents' paths that no language of the index claims."""
+    return structure.missing_languages(table(spark, folder, "documents").where("path is not null").select(F.col("path").alias("file")))
+
+
+@query("SELECT model, max(version) AS version, max(indexed_at) AS newest, count(DISTINCT commit_hash) AS commits FROM semantic_entries GROUP BY ALL")
+def index_versions(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest version and run of the vector index of each model."""
+    return table(spark, folder, "semantic_entries").groupBy("model").agg(F.max("version").alias("version"), F.max("indexed_at").alias("newest"), F.count_distinct("commit_hash").alias("commits"))
+
+
+@query(f"WITH {RECORDS} SELECT repository, commit_hash, id, trim(regexp_replace(signature, '\\s+', ' ', 'g')) AS signature, replace(name, '.', '\\.') AS escaped, 'file:' || file || ':' || sl || '-' || el AS citation FROM records")
+def signatures(spark: SparkSession, folder: str) -> DataFrame:
+    """Signatures on one line, names escaped for qualified names, and citations of the declarations."""
+    from orefield.functions.text import one_space
+
+    citation = F.concat(F.lit("file:"), "file", F.lit(":"), F.col("sl").cast("string"), F.lit("-"), F.col("el").cast("string"))
+    return _records(spark, folder).select("repository", "commit_hash", "id", one_space(F.col("signature")).alias("signature"), F.replace("name", F.lit("."), F.lit("\\.")).alias("escaped"), citation.alias("citation"))
+
+
+@query(f"""WITH {EDGES}, c AS (SELECT e.repository, e.commit_hash, e.owner_id AS target, e.file, e.line, t.file AS of, t.sl AS ol, o.file AS tf, o.sl AS tl FROM edges e JOIN records o ON o.repository = e.repository AND o.commit_hash = e.commit_hash AND o.id = e.owner_id JOIN records t ON t.repository = e.repository AND t.commit_hash = e.commit_hash AND t.id = e.target_id)
+ SELECT DISTINCT repository, commit_hash, target, file, line FROM c WHERE of <> tf OR ol <> tl""")
+def foreign_owners(spark: SparkSession, folder: str) -> DataFrame:
+    """Uses inside a declaration of what another declaration owns."""
+    key = ["repository", "commit_hash"]
+    records = _records(spark, folder)
+    owner = records.select(*key, F.col("id").alias("owner_id"), F.col("file").alias("target_file"), F.col("sl").alias("target_line"))
+    meant = records.select(*key, F.col("id").alias("target_id"), F.col("file").alias("owner_file"), F.col("sl").alias("owner_line"))
+    cited = _edges(spark, folder).join(owner, [*key, "owner_id"]).join(meant, [*key, "target_id"]).withColumnRenamed("owner_id", "target")
+    return evidence.foreign_owners(cited, [*key, "target"])

@@ -41,7 +41,7 @@ def test_lookups(explorer):
 
 
 def test_hybrid_retrieval_opens_its_gates(explorer):
-    got = {(r.kind, r.key): [s.source for s in r.sources] for r in explorer.hybrid_retrieve("documentation of readToken length helper", 20).collect()}
+    got = {(r.kind, r.key): [s.source for s in r.sources] for r in explorer.hybrid_retrieve("documentation of readToken length guard helper", 20).collect()}
     assert got["symbol", "r/i2"] == ["conditional", "lexical", "structural"] and got["document", "1"] == ["documentation"] and ("commit", "2") not in got
     got = {(r.kind, r.key): [s.source for s in r.sources] for r in explorer.hybrid_retrieve("history change of readToken", 20, vector=[0.0, 1.0]).collect()}
     assert got["commit", "2"] == ["history"] and "semantic" in got["symbol", "r/i2"]

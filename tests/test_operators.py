@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orefield.functions.text import joined_path, question_terms, terms_of
 from orefield.operators import evaluation, evidence, graph, history, ranking, reviews, structure
-from orefield.operators.extraction import declared_names, python_facts, python_index
+from orefield.operators.extraction import declared_names, python_index
 from orefield.operators.latest import current_files, latest_by
 from orefield.sources.search import glob_files, glob_pattern, grep_lines, json_entries
 
@@ -19,6 +19,7 @@ def test_terms_split_camel_case_and_are_distinct(spark):
 
 
 def test_gates():
+    assert ranking.signals(["guard"]) == ["lexical", "structural", "conditional"]
     assert ranking.signals(["history", "script"]) == ["lexical", "structural", "configuration"]
     assert ranking.signals(["history"], hybrid=True) == ["lexical", "structural", "semantic", "history"]
     assert "configuration" in ranking.signals(["test", "command"]) and "configuration" not in ranking.signals(["test"])
@@ -86,11 +87,43 @@ def records(spark):
 
 def test_references_follow_the_ladder(spark):
     got = rows(structure.reference_edges(files(spark), records(spark)).select("file", "line", "name", "owner_id", "target_id", "resolution"))
-    assert got == [("src/a.ts", 1, "b", None, "i3", "heuristic"), ("src/a.ts", 3, "one", "i1", "i1", "static"), ("src/a.ts", 3, "two", "i1", "i2", "static"), ("src/a.ts", 6, "b", "i2", "i3", "heuristic")]
+    assert got == [("src/a.ts", 1, "b", None, "i3", "static"), ("src/a.ts", 3, "one", "i1", "i1", "static"), ("src/a.ts", 3, "two", "i1", "i2", "static"), ("src/a.ts", 6, "b", "i2", "i3", "static")]
+
+
+def test_imported_names_never_fall_back(spark):
+    code = 'import whole, { shared as mine, gone, type T } from "./lib.js";\nimport { far } from "outside";\nmine(); gone(); far(); free(); twice(); whole();\n'
+    texts = [("r", "c", "src/m.ts", "typescript", code), ("r", "c", "src/lib.ts", "typescript", "shared\n"), ("r", "c", "p/q.py", "python", "from .w import deep as d\nd()\n"), ("r", "c", "p/w.py", "python", "x\n")]
+    names = [("lib-shared", "src/lib.ts", "shared"), ("own-mine", "src/x.ts", "mine"), ("own-gone", "src/x.ts", "gone"), ("own-far", "src/x.ts", "far"), ("free", "src/x.ts", "free"), ("t1", "src/x.ts", "twice"), ("t2", "src/y.ts", "twice"), ("deep", "p/w.py", "deep"), ("whole", "src/x.ts", "whole")]
+    known = spark.createDataFrame([("r", "c", i, f, n, 90, 95, 0, 9) for i, f, n in names], "repository string, commit_hash string, id string, file string, name string, sl int, el int, sb long, eb long")
+    df = spark.createDataFrame(texts, "repository string, commit_hash string, file string, language string, content string")
+    bound = {(r.name, r.imported, r.target_file) for r in structure.import_bindings(df).collect()}
+    assert bound == {("mine", "shared", "src/lib.ts"), ("gone", "gone", "src/lib.ts"), ("T", "T", "src/lib.ts"), ("whole", "default", "src/lib.ts"), ("far", "far", None), ("d", "deep", "p/w.py")}
+    got = {(r.name, r.target_id, r.resolution) for r in structure.reference_edges(df, known).where("line > 1").collect()}
+    assert got >= {("mine", "lib-shared", "static"), ("gone", None, "unresolved"), ("far", None, "unresolved"), ("free", "free", "heuristic"), ("twice", None, "unresolved"), ("whole", None, "unresolved"), ("d", "deep", "static")}
 
 
 def test_modules_resolve_to_the_first_candidate(spark):
-    assert rows(structure.module_edges(files(spark)).select("specifier", "target_file", "resolution")) == [("./b.js", "src/b.ts", "static")]
+    assert rows(structure.module_edges(files(spark)).select("specifier", "target_file", "resolution")) == [("./b.js", "src/b.ts", "static"), ("os.path", None, "unresolved")]
+    texts = {
+        "a/x.ts": 'import y from "./y";\nconst z = require("../b/z");\nimport "./d";\nexport { q } from "./n.mjs";', "a/y.ts": "", "a/y.js": "", "b/z/index.js": "", "a/d.cjs": "", "a/n.py": "",
+        "p/m.py": "from . import k\nfrom .s.t import u\nfrom ..top import v\nimport p.s\nimport nowhere", "p/__init__.py": "", "p/s/t.py": "", "p/s/__init__.py": "", "top.py": "",
+        "w/i.php": "<?php\nrequire_once __DIR__ . '/lib/c.php';\ninclude('./d.php');\ninclude 'e.php';", "w/lib/c.php": "", "w/d.php": "",
+    }
+    language = {"ts": "typescript", "js": "javascript", "cjs": "javascript", "py": "python", "php": "php"}
+    df = spark.createDataFrame([("r", "c", f, language[f.rsplit(".")[-1]], t) for f, t in texts.items()], "repository string, commit_hash string, file string, language string, content string")
+    got = {(r.file, r.specifier): r.target_file for r in structure.module_edges(df).collect()}
+    assert got == {
+        ("a/x.ts", "./y"): "a/y.ts", ("a/x.ts", "../b/z"): "b/z/index.js", ("a/x.ts", "./d"): "a/d.cjs", ("a/x.ts", "./n.mjs"): "a/n.py", ("p/m.py", "."): "p/__init__.py", ("p/m.py", ".s.t"): "p/s/t.py", ("p/m.py", "..top"): "top.py",
+        ("p/m.py", "p.s"): "p/s/__init__.py", ("p/m.py", "nowhere"): None, ("w/i.php", "/lib/c.php"): "w/lib/c.php", ("w/i.php", "./d.php"): "w/d.php", ("w/i.php", "e.php"): None,
+    }
+
+
+def test_structural_scores_count_uses_imports_and_tests(spark):
+    texts = [("r", "c", "a.ts", "typescript", 'import { tokenOf } from "./token.js";\nfunction one() {\n  tokenOf(tokenOf);\n}\ntest("reads a token", () => {\n});'), ("r", "c", "token.ts", "typescript", "export function tokenOf() {\n}")]
+    df = spark.createDataFrame(texts, "repository string, commit_hash string, file string, language string, content string")
+    known = spark.createDataFrame([("r", "c", "one", "a.ts", "one", 2, 4, 40, 80), ("r", "c", "around", "a.ts", "around", 1, 6, 0, 120), ("r", "c", "tok", "token.ts", "tokenOf", 1, 2, 0, 40)], "repository string, commit_hash string, id string, file string, name string, sl int, el int, sb long, eb long")
+    # the import line: target 3, owner 2; line 3: a call (6, 4) and a reference (3, 2); the module: 1 each; the test: 1
+    assert rows(structure.structural_scores(df, known, ["token"]).select("id", "score")) == [("around", 2 + 1 + 1), ("one", 4 + 2 + 1), ("tok", 3 + 6 + 3 + 1)]
 
 
 def test_smallest_and_latest_owner(spark):
@@ -100,11 +133,43 @@ def test_smallest_and_latest_owner(spark):
         assert rows(structure.owned(uses, nested, smallest).select("line", "owner_id")) == [(12, None), (4, "inner"), (8, "outer")]
 
 
-def test_python_facts_and_broken_text(spark):
-    facts = python_facts(FILES[2][4])
-    assert [(f[0], f[1]) for f in facts] == [("import", "os.path"), ("class", "A"), ("extends", "B"), ("constructor", "__init__"), ("call", "run"), ("method", "run"), ("function", "f"), ("call", "A")]
-    assert python_facts(FILES[3][4]) == [] == python_facts(None)
-    assert {r.file for r in python_index(files(spark)).collect()} == {"src/é.py"}
+def test_python_lines(spark):
+    got = rows(python_index(files(spark)).where("file != 'src/bad.py'").select("line", "kind", "name"))
+    assert got == [(1, "import", "os.path"), (2, "class", "A"), (2, "extends", "B"), (3, "constructor", "__init__"), (5, "method", "run"), (8, "function", "f")]
+
+
+def test_guards_production_and_missing_languages(spark):
+    text = "if (b) {\n}\nif (a) {\n}\nif (b) {\n}"
+    df = spark.createDataFrame([("r", "c", f, None, text) for f in ("x.ts", "tests/x.ts", "a.test.js", "b.rb", "c.RB")], "repository string, commit_hash string, file string, language string, content string")
+    known = spark.createDataFrame([("r", "c", "i", "x.ts", "x", 1, 6, 0, 90)], "repository string, commit_hash string, id string, file string, name string, sl int, el int, sb long, eb long")
+    assert rows(structure.guard_lists(df, known).select("id", "guards")) == [("i", ["b", "a"])]
+    assert [r.file for r in structure.production_files(df).orderBy("file").collect()] == ["b.rb", "c.RB", "x.ts"]
+    assert rows(structure.missing_languages(df)) == [(".rb", 2)]
+
+
+def test_lexical_scores_and_scripts(spark):
+    known = spark.createDataFrame([("r", "c", "i", "lib/token.ts", "readX", "A.readX", "function readX(token)", 2, 3, 0, 9), ("r", "c", "j", "q.ts", "n", "n", "n", None, None, 0, 9)], "repository string, commit_hash string, id string, file string, name string, qualified_name string, signature string, sl int, el int, sb long, eb long")
+    df = spark.createDataFrame([("r", "c", "lib/token.ts", "typescript", "token\nx\ncursor")], "repository string, commit_hash string, file string, language string, content string")
+    assert rows(ranking.lexical_scores(known, df, ["read", "token", "cursor"]).select("id", "score")) == [("i", 8 + 2 * 3 + 2 + 1)]
+    docs = spark.createDataFrame([(1, '{"scripts": {"test": "run tests", "x": ["test"], "b": "build"}}', "package.json"), (2, "no", None), (3, None, None), (4, '{"scripts": 3}', "p")], "doc_id int, text string, path string")
+    assert rows(ranking.script_scores(docs, ["test", "package", "run"])) == [(1, "/scripts/b", "build", 2), (1, "/scripts/test", "run tests", 6)]
+
+
+def test_coverage_by_place(spark):
+    need = [("a.ts", 2, "x  = 1"), ("a.ts", 9, "x = 1"), (None, None, "y"), ("b.ts", None, "y"), ("a.ts", 1, ""), (None, None, "gone"), (None, 2, "x = 1")]
+    items = spark.createDataFrame([(1, "m", "ts", need)], "item_id long, manifest string, language string, required array<struct<file: string, line: int, text: string>>")
+    lines = spark.createDataFrame([("a.ts", 1, " "), ("a.ts", 2, " x = 1 "), ("a.ts", 3, "y")], "file string, line int, text string")
+    got = evidence.line_coverage(items, lines)
+    assert rows(got) == [(1, "m", "ts", 7, 4, 2, 1)]
+    assert rows(evidence.alternatives_covered(got)) == [("m", "ts", 1, 0, 0, 0)]
+
+
+def test_fidelity_and_foreign_owners(spark):
+    want = spark.createDataFrame([("q", 0, "a", 1, "x"), ("q", 1, "b", 2, None), ("p", 0, "a", 1, "x")], "k string, position int, file string, line int, text string")
+    got = spark.createDataFrame([("q", 0, "a", 1, "x"), ("q", 1, "b", 2, "y"), ("q", 2, "c", 3, "z"), ("p", 0, "a", 1, "x")], "k string, position int, file string, line int, text string")
+    assert rows(evidence.record_fidelity(want, got, ["k"], ["file", "line", "text"])) == [("p", 1, 1, True, 0), ("q", 2, 1, False, 1)]
+    cited = spark.createDataFrame([("t", "a", 5, "a", 1, "a", 1), ("t", "b", 6, "b", 2, "a", 1), ("t", "b", 6, "b", 2, "a", 1), ("t", "c", 7, None, None, "a", 1), ("u", "c", 7, "c", 1, None, None)], "g string, file string, line int, owner_file string, owner_line int, target_file string, target_line int")
+    assert rows(evidence.foreign_owners(cited, ["g"])) == [("t", "b", 6)]
 
 
 def test_declared_names(spark):
@@ -115,6 +180,8 @@ def test_outline_numbers_repeated_names(spark):
     data = [("r", "c", "a", "f", "x", None, 0, 90), ("r", "c", "b", "f", "x", "a", 10, 20), ("r", "c", "d", "f", "y", "a", 30, 40)]
     df = spark.createDataFrame(data, "repository string, commit_hash string, id string, file string, qualified_name string, parent_id string, sb long, eb long")
     assert rows(structure.outline(df).select("id", "depth", "seq", "unique_name")) == [("a", 0, 1, "x"), ("b", 1, 2, "x#2"), ("d", 1, 3, "y")]
+    deep = spark.createDataFrame([("r", "c", "a", "f", "x", None, 0, 90), ("r", "c", "b", "f", "y", "a", 10, 50), ("r", "c", "d", "f", "z", "b", 20, 30), ("r", "c", "e", "g", "z", "a", 0, 5), ("r", "c", "m", "f", "m", "n", 60, 70), ("r", "c", "n", "f", "n", "m", 61, 65)], df.schema)
+    assert rows(structure.outline(deep).select("id", "depth")) == [("a", 0), ("b", 1), ("d", 2), ("e", 0), ("m", 0), ("n", 0)]
 
 
 @pytest.mark.parametrize("glob,path,hit", [("**/*.ts", "a/b.ts", 1), ("**/*.ts", "b.ts", 1), ("*.ts", "a/b.ts", 0), ("src/{a,b}/?.py", "src/b/x.py", 1), ("src/{a,b}/?.py", "src/c/x.py", 0), ("a+b.ts", "aab.ts", 0)])
@@ -150,6 +217,18 @@ def states(spark, data):
     return spark.createDataFrame(data, STATE)
 
 
+def test_states_after_reviews_and_decisions(spark):
+    df = spark.createDataFrame([("r", "1", "stale", None, None, 2, 9), ("r", "2", "failed", None, "h", 1, 5)], "repository string, id string, current_status string, last_reviewed_at timestamp, last_reviewed_hash string, retries int, retry_after long")
+    told = spark.createDataFrame([("a", "1", datetime(2025, 1, 1), "old", "open"), ("b", "1", datetime(2025, 1, 2), "new", "open")], "id string, symbol_id string, created_at timestamp, reviewed_hash string, human_status string")
+    assert rows(reviews.after_review(df, told)) == [("r", "1", "reviewed", datetime(2025, 1, 2), "new", 0, 0), ("r", "2", "failed", None, "h", 1, 5)]
+    assert [r.id for r in reviews.newest_findings(told.withColumn("severity", F.lit("low")), most=1).collect()] == ["b"]
+    choice = spark.createDataFrame([("a", "accepted", 1), ("a", "rejected", 2)], "id string, decision string, at int")
+    assert rows(reviews.decided(told, choice).select("id", "human_status")) == [("a", "rejected"), ("b", "open")]
+    for wrong in (("z", "accepted", 1), ("a", "maybe", 1)):
+        with pytest.raises(ValueError):
+            reviews.decided(told, spark.createDataFrame([wrong], "id string, decision string, at int"))
+
+
 def test_queue_order_and_eligibility(spark):
     df = states(spark, [
         ("r", "1", "f", "a", "h", "stale", 0, 0, 1), ("r", "2", "f", "b", "h", "pending", 0, 0, None), ("r", "3", "f", "c", "h", "failed", 2, 50, 1),
@@ -186,6 +265,9 @@ def test_history_of_logs(spark):
     docs = spark.createDataFrame([(1, "Fix readToken cursor\n\nwhy\n M src/a.ts\n A src/cursor.ts", "commit_log", "r", at), (2, "Other\n M src/a.ts", "commit_log", "r", datetime(2025, 1, 2)), (3, None, "commit_log", "r", at), (4, "x", "issue", "r", at)], "doc_id int, text string, source string, repository string, created_at timestamp")
     log = history.commits(docs)
     assert rows(history.introductions(log).select("path", "introduced", "latest", "commits")) == [("src/a.ts", 1, 2, 2), ("src/cursor.ts", 1, 1, 1)]
+    assert rows(history.recent_changes(log, 1).select("doc_id", "rank", "files")) == [(2, 1, 1)]
+    names = spark.createDataFrame([("r", "i", "src/a.ts"), ("r", "j", "src/none.ts")], "repository string, id string, file string")
+    assert rows(history.symbol_history(log, names)) == [("r", "i", 1, 2), ("r", "i", 2, 1)]
     assert rows(history.token_search(log, ["cursor", "token"]).select("doc_id", "score")) == [(1, 13)]
 
 
