@@ -30,7 +30,7 @@ SOURCE_ENOUGH = 60
 #: A word of so many uses that ends a sentence, or a title, in less than this share of them leaves a phrase open.
 OPEN_USES, OPEN_SHARE = 100, 0.01
 #: Baselines up to this many rows are broadcast, larger ones are joined by a shuffle.
-BROADCAST_ROWS = 300_000
+BROADCAST_ROWS = 100_000
 
 # English words of closed classes, which give a sentence its shape.
 DETERMINERS = frozenset("the a an its every each this these those their his her our no some any".split())
