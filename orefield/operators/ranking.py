@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from orefield.functions.text import unix_lines
-from orefield.session import stored
+from orefield.session import discard, stored
 
 # Constant of reciprocal-rank fusion, weights of the signals, and words that open a gate.
 RRF_K = 60
@@ -50,11 +50,14 @@ def lexical_scores(records: DataFrame, files: DataFrame, terms: list[str]) -> Da
     """(repository, commit_hash, id, score) of the declarations that hold a term: 8 for each in the names, 3 in
     the signature, 2 in the path, 1 in the body, which is the declaration's lines."""
     place = ["repository", "commit_hash", "file"]
-    body = F.array_join(F.slice(unix_lines(F.col("content")), F.col("sl"), F.greatest(F.col("el") - F.col("sl") + 1, F.lit(0))), "\n")
-    with_body = records.withColumn("names", F.concat_ws(" ", "name", "qualified_name")).join(files.select(*place, "content"), place, "left")
+    body = F.array_join(F.slice("lines", F.col("sl"), F.greatest(F.col("el") - F.col("sl") + 1, F.lit(0))), "\n")
+    lines = files.select(*place, unix_lines(F.col("content")).alias("lines"))  # a file is split once, not for each declaration
+    with_body = records.select(*place, "id", "sl", "el", "signature", F.concat_ws(" ", "name", "qualified_name").alias("names")).join(lines, place, "left")
     weights = {"names": FIELD_WEIGHTS["name"], "signature": FIELD_WEIGHTS["signature"], "file": FIELD_WEIGHTS["path"], "body": FIELD_WEIGHTS["body"]}
-    scored = with_body.withColumn("body", F.when(F.col("sl") > 0, body)).select("repository", "commit_hash", "id", term_score(terms, weights).alias("score"))
-    return scored.where("score > 0")
+    # Every text is put in lower case once, not once for each term.
+    low = with_body.withColumn("body", F.when(F.col("sl") > 0, body)).select("repository", "commit_hash", "id", *[F.lower(c).alias(c) for c in weights])
+    parts = [F.when(F.contains(F.col(c), F.lit(t)), w).otherwise(0) for t in terms for c, w in weights.items()]
+    return low.select("repository", "commit_hash", "id", reduce(Column.__add__, parts, F.lit(0)).alias("score")).where("score > 0")
 
 
 def usable_vector(vector: str, width: int) -> Column:
@@ -74,8 +77,10 @@ def with_row_number(rows: DataFrame, order: list[Column], name: str = "rank", pa
     The rows are sorted by ranges and numbered within a range; the sizes of the ranges before are added.
     So neither the whole table nor a hot partition is ever in one task.
     """
-    # Only the columns that are asked for further on should be given: the sorted rows are stored.
-    placed = stored(rows.orderBy(*partition, *order).withColumn("_part", F.spark_partition_id()))
+    # Only the columns that are asked for further on should be given: the rows are stored, as a sort reads them twice.
+    given = stored(rows)
+    placed = stored(given.orderBy(*partition, *order).withColumn("_part", F.spark_partition_id()))
+    discard(given)
     group = [F.col(c) for c in partition]
     sizes = placed.groupBy(*partition, "_part").agg(F.count("*").alias("_n"))  # a row per range and partition
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

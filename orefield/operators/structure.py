@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from orefield.functions.text import directory_of, joined_path, unix_lines
 from orefield.operators import graph
+from orefield.session import stored
 
 PLACE = ["repository", "commit_hash"]
 # Extensions of source files in the order in which a module's candidates are tried.
@@ -96,7 +97,7 @@ def resolved(uses: DataFrame, records: DataFrame, bindings: DataFrame | None = N
 def reference_edges(files: DataFrame, records: DataFrame) -> DataFrame:
     """(place, file, line, name, is_call, n, owner_id, target_id, resolution) of names that are declared
     anywhere in the same commit or imported in their file. A declaration's own line isn't a use of it."""
-    bindings = import_bindings(files)
+    bindings = stored(import_bindings(files))  # few rows, read three times
     known = records.select(*PLACE, "name").unionByName(bindings.select(*PLACE, "name")).distinct()
     starts = records.select(*PLACE, "file", F.col("sl").alias("line"), "name").distinct()
     uses = identifiers(files, known).join(starts, [*PLACE, "file", "line", "name"], "left_anti")
@@ -188,12 +189,11 @@ def structural_scores(files: DataFrame, records: DataFrame, terms: list[str]) ->
 def symbol_windows(files: DataFrame, records: DataFrame) -> DataFrame:
     """Each declaration's first line and the line before and after it; declarations of which the file has none of
     these lines are left out. One join by file; the lines are taken from the file's array of lines."""
-    lines = unix_lines(F.col("content"))
-
     def line(number):
-        return F.when((number >= 1) & (number <= F.size(lines)), F.get(lines, number - 1))
+        return F.when((number >= 1) & (number <= F.size("lines")), F.get("lines", number - 1))
 
-    found = records.select(*PLACE, "file", "id", "sl", "el").join(files.select(*PLACE, "file", "content"), [*PLACE, "file"])
+    lines = files.select(*PLACE, "file", unix_lines(F.col("content")).alias("lines"))
+    found = records.select(*PLACE, "file", "id", "sl", "el").join(lines, [*PLACE, "file"])
     found = found.select(*PLACE, "id", line(F.col("sl") - 1).alias("before"), line(F.col("sl")).alias("first"), line(F.col("el") + 1).alias("after"))
     return found.where("before is not null or first is not null or after is not null")
 
