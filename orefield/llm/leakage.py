@@ -34,8 +34,9 @@ SHORT_WORDS = 12
 #: Hits are counted in windows of twice this width, each overlapping half of the next: of offsets, and of the item's
 #: blank-separated words.
 UNIT, SPAN = 16, 24
-#: The filters of the corpus pass and of the second read are bitmaps of so many bits (8 MB), however many terms there are.
-FILTER_BITS = 26
+#: The filters of the corpus pass and of the second read are bitmaps of so many bits (8 MB and 524,288 rows), however many
+#: terms and candidates there are.
+FILTER_BITS, KEY_BITS = 26, 24
 #: A table of items' terms or of candidates up to this many rows is broadcast; a longer one is shuffled.
 SMALL = 200_000
 #: A worker forgets the hashes of words beyond this number; they are then computed again.
@@ -189,15 +190,15 @@ def item_terms(told: DataFrame) -> DataFrame:
     return stored(joined.mapInArrow(run, "term bigint, text bigint, i int, own boolean, before int, first int, last int"))
 
 
-def bit_words(values: Column) -> tuple[Column, Column]:
-    """(word, bit) of a value in a bitmap of 2 ** FILTER_BITS bits, in words of 32 bits."""
-    slot = F.shiftrightunsigned(values, 64 - FILTER_BITS)
+def bit_words(values: Column, bits: int) -> tuple[Column, Column]:
+    """(word, bit) of a value in a bitmap of 2 ** bits bits, in words of 32 bits."""
+    slot = F.shiftrightunsigned(values, 64 - bits)
     return F.shiftright(slot, 5).cast("int"), (slot % 32).cast("int")
 
 
-def bitmap(values: DataFrame, column: str) -> DataFrame:
-    """(word, bits) of the set bits: at most 2 ** (FILTER_BITS - 5) rows, whatever the number of values."""
-    word, bit = bit_words(F.col(column))
+def bitmap(values: DataFrame, column: str, bits: int) -> DataFrame:
+    """(word, bits) of the set bits: at most 2 ** (bits - 5) rows, whatever the number of values."""
+    word, bit = bit_words(F.col(column), bits)
     return values.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
 
 
@@ -209,7 +210,7 @@ def inverted_index(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text:
     whatever the number of items; a term that no item holds may pass the filter and finds no partner
     later. ``rebalance`` cuts the lists of hot terms where a partition outgrows the advised size."""
     spark = docs.sparkSession
-    held = bitmap(terms, "term").toArrow()
+    held = bitmap(terms, "term", FILTER_BITS).toArrow()
     bits = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
     bits[held.column("word").to_numpy()] = held.column("bits").to_numpy().astype(np.uint32)
     shared = spark.sparkContext.broadcast(bits)
@@ -319,8 +320,8 @@ def matched(index: DataFrame, terms: DataFrame, found: DataFrame) -> DataFrame:
     lists are joined by document and term. A group holds the hits of one window: at most its length in the
     item times its width in offsets, however often a document repeats a passage.
     """
-    word, bit = bit_words(F.xxhash64("doc"))
-    held = F.broadcast(bitmap(found.select(F.xxhash64("doc").alias("h")), "h"))
+    word, bit = bit_words(F.xxhash64("doc"), KEY_BITS)
+    held = F.broadcast(bitmap(found.select(F.xxhash64("doc").alias("h")), "h", KEY_BITS))
     lists = index.join(held, word == held["word"]).where(F.getbit("bits", bit) == 1).select("term", "doc", "pos")
     wanted = found.join(_checked(terms), "text").where((F.floor(F.col("first") / SPAN) - F.col("part")).isin(0, 1))
     band = F.floor((F.col("pos") - F.col("i")) / UNIT).cast("int")
