@@ -201,7 +201,10 @@ class Features:
             d["usual"] = float(self.usual[bins].mean())
             d["unknown"] = float((share < USUAL).mean())
             d["common"] = float((share >= 0.05).mean())
-            d["strange"] = float(d["common"] < 0.2 and d["unknown"] > 0.4)
+            # One part in another language counts, also beside English ones.
+            parts = [[self.word(w.lower().replace("’", "'"))[1] for w in WORD.findall(p) if not re.search(r"[a-z][A-Z]", w)] for p in prose.split("\n")]
+            shares = [self.share[np.array(p)] for p in parts if len(p) >= 6] or [share]
+            d["strange"] = float(any((x >= 0.05).mean() < 0.2 and (x < USUAL).mean() > 0.4 for x in shares))
         h = np.array([t[0] for t in told], np.int64)
         pairs = h[:-1] * 31 + h[1:] + 7
         grams = np.concatenate([h, pairs, pairs[:-1] * 31 + h[2:] + 13, *(t[2] for t in told)])
@@ -282,11 +285,13 @@ def synthetic(identity: str, prompt: str | None, raw: str | None, other: str | N
     def pick(phrases):
         return rng.choice([p for i, p in enumerate(phrases) if (i % 3 == 0) == aside])
 
-    def dressed(text: str) -> str:
+    def dressed(text: str, beside: bool = False) -> str:
         layout = rng.random()
         if layout < 0.4:
             return text
         found = {"verdict": "skip", "severity": "none", "confidence": "low", "title": text[: rng.choice((30, 60, 200))].split(".")[0], "summary": text, "issues": [], "suggested_code": None, "assumptions": []}
+        if beside and rng.random() < 0.4:
+            found |= {"title": phrase(rng, pick(CLAIMS)), "issues": [{"category": "bug", "description": claims(1)}]}
         return ("```json\n%s\n```" if layout > 0.7 else "%s") % json.dumps(found, ensure_ascii=False)
 
     def claims(n: int) -> str:
@@ -307,7 +312,7 @@ def synthetic(identity: str, prompt: str | None, raw: str | None, other: str | N
     made.append((dressed(refusal(rng, pick)), ("refusal",), False))
     own = " ".join(strings(parsed(raw)[1])) if kind == "json" else body if kind == "text" else ""
     told = CODE_SPAN.sub(" ", own) if len(own.split()) > 5 and rng.random() < 0.5 else claims(rng.choice((1, 2, 3)))
-    made.append((dressed(ciphered(rng, " ".join(told.split()[: rng.choice((6, 12, 40))]))), ("language",), False))
+    made.append((dressed(ciphered(rng, " ".join(told.split()[: rng.choice((6, 12, 40))])), True), ("language",), False))
     if rng.random() < 0.5:
         tongue = rng.randrange(0, len(FOREIGN) - 3)
         made.append((dressed(" ".join(pick(FOREIGN[tongue : tongue + 4]) for _ in range(rng.choice((1, 2, 3))))), ("language",), False))
@@ -447,16 +452,18 @@ class Model:
 
 def word_shares(pairs: DataFrame) -> np.ndarray:
     """Share of all answers that hold a word of each bin. The phrases of the synthetic examples count as answers
-    too, so the words of a small table's language are known. The result has BINS numbers, whatever the table."""
+    too, and are a sample of their own, so English is known in a small table and where refusals are rare. The
+    result has BINS numbers, whatever the table."""
     words = F.array_distinct(F.transform(F.regexp_extract_all(F.lower(F.replace("raw_response", F.lit("’"), F.lit("'"))), F.lit(r"([\p{L}][\p{L}\p{N}_']*)"), F.lit(1)), lambda w: F.pmod(F.xxhash64(w), F.lit(BINS)).cast("int")))
     found = pairs.select(F.explode(words).alias("bin")).groupBy("bin").agg(F.count("*").alias("n")).toArrow()
     counts = np.zeros(BINS)
     counts[found.column("bin").to_numpy()] = found.column("n").to_numpy()
     rng = random.Random(5)
-    texts = [phrase(rng, c) for c in (*CLAIMS, *IMPERSONAL) for _ in range(3)] + [f"{a} {b} {c} {d} {e}" for a, b, c, d, e in zip(WHO * 4, UNABLE, DO, WHAT * 2, BEFORE * 2)]
+    texts = [phrase(rng, c) for c in (*CLAIMS, *IMPERSONAL) for _ in range(3)] + [refusal(rng, rng.choice) for _ in range(300)]
+    made = np.zeros(BINS)
     for text in texts:
-        counts[list({word_bin(w) for w in WORD.findall(text.lower())})] += 1
-    return (counts / (pairs.count() + len(texts))).astype(np.float32)
+        made[list({word_bin(w) for w in WORD.findall(text.lower())})] += 1
+    return np.maximum((counts + made) / (pairs.count() + len(texts)), made / len(texts)).astype(np.float32)
 
 
 def cut_prose(pairs: DataFrame, baselines: DataFrame) -> DataFrame:
