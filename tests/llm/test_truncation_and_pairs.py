@@ -49,6 +49,22 @@ def test_cut_values_are_found_and_complete_ones_are_not(spark):
     assert rates["m", "summary"] == len(cut) and rates["m", None] == len(want)
 
 
+def test_signs_of_omission_make_no_fragment_a_word_however_many_there_are(spark):
+    rng = random.Random(8)
+    data = [review(f"ok{n}", " ".join(sentence(rng) for _ in range(3))) for n in range(200)]
+    signs = ("…", "...", " [cut]", " (truncated)...")
+    data += [review(f"sign{n}", f"{sentence(rng)} The {a} merges the led{signs[n % 4]}", title=f"The {a} hides the win{signs[n % 4]}") for n, a in enumerate(NOUNS)]
+    data += [review("cut", "The cursor is kept for 900 days and then sealed. The led", title="The batch maps the win")]
+    got = {(r.review_id, r.field): r.reason for r in cut_values(frame(spark, data)).collect()}
+    assert {(f"sign{n}", f) for n in range(len(NOUNS)) for f in ("summary", "title")} | {("cut", "summary"), ("cut", "title")} == set(got)
+    assert got["cut", "summary"] == got["cut", "title"] == "cut word"
+
+
+def test_titles_cut_alike_are_no_ends_of_sentences():
+    found = truncation.counted([("m", "title", f"The {a} is kept until the second") for a in NOUNS] + [("m", "summary", "It hides the token.")])
+    assert ("", "final", "the second") not in found and found["", "final", "the token"] == 1
+
+
 def test_empty_table(spark):
     assert rows(cut_values(frame(spark, []))) == [] == rows(broken_pairs(frame(spark, [])))
 
