@@ -108,6 +108,12 @@ def fused(lists: dict[str, DataFrame], key: list[str], weights: dict[str, int] |
     )
 
 
+def holds_a_term(text: Column, terms: list[str]) -> Column:
+    """Whether a text holds one of the terms: one expression however many there are, as a filter is copied to every
+    side of the joins below it."""
+    return F.coalesce(F.lower(text).rlike("|".join(rf"\Q{t}\E" for t in terms)), F.lit(False)) if terms else F.lit(False)
+
+
 def document_matches(documents: DataFrame, terms: list[str], least: int = 2) -> DataFrame:
     """Documents with at least ``least`` of the terms: score, and the first line that holds one."""
     lines = unix_lines(F.col("text"))

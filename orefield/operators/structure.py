@@ -94,10 +94,11 @@ def resolved(uses: DataFrame, records: DataFrame, bindings: DataFrame | None = N
     return found.withColumns({"target_id": target, "resolution": quality}).drop("local_id", "wide_id", "bound", "bound_id")
 
 
-def reference_edges(files: DataFrame, records: DataFrame) -> DataFrame:
+def reference_edges(files: DataFrame, records: DataFrame, modules: DataFrame | None = None) -> DataFrame:
     """(place, file, line, name, is_call, n, owner_id, target_id, resolution) of names that are declared
-    anywhere in the same commit or imported in their file. A declaration's own line isn't a use of it."""
-    bindings = stored(import_bindings(files))  # few rows, read three times
+    anywhere in the same commit or imported in their file. A declaration's own line isn't a use of it. ``modules``:
+    the files' ``module_edges``, where they are known."""
+    bindings = stored(import_bindings(files, modules))  # few rows, read three times
     known = records.select(*PLACE, "name").unionByName(bindings.select(*PLACE, "name")).distinct()
     starts = records.select(*PLACE, "file", F.col("sl").alias("line"), "name").distinct()
     uses = identifiers(files, known).join(starts, [*PLACE, "file", "line", "name"], "left_anti")
@@ -148,7 +149,7 @@ DEFAULT_IMPORT = r"""^import ([A-Za-z_$][A-Za-z0-9_$]*)(?: ?, ?\{[^}]*\})? from
 FROM_IMPORT = r"^\s*from \.*[A-Za-z0-9_.]* import \(?([A-Za-z0-9_, ]+)\)?"
 
 
-def import_bindings(files: DataFrame) -> DataFrame:
+def import_bindings(files: DataFrame, modules: DataFrame | None = None) -> DataFrame:
     """(place, file, name, imported, target_file): the names that a file binds by imports, what they are called where
     they come from, and the file that is meant (null where none is known). Of repeated bindings the last counts."""
     lines = numbered_lines(files)
@@ -160,7 +161,7 @@ def import_bindings(files: DataFrame) -> DataFrame:
     whole = F.filter(F.array(F.when(default.isNotNull(), F.struct(default.alias("name"), F.lit("default").alias("imported")))), lambda b: b.isNotNull())
     bound = lines.where(F.col("text").rlike("import ")).select(*PLACE, "file", "line", F.explode(F.concat(F.coalesce(named, F.expr("array()").cast("array<struct<name:string,imported:string>>")), whole)).alias("b"))
     bound = bound.select(*PLACE, "file", "line", "b.name", "b.imported").where("name != ''")
-    targets = module_edges(files).select(*PLACE, "file", "line", "target_file")
+    targets = (module_edges(files) if modules is None else modules).select(*PLACE, "file", "line", "target_file")
     told = bound.join(targets, [*PLACE, "file", "line"], "left")
     return told.groupBy(*PLACE, "file", "name").agg(F.max_by(F.struct("imported", "target_file"), F.struct("line", "imported")).alias("b")).select(*PLACE, "file", "name", "b.imported", "b.target_file")
 
@@ -173,15 +174,18 @@ def structural_scores(files: DataFrame, records: DataFrame, terms: list[str]) ->
     """(place, id, score): 3 for the target and 2 for the owner of every use whose name holds a term, once as a
     reference and once more as a call; 1 for each declaration of the two files of an import whose specifier
     does; 1 for the smallest declaration around a test whose title does."""
-    from orefield.operators.ranking import term_hits
+    from orefield.operators.ranking import holds_a_term
 
-    hit = reference_edges(files, records).where(term_hits(F.col("name"), terms) > 0).withColumn("n", F.col("n") * F.when(F.col("is_call"), 2).otherwise(1))
+    # Each part is written before the next is planned: as one plan, with the terms pushed to every side of every join,
+    # its codes and descriptions outgrow a small driver.
+    modules = stored(module_edges(files))
+    hit = reference_edges(files, records, modules).where(holds_a_term(F.col("name"), terms)).withColumn("n", F.col("n") * F.when(F.col("is_call"), 2).otherwise(1))
     ends = F.explode(F.array(F.struct(F.col("target_id").alias("id"), (F.col("n") * 3).alias("s")), F.struct(F.col("owner_id").alias("id"), (F.col("n") * 2).alias("s")))).alias("x")
-    uses = hit.select(*PLACE, ends).where("x.id is not null").select(*PLACE, "x.id", "x.s")
-    modules = module_edges(files).where(term_hits(F.col("specifier"), terms) > 0)
-    both = modules.select(*PLACE, F.explode(F.array_distinct(F.array("file", F.coalesce("target_file", "file")))).alias("file"))
+    uses = stored(hit.select(*PLACE, ends).where("x.id is not null").select(*PLACE, "x.id", "x.s"))
+    named = modules.where(holds_a_term(F.col("specifier"), terms))
+    both = named.select(*PLACE, F.explode(F.array_distinct(F.array("file", F.coalesce("target_file", "file")))).alias("file"))
     imports = both.groupBy(*PLACE, "file").agg(F.count("*").alias("s")).join(records.select(*PLACE, "file", "id"), [*PLACE, "file"]).select(*PLACE, "id", "s")
-    titled = numbered_lines(files).withColumn("title", F.regexp_extract("text", TEST_TITLE, 1)).where("title != ''").where(term_hits(F.col("title"), terms) > 0)
+    titled = numbered_lines(files).withColumn("title", F.regexp_extract("text", TEST_TITLE, 1)).where("title != ''").where(holds_a_term(F.col("title"), terms))
     tests = owned(titled.select(*PLACE, "file", "line"), records, smallest=True).where("owner_id is not null").select(*PLACE, F.col("owner_id").alias("id"), F.lit(1).cast("bigint").alias("s"))
     return uses.unionByName(imports).unionByName(tests).groupBy(*PLACE, "id").agg(F.sum("s").alias("score"))
 

@@ -241,7 +241,7 @@ STRUCTURAL = f"""m AS (SELECT *, ({_HITS}) > 0 AS hit, CASE WHEN is_call THEN 2
 @query(f"WITH {EDGES}, {STRUCTURAL} SELECT repository, commit_hash, id, score FROM structural")
 def structural_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Declarations by the uses, imports and tests around them whose names hold a question's term."""
-    return structure.structural_scores(_files(spark, folder), _records(spark, folder), TERMS)
+    return structure.structural_scores(stored(_files(spark, folder)), stored(_records(spark, folder)), TERMS)  # both are read many times
 
 
 @query(f"""WITH RECURSIVE {EDGES}, e AS (SELECT DISTINCT repository, commit_hash, target_id AS source, owner_id AS target FROM edges WHERE owner_id IS NOT NULL AND target_id IS NOT NULL),

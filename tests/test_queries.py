@@ -36,3 +36,8 @@ def test_entry_module_lists_the_core_without_the_subpackage():
     import __spark_entry__ as entry
 
     assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
+
+
+def test_structural_scores_are_planned_in_parts(spark):
+    scores = QUERIES["structural_scores"](spark, FOLDER)
+    assert len(spark._jvm.PythonSQLUtils.explainString(scores._jdf.queryExecution(), "formatted")) < 40_000  # 140,000 as one plan
