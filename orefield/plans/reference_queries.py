@@ -617,7 +617,7 @@ _HISTORY = {t: " + ".join(f"(CASE WHEN list_contains(a, '{x}') THEN 6 ELSE 0 END
 def hybrid_retrieval(spark: SparkSession, folder: str) -> DataFrame:
     """The signals that the question's terms open, fused over declarations, documents and commits; the top 100 is the
     operator's bound. Without an embedding of the question the semantic list has no part (see ``Explorer``)."""
-    docs, files, records = table(spark, folder, "documents"), _files(spark, folder), _records(spark, folder)
+    docs, files, records = table(spark, folder, "documents"), stored(_files(spark, folder)), stored(_records(spark, folder))  # the last two are read many times
 
     def symbols(scores: DataFrame) -> DataFrame:
         key = F.concat_ws("/", "repository", "id").alias("key")

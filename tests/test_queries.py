@@ -41,3 +41,10 @@ def test_entry_module_lists_the_core_without_the_subpackage():
 def test_structural_scores_are_planned_in_parts(spark):
     scores = QUERIES["structural_scores"](spark, FOLDER)
     assert len(spark._jvm.PythonSQLUtils.explainString(scores._jdf.queryExecution(), "formatted")) < 40_000  # 140,000 as one plan
+
+
+def test_hybrid_retrieval_reads_current_rows_once(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(reference_queries.structure, "structural_scores", lambda files, records, terms: given.extend((files, records)) or reference_queries.ranking.lexical_scores(records, files, terms))
+    QUERIES["hybrid_retrieval"](spark, FOLDER)
+    assert len(given) == 2 and not any("Aggregate" in df._jdf.queryExecution().optimizedPlan().toString() for df in given)
