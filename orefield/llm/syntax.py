@@ -714,6 +714,14 @@ class Python(Language):
     newline_ends = False
 
     def allowed_operator(self, tokens, i):
+        """The mark between parameters of a def that are given by place only and the others."""
+        if tokens[i][1] != "/" or not i or tokens[i - 1][1] != "," or not tokens[i + 1 : i + 2] or tokens[i + 1][1] not in (",", ")"):
+            return False
+        depth = 0
+        for k in range(i - 1, 1, -1):
+            depth += (tokens[k][0] == "close") - (tokens[k][0] == "open")
+            if depth < 0:
+                return tokens[k][1] == "(" and tokens[k - 2][1] == "def"
         return False
 
     def allowed_end(self, tokens, i):

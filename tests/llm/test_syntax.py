@@ -87,3 +87,16 @@ def test_languages_without_a_lexer_are_not_judged(spark):
     frame = spark.createDataFrame([(*d, datetime(2025, 1, 1), datetime(2025, 1, 1)) for d in data], "repository string, commit_hash string, file string, language string, content string, captured_at timestamp, loaded_at timestamp")
     found = {(r.repository, r.language, r.level): (r.files, r.unjudged, r.broken, r.rate) for r in broken_rates(frame).collect()}
     assert found["r", None, 1] == (4, 2, 1, 0.5) and found["r", "ruby", 0] == (1, 1, 0, None) and found["r", "python", 0] == (2, 0, 1, 0.5)
+
+
+@pytest.mark.parametrize("text,broken", [("def f(a, b=(1, 2), /): pass", False), ("class A:\n    async def f(self, a, /, *, b): pass", False), ("def f(/, a): pass", True), ("f(a, /, b)", True), ("x = (a, /, b)", True)])
+def test_python_parameters_by_place_only(text, broken):
+    import ast
+
+    assert (fault(text, "python") is not None) == broken
+    try:
+        ast.parse(text)
+    except SyntaxError:
+        assert broken
+    else:
+        assert not broken
