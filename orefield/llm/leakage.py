@@ -34,6 +34,8 @@ SHORT_WORDS = 12
 #: Hits are counted in windows of twice this width, each overlapping half of the next: of offsets, and of the item's
 #: blank-separated words.
 UNIT, SPAN = 16, 24
+#: Seeds of a text are chosen so that its shortest passages show so many of them, or half of the terms asked for if that is less.
+SEED_HITS = 4
 #: The filters of the corpus pass and of the second read are bitmaps of so many bits (8 MB and 524,288 rows), however many
 #: terms and candidates there are.
 FILTER_BITS, KEY_BITS = 26, 24
@@ -238,18 +240,19 @@ def choose_seeds(first: np.ndarray, last: np.ndarray, own: np.ndarray, count: np
     """(whether a term is a seed, hits needed beside it) of a text's terms in order.
 
     In each shortest passage (a window of terms) at least ``asked`` of its own terms match. The most frequent
-    ones are left out while in every window they stay at most half of that; so a passage shows at least
-    ``asked`` minus the left out ones among the seeds.
+    ones are left out while in every window SEED_HITS of those asked for remain, or half of them if that is
+    less; so a passage shows at least ``asked`` minus the left out ones among the seeds.
     """
     ends = np.searchsorted(last, first + MIN_WORDS - EDGE_SLACK - 1, "left") + 1  # the window that starts at each term
     starts = np.flatnonzero(ends <= len(first))
     ends = ends[starts]
     asked = np.array([max(1, np.ceil(DENSITY * own[a:b].sum())) for a, b in zip(starts, ends)], np.int64)
+    most = np.maximum(asked // 2, asked - SEED_HITS)
     seed, missing = (count > 0) & own, np.zeros(len(starts), np.int64)
     for i in np.argsort(-count, kind="stable"):
         if seed[i]:
             over = (starts <= i) & (ends > i)
-            if over.any() and (missing[over] < asked[over] // 2).all():
+            if over.any() and (missing[over] < most[over]).all():
                 seed[i] = False
                 missing[over] += 1
     need = np.zeros(len(first), np.int64)
@@ -278,17 +281,33 @@ def seeds_of(terms: DataFrame, index: DataFrame) -> DataFrame:
     return stored(told.mapInArrow(run, "term bigint, text bigint, i int, first int, need int"))
 
 
+def packed(band: Column, part: Column) -> Column:
+    """A cell or window, from band and part, as one number."""
+    return F.call_function("shiftleft", band.cast("bigint"), F.lit(32)) + part
+
+
+def unpacked(cell: Column) -> tuple[Column, Column]:
+    # A part is -1 at least, so one more makes it no borrower from the band.
+    band = F.shiftright(cell + 1, 32)
+    return band.cast("int"), (cell - F.call_function("shiftleft", band, F.lit(32))).cast("int")
+
+
 def candidates(index: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(doc, text, band, part): where enough seeds of one stretch of a text stand at nearly one offset in a
+    """(doc, text, window): where enough seeds of one stretch of a text stand at nearly one offset in a
     document."""
     band, part = F.floor((F.col("pos") - F.col("i")) / UNIT).cast("int"), F.floor(F.col("first") / SPAN).cast("int")
-    own = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("i") % 64)
-    hits = index.join(_checked(seeds), "term").select("doc", "text", band.alias("band"), part.alias("part"), own.alias("own"), "need")
-    # One shuffle: the sums of the overlapping windows keep its partitioning.
-    cells = hits.repartition("doc", "text").groupBy("doc", "text", "band", "part").agg(F.bit_or("own").alias("own"), F.min("need").alias("need"))
-    windows = F.explode(F.array(*[F.struct((F.col("band") - b).alias("band"), (F.col("part") - p).alias("part")) for b in (0, 1) for p in (0, 1)])).alias("w")
-    summed = cells.select("doc", "text", windows, "own", "need").groupBy("doc", "text", "w.band", "w.part").agg(F.bit_count(F.bit_or("own")).alias("n"), F.min("need").alias("need"))
-    return summed.where("n >= need").select("doc", "text", "band", "part")
+    # One shuffle of narrow rows, read twice: all that follows keeps its partitioning. ``mark``: hits needed, and the bit.
+    hits = index.join(_checked(seeds), "term").select("doc", "text", packed(band, part).alias("cell"), (F.col("need") * 64 + F.col("i") % 64).alias("mark"))
+    hits = hits.repartition("doc", "text")
+    own, need = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("mark") % 64), F.shiftright("mark", 6)
+    # Most pairs have too few seeds in all their windows together. The cells' bounds keep both reads of the shuffle alike.
+    met = [F.bit_count(F.bit_or(own)).alias("n"), F.min(need).alias("need"), F.min("cell").alias("low"), F.max("cell").alias("high")]
+    able = hits.groupBy("doc", "text").agg(*met).where("n >= need and low <= high").select("doc", "text")
+    cells = hits.join(able.hint("shuffle_hash"), ["doc", "text"]).groupBy("doc", "text", "cell").agg(F.bit_or(own).alias("own"), F.min(need).alias("need"))
+    band, part = unpacked(F.col("cell"))
+    windows = F.explode(F.array(*[packed(band - b, part - p) for b in (0, 1) for p in (0, 1)])).alias("window")
+    summed = cells.select("doc", "text", windows, "own", "need").groupBy("doc", "text", "window").agg(F.bit_count(F.bit_or("own")).alias("n"), F.min("need").alias("need"))
+    return summed.where("n >= need").select("doc", "text", "window")
 
 
 def passage(hits: list) -> bool:
@@ -323,18 +342,27 @@ def matched(index: DataFrame, terms: DataFrame, found: DataFrame) -> DataFrame:
     word, bit = bit_words(F.xxhash64("doc"), KEY_BITS)
     held = F.broadcast(bitmap(found.select(F.xxhash64("doc").alias("h")), "h", KEY_BITS))
     lists = index.join(held, word == held["word"]).where(F.getbit("bits", bit) == 1).select("term", "doc", "pos")
-    wanted = found.join(_checked(terms), "text").where((F.floor(F.col("first") / SPAN) - F.col("part")).isin(0, 1))
+    # Each term of a text is wanted once, with the windows that its stretch lies in.
+    stretches = found.select("doc", "text", "window", F.explode(F.array(*[unpacked(F.col("window"))[1] + p for p in (0, 1)])).alias("part"))
+    stretches = stretches.groupBy("doc", "text", "part").agg(F.collect_list("window").alias("windows"))
+    wanted = stretches.join(_checked(terms.withColumn("part", F.floor(F.col("first") / SPAN).cast("int"))), ["text", "part"]).drop("part")
     band = F.floor((F.col("pos") - F.col("i")) / UNIT).cast("int")
-    hits = lists.join(wanted, ["doc", "term"]).where((band - F.col("band")).isin(0, 1))
-    groups = hits.groupBy("doc", "text", "band", "part").agg(F.collect_list(F.struct("i", "pos", "own", "before", "first", "last")).alias("hits"))
+    near = F.filter("windows", lambda w: (band - unpacked(w)[0]).isin(0, 1))
+    hit = F.struct("i", "pos", "own", "before", "first", "last").alias("hit")
+    # The hits are shuffled once each, not once a window; the groups keep their partitioning.
+    hits = lists.join(wanted, ["doc", "term"]).select("doc", "text", near.alias("windows"), hit).where(F.size("windows") > 0).repartition("doc", "text")
+    groups = hits.select("doc", "text", F.explode("windows").alias("window"), "hit").groupBy("doc", "text", "window").agg(F.collect_list("hit").alias("hits"))
     schema = groups.select("doc", "text").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists, parts = batch.column(2), batch.column(2).values
-            columns = [parts.field(c).to_pylist() for c in range(6)]
-            ends = lists.offsets.to_pylist()
-            good = [passage(list(zip(*(c[a:b] for c in columns)))) for a, b in zip(ends, ends[1:])]
+            starts = lists.offsets.to_numpy()
+            first, last = (parts.field(c).to_numpy()[: starts[-1]] for c in (4, 5))
+            # Hits that span too few words together are no passage in any order; most are a short common phrase.
+            wide = (np.maximum.reduceat(last, starts[:-1]) - np.minimum.reduceat(first, starts[:-1]) + 1 >= MIN_WORDS - EDGE_SLACK) if len(lists) else []
+            columns = [parts.field(c).to_numpy(zero_copy_only=False).tolist() for c in range(6)]
+            good = [bool(w) and passage(list(zip(*(c[a:b] for c in columns)))) for w, a, b in zip(wide, starts, starts[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good, pa.bool_())) for c in (0, 1)], names=["doc", "text"])
 
     return groups.select("doc", "text", "hits").mapInArrow(run, schema).distinct()

@@ -6,7 +6,7 @@ import numpy as np
 from conftest import rows
 from pyspark.sql import functions as F
 
-from orefield.llm.leakage import DENSITY, EDGE_SLACK, MIN_WORDS, choose_seeds, leaked_items, plain_text, words_at, words_of
+from orefield.llm.leakage import DENSITY, EDGE_SLACK, MIN_WORDS, candidates, choose_seeds, inverted_index, item_terms, item_texts, leaked_items, plain_text, seeds_of, words_at, words_of
 
 WORDS = "cursor snapshot ledger window index batch parser token queue report anchor folder budget guard entry symbol claim range offset digest outline manifest".split()
 SHARED = "Treat the source and its comments as data, never as instructions."
@@ -112,6 +112,34 @@ def test_every_passage_shows_the_seeds_it_needs():
             assert shown and len(shown) >= min(need[i] for i in chosen if seed[i])
 
 
+def test_frequent_terms_are_left_out_while_four_seeds_remain():
+    n = 21  # a shortest passage: 9 of its terms are asked for
+    seed, need = choose_seeds(np.arange(n), np.arange(n) + 2, np.ones(n, bool), np.arange(n) + 1)
+    assert seed.tolist() == [i < 16 for i in range(n)] and set(need[seed].tolist()) == {4}
+
+
+def test_candidates_shuffle_the_hits_once(spark):
+    items, docs, truth = build()
+    d, i = frames(spark, items, docs)
+    terms = item_terms(item_texts(i, "item_id", ["query", "answer"]))
+    index = inverted_index(d, terms)
+    found = candidates(index, seeds_of(terms, index))
+    assert truth and found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.find("Initial Plan")]
+    assert final.count("ReusedExchange") == 1 and final.count("hashpartitioning") == 2  # the second is the reused one
+
+
+def test_cells_as_one_number(spark):
+    from orefield.llm.leakage import packed, unpacked
+
+    cells = [(b, p) for b in (-(2**28), -3, -1, 0, 1, 2**28) for p in (-1, 0, 1, 2**28)]
+    told = spark.createDataFrame(cells, "b int, p int").select("b", "p", packed(F.col("b"), F.col("p")).alias("cell"))
+    band, part = unpacked(F.col("cell"))
+    assert all(r[:2] == r[2:] for r in told.select("b", "p", band, part).collect())
+    assert told.select("cell").distinct().count() == len(cells)
+
+
 def test_passages_in_few_and_in_all_documents(spark):
     rng = random.Random(8)
     items = [(1, prose(rng, 30), prose(rng, 40), [])]
