@@ -27,7 +27,7 @@ LABELS = ("empty", "truncated", "refusal", "copy", "language")
 #: examples.
 TRAIN_ROWS, PHRASE_SEEDS = 1_500, 400
 #: Hashed features, passes of the fit, examples a step, step and penalty.
-DIMS, EPOCHS, BATCH, STEP, PENALTY = 1 << 16, 8, 256, 0.3, 1e-5
+DIMS, EPOCHS, BATCH, STEP, PENALTY = 1 << 16, 8, 256, 0.3, 1e-5  # a feature's number has 16 bits
 #: Share of the examples kept aside for the thresholds.
 ASIDE = 0.3
 #: A word in fewer than this share of the answers counts as unknown, so that answers in another language don't make
@@ -92,6 +92,8 @@ EMPTY = ("", " ", "\n", "\n\n", "null", '""', "[]", "{}", "```\n```", "```json\n
 
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]")
 WORD = re.compile(r"[^\W\d_][\w'’]*")
+CAMEL = re.compile(r"[a-z][A-Z]")
+CHARACTER = re.compile(r"[^\s​-‏﻿\"'{}\[\]`.,:;-]")
 FENCE = re.compile(r"^```[\w-]*[ \t]*\n?|\n?```[ \t]*$")
 CODE_SPAN = re.compile(r"```.*?```|`[^`]*`|\"[^\"]{0,200}\"|„[^“”]*[“”]|“[^”]*”", re.DOTALL)
 JSON_STRING = re.compile(r'"((?:[^"\\]|\\.)*)"\s*([:,}\]]|$)')
@@ -139,17 +141,20 @@ class Features:
     def __init__(self, share: np.ndarray) -> None:
         self.usual = np.log10(np.maximum(share, USUAL)) / -np.log10(USUAL) + 1
         self.share = share
-        self.known: dict[str, tuple[int, int, np.ndarray]] = {}
+        self.known: dict[str, tuple[str, bool, int, int, np.ndarray] | None] = {}
 
-    def word(self, word: str) -> tuple[int, int, np.ndarray]:
-        """(hash, bin, hashes of the character n-grams) of a word."""
-        found = self.known.get(word)
-        if found is None:
+    def word(self, word: str) -> tuple[str, bool, int, int, np.ndarray] | None:
+        """(form, whether beyond ASCII, hash, bin, features of the character n-grams) of a word as it is written;
+        none for a name in camel case."""
+        found = self.known.get(word, ())
+        if found == ():
             if len(self.known) > 200_000:
                 self.known.clear()
-            edged = f"<{word}>"
-            grams = [crc32(edged[i : i + n].encode()) for n in (3, 4) for i in range(len(edged) - n + 1)] if len(word) < 40 else []
-            found = self.known[word] = crc32(word.encode()), word_bin(word), np.array(grams, np.int64)
+            form = word.lower().replace("’", "'")
+            edged = f"<{form}>"
+            grams = [crc32(edged[i : i + n].encode()) % DIMS for n in (3, 4) for i in range(len(edged) - n + 1)] if len(form) < 40 else []
+            found = None if CAMEL.search(word) else (form, not form.isascii(), crc32(form.encode()), word_bin(form), np.array(grams, np.uint16))
+            self.known[word] = found
         return found
 
     def of(self, prompt: str | None, raw: str, cut: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -181,34 +186,39 @@ class Features:
         # Nothing but the input: all of the answer stands in it, in its order of tokens.
         d["inside_all"] = float(d["inside"] >= 0.93 and len(tokens) >= 6)
         prose = "" if d["inside"] > 0.8 or looks else CODE_SPAN.sub(" ", text)
-        words = [w.lower().replace("’", "'") for w in WORD.findall(prose) if not re.search(r"[a-z][A-Z]", w)]
-        n = len(words)
-        cjk = len(CJK.findall(prose))
+        lines = [[t for w in WORD.findall(p) if (t := self.word(w)) is not None] for p in prose.split("\n")]
+        told = [t for line in lines for t in line]
+        n = len(told)
+        cjk = 0 if prose.isascii() else len(CJK.findall(prose))
         d["no_word"] = float(not tokens or not any(t[0].isalnum() for t in tokens) or text.strip().lower() in ("null", "none", "n/a"))
-        d["no_char"] = float(not re.sub(r"[\s​-‏﻿\"'{}\[\]`.,:;-]", "", text))
+        d["no_char"] = float(not CHARACTER.search(text))
         d["short"] = float(0 < n < 4)
         d["prose"] = float(n >= 4)
-        d["cjk"] = float(cjk > 0.3 * max(1, len(re.sub(r"\s", "", prose))))
+        d["cjk"] = float(cjk > 0 and cjk > 0.3 * max(1, len(re.sub(r"\s", "", prose))))
         if not n:
             return np.zeros(0, np.int64), np.array([d[k] for k in DENSE], np.float32)
-        told = [self.word(w) for w in words]
-        bins = np.array([t[1] for t in told])
+        forms, beyond, hashes, bins, _ = zip(*told)
+        bins = np.array(bins)
         share = self.share[bins]
-        d["non_ascii"] = sum(not w.isascii() for w in words) / n
+        d["non_ascii"] = sum(beyond) / n
         d["brief"] = float(n < 40)
-        d["own"] = sum(w in source for w in words) / n
+        d["own"] = sum(map(source.__contains__, forms)) / n
         if n >= 4:  # fewer words tell nothing of their language
+            rare, common = share < USUAL, share >= 0.05
             d["usual"] = float(self.usual[bins].mean())
-            d["unknown"] = float((share < USUAL).mean())
-            d["common"] = float((share >= 0.05).mean())
+            d["unknown"] = np.count_nonzero(rare) / n
+            d["common"] = np.count_nonzero(common) / n
             # One part in another language counts, also beside English ones.
-            parts = [[self.word(w.lower().replace("’", "'"))[1] for w in WORD.findall(p) if not re.search(r"[a-z][A-Z]", w)] for p in prose.split("\n")]
-            shares = [self.share[np.array(p)] for p in parts if len(p) >= 6] or [share]
-            d["strange"] = float(any((x >= 0.05).mean() < 0.2 and (x < USUAL).mean() > 0.4 for x in shares))
-        h = np.array([t[0] for t in told], np.int64)
+            ends = np.cumsum([len(line) for line in lines]).tolist()
+            parts = [(end - len(line), end) for line, end in zip(lines, ends) if len(line) >= 6] or [(0, n)]
+            d["strange"] = float(any(np.count_nonzero(common[a:b]) / (b - a) < 0.2 and np.count_nonzero(rare[a:b]) / (b - a) > 0.4 for a, b in parts))
+        h = np.array(hashes, np.int64)
         pairs = h[:-1] * 31 + h[1:] + 7
-        grams = np.concatenate([h, pairs, pairs[:-1] * 31 + h[2:] + 13, *(t[2] for t in told)])
-        return np.unique(grams % DIMS), np.array([d[k] for k in DENSE], np.float32)
+        runs = np.concatenate([h, pairs, pairs[:-1] * 31 + h[2:] + 13]) % DIMS
+        grams = np.sort(np.concatenate([runs.astype(np.uint16), *{t[0]: t[4] for t in told}.values()]))
+        first = np.ones(len(grams), bool)
+        np.not_equal(grams[1:], grams[:-1], out=first[1:])
+        return grams[first].astype(np.int64), np.array([d[k] for k in DENSE], np.float32)
 
     @staticmethod
     def inside(tokens: list[str], source: str) -> tuple[float, float]:
@@ -216,7 +226,7 @@ class Features:
         body = tokens
         if len(body) > 3 and body[0].lower() in ("function", "input", "code", "source") and ":" in body[:8]:
             body = body[body.index(":") + 1 :]
-        looks = float(len(body) > 10 and sum(t in "{}();=" for t in body) > 0.12 * len(body))
+        looks = float(len(body) > 10 and sum(map("{}();=".__contains__, body)) > 0.12 * len(body))
         if len(body) < 5:
             text = "".join(body).lower()
             return float(bool(text) and len(text) > 3 and text in re.sub(r"\W|_", "", source).lower() and len(body) <= 2 and len(text) > 12), looks

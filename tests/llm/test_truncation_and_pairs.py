@@ -170,5 +170,33 @@ def test_defects_of_pairs(spark):
         assert len(of & got) / len(of) > 0.7, kind
 
 
+def test_each_word_of_an_answer_is_looked_up_once():
+    from zlib import crc32
+
+    from orefield.llm.pairs import DENSE, DIMS, USUAL, Features, word_bin
+
+    class Counted(Features):
+        calls = 0
+
+        def word(self, word):
+            Counted.calls += 1
+            return super().word(word)
+
+    share = np.zeros(1 << 16, np.float32)
+    share[[word_bin(w) for w in ("the", "cursor", "is", "read", "again")]] = 0.5
+    text = "The cursor isn’t read again.\nDer Wert wird über readToken erneut gelesen.\n\nThe THE caf\u00e9 is read."
+    grams, dense = Counted(share).of("the cursor is read", text, False)
+    words = ["the", "cursor", "isn't", "read", "again", "der", "wert", "wird", "über", "erneut", "gelesen", "the", "the", "café", "is", "read"]
+    h = [crc32(w.encode()) for w in words]
+    pairs = [a * 31 + b + 7 for a, b in zip(h, h[1:])]
+    chars = [crc32(f"<{w}>"[i : i + n].encode()) for w in words for n in (3, 4) for i in range(len(w) + 3 - n)]
+    assert grams.tolist() == sorted({x % DIMS for x in [*h, *pairs, *(a * 31 + b + 13 for a, b in zip(pairs, h[2:])), *chars]})
+    d = dict(zip(DENSE, dense.tolist()))
+    found = [share[word_bin(w)] for w in words]
+    told = {"non_ascii": 2, "unknown": sum(x < USUAL for x in found), "common": sum(x >= 0.05 for x in found), "own": sum(w in "the cursor is read" for w in words)}
+    assert {k: round(d[k] * len(words), 3) for k in told} == told and d["strange"] == 1 and d["cjk"] == 0
+    assert Counted.calls == len(words) + 1  # and the name in camel case
+
+
 def test_parsed_shapes():
     assert parsed('```json\n{"a": 1}\n```')[0] == "json" and parsed('{"a": ')[0] == "broken" and parsed("plain {x} text")[0] == "text" and parsed("null")[1] is None
