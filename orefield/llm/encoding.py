@@ -4,12 +4,15 @@ Method: prefix-sharing trie traversal. The distinct words (pre-tokens) of a bloc
 sorted order, are the preorder of their trie. A depth-first walk keeps, for every prefix on the
 current path, the last token of that prefix's encoding; the states of a shared prefix are computed
 once. A prefix ends in the one vocabulary token t that is its suffix and may follow the last token of
-the prefix before t. Following last tokens backwards gives a word's ids.
+the prefix before t. Following last tokens backwards gives a word's ids. The tokens that are a
+prefix's suffixes are found by stepping an automaton over its bytes, whose states are the
+beginnings of tokens.
 """
 
 from __future__ import annotations
 
 import base64
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -27,6 +30,13 @@ BLOCK_CHARS = 1_000_000
 #: A worker forgets its known words beyond this number; they are then computed again.
 KNOWN_WORDS = 400_000
 
+#: Class of an ASCII byte in that pattern: white space, letter, digit, other.
+BLANK, LETTER, DIGIT, OTHER = 0, 1, 2, 3
+ASCII_CLASS = np.full(128, OTHER, np.uint8)
+ASCII_CLASS[list(b"\t\n\v\f\r ")] = BLANK
+ASCII_CLASS[[c for c in range(128) if chr(c).isalpha()]] = LETTER
+ASCII_CLASS[list(b"0123456789")] = DIGIT
+
 #: Class of a word by its end: inside a phrase, clause end, sentence end, sentence end in wide script.
 INSIDE, CLAUSE, SENTENCE, WIDE_SENTENCE = 0, 1, 2, 3
 
@@ -37,6 +47,38 @@ def read_ranks(path: str) -> bytes:
         return file.read()
 
 
+def ascii_words(texts: list[str]) -> tuple[pa.StringArray, np.ndarray]:
+    """The words of ASCII texts in a row, as WORD_PATTERN cuts them, and how many each text has."""
+    data = "".join(texts).encode("ascii") + b"\0\0\0"  # so that two bytes after the last can be looked at
+    byte, size = np.frombuffer(data, np.uint8), len(data) - 3
+    begins = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
+    edge = np.zeros(len(data), bool)
+    edge[begins] = True
+    kind = ASCII_CLASS[byte]
+    start = edge.copy()
+    start[1:] |= kind[1:] != kind[:-1]
+    start[size:] = False
+    at = np.flatnonzero(start)
+    # The last blank before a word leaves the blanks before it; a space joins the word.
+    word = at[(kind[at] != BLANK) & ~edge[at]]
+    word = word[kind[word - 1] == BLANK]
+    start[word - 1] = True
+    start[word[byte[word - 1] == 32]] = False
+    # Contractions, where an apostrophe begins a word.
+    mark = at[byte[at] == 39]
+    mark = mark[start[mark] & ~edge[mark + 1]]
+    one, two = byte[mark + 1], byte[mark + 2]
+    short = np.isin(one, list(b"stmd"))
+    long = ~edge[mark + 2] & ((np.isin(one, list(b"rv")) & (two == 101)) | ((one == 108) & (two == 108)))
+    start[mark[short | long] + 1] = False
+    start[np.concatenate([mark[short] + 2, mark[long] + 3])] = True
+    start[size:] = False
+    at = np.flatnonzero(start)
+    offsets = np.append(at, size).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data))
+    return words, np.diff(np.searchsorted(at, begins))
+
+
 class PrefixEncoder:
     """Encodes sorted distinct words; knows every word it has met by a dense number.
 
@@ -50,14 +92,20 @@ class PrefixEncoder:
 
         self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_file.splitlines()) if a}
         self.bytes_of = {i: t for t, i in self.rank.items()}
-        self.longest = max(map(len, self.rank))
         self.split = regex.compile(WORD_PATTERN).findall
+        self._sorted = sorted(self.rank)
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._reset()
 
     def _reset(self) -> None:
         self.number: dict[str, int] = {}
-        self._follows: dict[tuple[int, int], bool] = {}
+        self._follows: dict[int, bool] = {}
+        #: The automaton: each state's bytes, the tokens that are its suffixes, longest first, with their
+        #: lengths, and the next state by state and byte.
+        self._states: dict[bytes, int] = {b"": 0}
+        self._suffixes: list[list[tuple[int, int]]] = [[]]
+        self._bytes: list[bytes] = [b""]
+        self._next: dict[int, int] = {}
         self.ids = np.zeros(0, np.int32)
         self.starts = self.sizes = self.chars = self.ending = self.lines = np.zeros(0, np.int64)
         self.blank = np.zeros(0, bool)
@@ -92,7 +140,7 @@ class PrefixEncoder:
     def _may_follow(self, before: int, token: int) -> bool:
         """Whether the border between two neighbouring tokens stands: no merge across it comes before
         the merges that complete them. Of equal merges the left one comes first."""
-        known = self._follows.get((before, token))
+        known = self._follows.get(before << 32 | token)
         if known is None:
             left, right = self._edge(before, 1), self._edge(token, 0)
             i = j = 0
@@ -110,29 +158,54 @@ class PrefixEncoder:
                     i += 1
                 else:
                     j += 1
-            self._follows[before, token] = known
+            self._follows[before << 32 | token] = known
         return known
 
     def _may_start(self, token: int) -> bool:
         return len(self.bytes_of[token]) == 1 or self._made_of(token) is not None
 
+    def _step(self, state: int, byte: int) -> int:
+        """The state after one more byte: the longest end of the bytes so far that begins a token."""
+        text = self._bytes[state] + bytes([byte])
+        while text:
+            at = bisect_left(self._sorted, text)
+            if at < len(self._sorted) and self._sorted[at].startswith(text):
+                break
+            text = text[1:]
+        found = self._states.get(text)
+        if found is None:
+            found = self._states[text] = len(self._bytes)
+            self._bytes.append(text)
+            ends = (text[i:] for i in range(len(text)))
+            self._suffixes.append([(self.rank[e], len(e)) for e in ends if e in self.rank])
+        self._next[state << 8 | byte] = found
+        return found
+
     def learn(self, words: set[str]) -> None:
         """Encode unknown words by one depth-first walk over their trie."""
-        rank, longest, bytes_of = self.rank, self.longest, self.bytes_of
+        bytes_of, follows, following, suffixes = self.bytes_of, self._follows.get, self._next.get, self._suffixes
         last: list[int] = [-1]  # last[d]: last token of the encoding of the path's first d bytes
+        states = [0]  # the automaton's state after them
         before, flat, sizes, features = b"", [], [], []
         for data, word in sorted((w.encode("utf-8", "surrogatepass"), w) for w in words):
             shared = 0
             top = min(len(before), len(data))
             while shared < top and before[shared] == data[shared]:
                 shared += 1
-            del last[shared + 1 :]
-            for end in range(shared + 1, len(data) + 1):
-                for start in range(max(0, end - longest), end):
-                    token = rank.get(data[start:end])
-                    if token is None:
-                        continue
-                    if self._may_follow(last[start], token) if start else self._may_start(token):
+            del last[shared + 1 :], states[shared + 1 :]
+            state = states[-1]
+            for end, byte in enumerate(data[shared:], shared + 1):
+                after = following(state << 8 | byte)
+                state = self._step(state, byte) if after is None else after
+                states.append(state)
+                for token, size in suffixes[state]:
+                    if start := end - size:
+                        fits = follows(last[start] << 32 | token)
+                        if fits is None:
+                            fits = self._may_follow(last[start], token)
+                    else:
+                        fits = self._may_start(token)
+                    if fits:
                         last.append(token)
                         break
                 else:
@@ -160,13 +233,24 @@ class PrefixEncoder:
         """Numbers of the words of all texts in a row, and how many words each text has."""
         if len(self.number) > KNOWN_WORDS:
             self._reset()
-        split = [self.split(t) for t in texts]
-        new = set().union(*split).difference(self.number)
+        plain = [t.isascii() for t in texts]
+        words, counts_plain = ascii_words([t for t, p in zip(texts, plain) if p])
+        words = words.dictionary_encode()
+        met = words.dictionary.to_pylist()
+        split = [self.split(t) for t, p in zip(texts, plain) if not p]
+        new = set(met).union(*split).difference(self.number)
         if new:
             self.learn(new)
-        counts = np.fromiter(map(len, split), np.int64, len(split))
         get = self.number.__getitem__
-        flat = np.fromiter(map(get, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        counts = np.zeros(len(texts), np.int64)
+        is_plain = np.array(plain, bool)
+        counts[is_plain], counts[~is_plain] = counts_plain, np.fromiter(map(len, split), np.int64, len(split))
+        numbers = np.fromiter(map(get, met), np.int64, len(met))[words.indices.to_numpy()]
+        if not split:
+            return numbers, counts
+        flat, of_plain = np.empty(int(counts.sum()), np.int64), np.repeat(is_plain, counts)
+        flat[of_plain] = numbers
+        flat[~of_plain] = np.fromiter(map(get, chain.from_iterable(split)), np.int64, len(flat) - len(numbers))
         return flat, counts
 
     def tokens(self, flat: np.ndarray) -> np.ndarray:

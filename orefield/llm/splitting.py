@@ -2,7 +2,9 @@
 
 Method: dynamic programming over all boundary positions. The cost of a cut is the penalty of its
 boundary class plus the squared deviation of the piece from the text's even piece size; the maximum
-length, the overlap and a least advance from cut to cut are hard constraints.
+length, the overlap and a least advance from cut to cut are hard constraints. Where cuts at strong
+boundaries alone cost less than one cut at a weaker boundary, no weaker one can be among the best, so
+the programme over the strong ones, which are few, is the whole one.
 """
 
 from __future__ import annotations
@@ -19,18 +21,25 @@ from orefield.llm.encoding import BYTE_BPE_50K, CLAUSE, SENTENCE, WIDE_SENTENCE,
 PENALTY = {"paragraph": 0.0, "line": 1.0, "sentence": 2.0, "clause": 6.0, "word": 10.0, "inside": 40.0}
 IMBALANCE = 3.0
 NAMES = list(PENALTY)
+PRICES = np.array(list(PENALTY.values()))
+#: Weakest boundary of the programmes that are tried before the one over all positions, and how many tokens
+#: their positions must lie apart on average: of denser ones array operations are cheaper.
+STRONG = (NAMES.index("paragraph"), NAMES.index("sentence"))
+APART = 8
 COLUMNS = "piece int, pieces int, start_char bigint, end_char bigint, tokens int, overlap int, boundary string, text string"
 
 
-def word_boundaries(enc: PrefixEncoder, flat: np.ndarray) -> np.ndarray:
-    """Index into NAMES of the boundary after each word of a text.
+def word_boundaries(enc: PrefixEncoder, flat: np.ndarray, lasts: np.ndarray) -> np.ndarray:
+    """Index into NAMES of the boundary after each word of texts in a row, whose last words are at ``lasts``.
 
     A piece ends before the white space at its end, so its tokens are the text's own.
     """
     own, lines = enc.ending[flat], enc.lines[flat]
     after = np.append(lines[1:], -1)
+    after[lasts] = -1
     second = np.append(after[1:], -1)
     opens = np.append(enc.blank[flat[1:]], True)
+    opens[lasts] = True
     kind = np.full(len(flat), 5)
     kind[opens] = 4
     kind[(own == CLAUSE) & opens] = 3
@@ -49,17 +58,79 @@ def least_advance(limit: int, overlap: int) -> int:
 
 def best_cuts(ends: np.ndarray, kind: np.ndarray, total: int, limit: int, overlap: int) -> list[tuple[int, int]]:
     """(position, kind) of the cuts of least cost; ``ends`` are positions in tokens, the last is ``total``."""
-    fresh = limit - overlap
-    even = total / max(1, -(-(total - overlap) // fresh))
+    known = 0
+    for weakest in STRONG:
+        keep = kind <= weakest
+        keep[-1] = True
+        some = ends[keep]
+        if len(some) * APART > total:
+            break
+        if len(some) > known and some[0] <= limit and np.diff(some, prepend=some[0]).max() <= limit - overlap:
+            # Cuts with a weaker boundary cost its penalty at least.
+            cuts = few_cuts(some, kind[keep], total, limit, overlap, PRICES[weakest + 1] - 1e-6)
+            if cuts:
+                return cuts
+        known = len(some)
+    return all_cuts(ends, kind, total, limit, overlap)
+
+
+def terms(ends: np.ndarray, kind: np.ndarray, total: int, limit: int, overlap: int) -> tuple:
+    """Even piece size; positions from 0 on; by position: penalty, terms of the deviation."""
+    even = total / max(1, -(-(total - overlap) // (limit - overlap)))
     place = np.concatenate([[0], ends])
     at = place.astype(np.float64)
-    penalty = np.concatenate([[0.0], np.array([PENALTY[n] for n in NAMES])[kind]])
+    penalty = np.concatenate([[0.0], PRICES[kind]])
     penalty[-1] = 0.0
     # The deviation (size / even - 1) squared, spread out so that a step costs few array operations:
     # the terms of the earlier position alone, of both, and of the later position alone.
     w = IMBALANCE / even
     own, both = w * at * (at / even + 2.0), 2.0 * w / even * at
     alone = w * at * (at / even - 2.0) + IMBALANCE
+    return even, place, at, penalty, own, both, alone
+
+
+def traced(back: list[int] | np.ndarray, place: list[int] | np.ndarray, kind: np.ndarray) -> list[tuple[int, int]]:
+    cuts, j = [], len(place) - 1
+    while j:
+        cuts.append((int(place[j]), int(kind[j - 1])))
+        j = int(back[j])
+    return cuts[::-1]
+
+
+def few_cuts(ends: np.ndarray, kind: np.ndarray, total: int, limit: int, overlap: int, below: float) -> list[tuple[int, int]]:
+    """The cuts of the programme position by position, for positions that lie far apart; none where they
+    don't cost less than ``below``."""
+    place, at, penalty, own, both, alone = (x.tolist() for x in terms(ends, kind, total, limit, overlap)[1:])
+    fresh, advance, last = limit - overlap, least_advance(limit, overlap), len(place) - 1
+    inf, below = float("inf"), float(below)
+    cost, back, spent, low, high, near = [inf], [0], inf, 1, 1, 0
+    for j in range(1, last + 1):
+        here, x = place[j], at[j]
+        spent, choice = alone[j] if here <= limit and (here >= advance or j == last) else inf, 0
+        while place[low] < here - fresh:
+            low += 1
+        while place[high] <= here - advance:
+            high += 1
+        end = high if j < last else last  # the last position has its own least advance
+        if low < end:
+            values = [c - b * x for c, b in zip(cost[low:end], both[low:end])]
+            value = min(values)
+            if value + alone[j] < spent:
+                spent, choice = value + alone[j], low + values.index(value)
+        spent += penalty[j]
+        if spent < below:
+            near = here
+        elif here - near > limit:
+            return []  # whatever follows costs as much
+        cost.append(spent + own[j])  # serves the steps that start here
+        back.append(choice)
+    return traced(back, place, kind) if spent < below else []
+
+
+def all_cuts(ends: np.ndarray, kind: np.ndarray, total: int, limit: int, overlap: int) -> list[tuple[int, int]]:
+    """The cuts of the programme over many positions, by array operations on groups of them."""
+    even, place, at, penalty, own, both, alone = terms(ends, kind, total, limit, overlap)
+    fresh = limit - overlap
     spent, cost, back = np.full(len(at), np.inf), np.full(len(at), np.inf), np.zeros(len(at), np.int64)
     advance, last = least_advance(limit, overlap), len(at) - 1
     low = np.maximum(np.searchsorted(place, place - fresh), 1)
@@ -90,11 +161,7 @@ def best_cuts(ends: np.ndarray, kind: np.ndarray, total: int, limit: int, overla
         j = k
     if not np.isfinite(cost[-1]):
         raise ValueError("no admissible cuts")
-    cuts, j = [], last
-    while j:
-        cuts.append((int(place[j]), int(kind[j - 1])))
-        j = int(back[j])
-    return cuts[::-1]
+    return traced(back, place, kind)
 
 
 class TextCutter:
@@ -143,15 +210,33 @@ class TextCutter:
             ends, kinds = ends[order], kinds[order]
         return ends, kinds
 
-    def cut(self, text: str, flat: np.ndarray, limit: int | None = None) -> list[tuple]:
-        """(start, end, tokens, overlap, boundary) of each piece."""
-        enc, limit = self.enc, limit or self.limit
-        token_end = np.cumsum(enc.sizes[flat])
-        total = int(token_end[-1]) if len(flat) else 0
-        if total <= self.limit:
-            return [(0, len(text), total, 0, "end")]
-        char_end = np.cumsum(enc.chars[flat])
-        kind = word_boundaries(enc, flat)
+    def pieces(self, texts: list[str], flat: np.ndarray, counts: np.ndarray) -> Iterator[list[tuple]]:
+        """(start, end, tokens, overlap, boundary) of each piece, text by text; ``flat`` are the texts' words."""
+        enc = self.enc
+        tokens_to = np.concatenate([[0], np.cumsum(enc.sizes[flat])])
+        totals = np.diff(tokens_to[np.concatenate([[0], np.cumsum(counts)])])
+        long = totals > self.limit
+        flat, ends = flat[np.repeat(long, counts)], np.cumsum(np.where(long, counts, 0))
+        token_end, char_end = np.cumsum(enc.sizes[flat]), np.cumsum(enc.chars[flat])
+        kind = word_boundaries(enc, flat, ends[long] - 1) if len(flat) else flat
+        begin = tokens = chars = 0
+        for text, total, end, is_long in zip(texts, totals.tolist(), ends.tolist(), long.tolist()):
+            if not is_long:
+                yield [(0, len(text), total, 0, "end")]
+                continue
+            of = slice(begin, end)
+            yield self.cut(text, flat[of], token_end[of] - tokens, char_end[of] - chars, kind[of], self.limit)
+            begin, tokens, chars = end, tokens + total, chars + len(text)
+
+    def alone(self, text: str) -> int:
+        """How many tokens a text has by itself."""
+        number, sizes, merge = self.enc.number.get, self.enc.sizes, self.enc.merge
+        known = [(number(w), w) for w in self.enc.split(text)]
+        return int(sizes[[n for n, _ in known if n is not None]].sum()) + sum(len(merge(w.encode())) for n, w in known if n is None)
+
+    def cut(self, text: str, flat, token_end, char_end, kind, limit: int) -> list[tuple]:
+        """The pieces of a text of more than ``self.limit`` tokens, each aimed at ``limit`` of them."""
+        enc, total = self.enc, int(token_end[-1])
         # Starts move back by up to 3 tokens where the overlap would begin inside a character.
         ends, kinds = self.positions(flat, token_end, char_end, kind, limit - self.overlap)
         cuts = best_cuts(ends, kinds, total, limit - 3, self.overlap)
@@ -163,11 +248,10 @@ class TextCutter:
             odd = rest and enc.split(text[start : start + len(rest) + 8])[:1] != [rest]
             if odd or (cut_kind == 5 and position < total):
                 # An end inside a word may change how the piece alone is split into words.
-                alone = sum(len(enc.merge(w.encode())) for w in enc.split(text[start:end]))
-                if alone > self.limit:
+                if self.alone(text[start:end]) > self.limit:
                     if limit <= self.limit // 2:
                         raise ValueError("a piece by itself has more tokens than the limit")
-                    return self.cut(text, flat, limit - 16)
+                    return self.cut(text, flat, token_end, char_end, kind, limit - 16)
             name = "end" if position == total else NAMES[cut_kind]
             pieces.append((start, end, position - begin, before - begin if n else 0, name))
             before = position
@@ -202,10 +286,8 @@ def split_texts(
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             for start, block in text_blocks(texts):
                 flat, counts = cutter.enc.words(block)
-                begin, source, out = 0, [], []
-                for i, (value, n) in enumerate(zip(block, counts)):
-                    found = cutter.cut(value, flat[begin : begin + n])
-                    begin += n
+                source, out = [], []
+                for i, (value, found) in enumerate(zip(block, cutter.pieces(block, flat, counts))):
                     null = texts[start + i] is None
                     for p, (a, b, tokens, shared, name) in enumerate(found):
                         source.append(start + i)

@@ -143,3 +143,52 @@ def test_cuts_cost_as_little_as_those_of_a_plain_programme():
         told = ends, kind, int(ends[-1]), limit, overlap
         if told[2] > limit:
             assert abs(cost(splitting.best_cuts(*told), *told[2:]) - plain(*told)) < 1e-6
+
+
+def test_words_of_ascii_texts_are_those_of_the_pattern():
+    import regex
+
+    rng, split = random.Random(6), regex.compile(encoding.WORD_PATTERN).findall
+    letters = list("' sstrevlmdSAb1,.\n\r\t\x0b\x0c\x1c\x1f\x00\x7f") + ["'ll", "'re", " '"]
+    for _ in range(300):
+        block = ["".join(rng.choices(letters, k=rng.randrange(12))) for _ in range(rng.randrange(20))]
+        words, counts = encoding.ascii_words(block)
+        assert words.to_pylist() == [w for t in block for w in split(t)] and counts.tolist() == [len(split(t)) for t in block]
+
+
+def test_ascii_texts_need_no_search_by_pattern(reference):
+    enc = encoding.PrefixEncoder(encoding.read_ranks(PATH))
+    seen = []
+    enc.split = lambda text: seen.append(text) or [text]
+    block = ["don't  stop", "", "été", " end \n"]
+    flat, counts = enc.words(block)
+    assert seen == ["été"] and counts.tolist() == [4, 0, 1, 2]
+    assert enc.tokens(flat).tolist() == [i for t in block for i in reference(t)]
+
+
+def test_strong_boundaries_alone_give_the_cuts_of_the_whole_programme(monkeypatch):
+    rng = np.random.default_rng(8)
+    whole, calls = splitting.all_cuts, []
+    monkeypatch.setattr(splitting, "all_cuts", lambda *told: calls.append(1) or whole(*told))
+    spared = 0
+    for _ in range(500):
+        limit = int(rng.integers(40, 200))
+        overlap = int(rng.integers(0, limit // 3))
+        ends = np.cumsum(rng.integers(1, 4, int(rng.integers(limit, 5 * limit))))
+        kind = rng.choice(6, len(ends), p=(0.02, 0.02, 0.02, 0.06, 0.85, 0.03))
+        told = ends, kind, int(ends[-1]), limit, overlap
+        calls.clear()
+        found = splitting.best_cuts(*told)
+        spared += not calls
+        assert found == whole(*told)
+    assert 50 < spared < 450
+
+
+def test_a_piece_alone_is_counted_by_known_words(monkeypatch, reference):
+    enc = encoding.PrefixEncoder(encoding.read_ranks(PATH))
+    text = "the cursor is sealed, " * 100
+    enc.words([text])
+    merged, merge = [], enc.merge
+    monkeypatch.setattr(enc, "merge", lambda word: merged.append(word) or merge(word))
+    cutter = splitting.TextCutter(enc, 512, 64)
+    assert cutter.alone(text + "seal") == len(reference(text + "seal")) and set(merged) <= {b" seal"}
